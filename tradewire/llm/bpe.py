@@ -181,7 +181,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 yield one.take(pa.array([0] * n))
 
     chunks = own.filter(long_).withColumn("k2", F.xxhash64("text")).mapInArrow(split, "id long, k2 long, k int, parts int, text string")
-    n = partitions(docs)
+    n = partitions(docs, text_col=text_col)
     dealt = chunks.repartition(n, "id", "k2", "k").mapInArrow(pretokenize, "id long, k2 long, k int, parts int, text string, head binary, tail binary, before binary, after binary, one int")
     met = dealt.groupBy("id", "k2", "k", "parts").agg(*(F.max(c).alias(c) for c in ("text", "head", "tail", "before", "after")), F.sum("one").alias("copies"))
     coded = met.select("id", "k2", "k", "parts", "text", "head", "tail", "before", "after", "copies").mapInArrow(encode_chunks, "id long, k2 long, k int, copies long, ids binary, text string")

@@ -126,17 +126,18 @@ def runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of the input: file sizes for a scan, no job is run."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def partitions(df: DataFrame, each: int = 12 << 20) -> int:
-    """How many work units of about `each` bytes of compressed input; never under the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = input_bytes(df)
-    return max(least, -(-size // each)) if size < 1 << 60 else max(least, 200)
+def input_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """Bytes of the input: file sizes for a scan, without a job; the texts' sizes where the plan does not tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:
+        columns = [F.octet_length(text_col)] if text_col in df.columns else []
+        size = df.agg(F.sum(sum(columns, F.lit(16)))).first()[0] or 0
+    return max(1, int(size))
+
+
+def partitions(df: DataFrame, each: int = 12 << 20, text_col: str = "text") -> int:
+    """How many work units of about `each` bytes of input; never under the session's shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df, text_col) // each))
 
 
 def bucketed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewire.llm import bpe, decontaminate, language, secrets, shards, simhash
+from tradewire.llm import bpe, decontaminate, language, neighbours, secrets, shards, simhash, substring, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1,
+        "op2_suffix_dedup": suffix.op2,
+        "op3_substring_dedup": substring.op3,
         "op4_secrets": secrets.op4,
         "op5_decontamination": decontaminate.op5,
         "op6_language": language.op6,
         "op7_sharding": shards.op7,
         "op8_simhash": simhash.op8,
+        "op10_neighbours": neighbours.op10,
     }
 
 
