@@ -231,3 +231,19 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
        sha256(coalesce(f.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP, segment_bytes: int = 4 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs, all columns, without a word inside an exact occurrence of a benchmark window."""
+    out, at = docs, docs.columns.index(text_col)
+    for block in blocks_of(benchmark, block_bytes, item_col, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(Phrases([(r["item"], r["text"].encode()) for r in block.toLocalIterator()], window))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in slices(batch, text_col, segment_bytes):
+                    found = match(Segment(raw_texts(b.column(at)), shared.value.terms, window + slop + 1), shared.value, slop)
+                    yield b.filter(pa.array([not cover for cover, _, _ in found], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -173,3 +173,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = docs.withColumn("held_out", held_out("doc_id")).withColumn("doc_id", F.col("doc_id").cast("long"))
     return predict(out, learn(docs), ["doc_id", "held_out"])
+
+
+def keep_known(docs: DataFrame, least_score: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose language is found with at least this score; `und` goes."""
+    found = predict(docs, learn(docs, id_col, text_col, lang_col), docs.columns, text_col)
+    names = [f"column {i}" for i in range(len(docs.columns))]
+    out = found.toDF(*names, "found language", "found score").filter((F.col("found language") != UNKNOWN) & (F.col("found score") >= least_score))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

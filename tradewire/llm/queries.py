@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewire.llm import bpe, decontaminate, language, neighbours, secrets, shards, simhash, substring, suffix
+from tradewire.llm import bpe, decontaminate, language, neighbours, secrets, shards, simhash, substring, suffix, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language": language.op6,
         "op7_sharding": shards.op7,
         "op8_simhash": simhash.op8,
+        "op9_url_filters": urls.op9,
         "op10_neighbours": neighbours.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.OP5_SQL}
+    return {"op5_decontamination": decontaminate.OP5_SQL, "op9_url_filters": urls.OP9_SQL}
