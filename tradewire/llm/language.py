@@ -45,64 +45,84 @@ def letter_vector(code: int, dimensions: int) -> np.ndarray:
 
 
 class Grams:
-    """Vectors of n-grams, made when first asked for."""
+    """Vectors of n-grams, made when first asked for. A code holds the letters, the first one highest."""
 
     def __init__(self, dimensions: int, n: int) -> None:
         self.dimensions, self.n = dimensions, n
-        self.codes, self.rows = np.zeros(0, np.uint64), np.zeros((0, dimensions), np.float32)
+        self.codes, self.rows = np.zeros(0, np.uint64), np.zeros((0, dimensions), np.int8)
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
         """codes: sorted, distinct."""
         new = codes[~np.isin(codes, self.codes, assume_unique=True)]
+        if len(self.codes) + len(new) > KEPT:
+            self.codes, self.rows, new = self.codes[:0], self.rows[:0], codes
         if len(new):
-            made = np.ones((len(new), self.dimensions), np.float32)
+            made = np.ones((len(new), self.dimensions), np.int8)
             for place in range(self.n):
-                letter = (new >> np.uint64(21 * place)) & np.uint64((1 << 21) - 1)
+                letter = (new >> np.uint64(21 * (self.n - 1 - place))) & np.uint64((1 << 21) - 1)
                 kinds, which = np.unique(letter, return_inverse=True)
-                made *= np.stack([np.roll(letter_vector(int(k), self.dimensions), place) for k in kinds]).astype(np.float32)[which]
-            if len(self.codes) + len(new) > KEPT:
-                self.codes, self.rows = np.zeros(0, np.uint64), self.rows[:0]
-                new, made = (codes, None) if len(new) < len(codes) else (new, made)
-                if made is None:
-                    return self.vectors(codes)
+                made *= np.stack([np.roll(letter_vector(int(k), self.dimensions), place) for k in kinds])[which]
             codes_, rows_ = np.concatenate([self.codes, new]), np.concatenate([self.rows, made])
             order = np.argsort(codes_)
             self.codes, self.rows = codes_[order], rows_[order]
-        return self.rows[np.searchsorted(self.codes, codes)]
+        return self.rows[np.searchsorted(self.codes, codes)].astype(np.float32)
 
 
-def gram_counts(text: str | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram codes of the lower-cased letters, and how often each occurs; none without a letter."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    if not text:
-        return none
-    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
+def gram_counts(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts): the distinct n-grams of the lower-cased letters of all texts, and a row of counts for each text."""
+    parts = [np.frombuffer((t or "").lower().encode("utf-32-le", "replace"), "<u4") for t in texts]
+    size = np.array([len(x) + 2 for x in parts])
+    c = np.zeros(int(size.sum()), np.uint32)
+    ends = np.cumsum(size)
+    for x, e in zip(parts, ends.tolist(), strict=True):
+        c[e - 1 - len(x) : e - 1] = x  # a bound on both sides
     low = c < 0x10000
     is_letter = letters()[np.where(low, c, 0)]
     if not low.all():
-        is_letter |= np.array([not a and chr(x).isalpha() for a, x in zip(low, c, strict=True)])
-    if not is_letter.any():
-        return none
-    c = np.where(is_letter, c, 0).astype(np.uint64)
-    c = np.concatenate([np.zeros(1, np.uint64), c, np.zeros(1, np.uint64)])
+        for i in np.flatnonzero(~low).tolist():
+            is_letter[i] = chr(c[i]).isalpha()
+    c[~is_letter] = 0
+    owner = np.repeat(np.arange(len(texts)), size)
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)  # one bound between words
-    c = c[keep]
-    if len(c) < n:
-        c = np.concatenate([c, np.zeros(n - len(c), np.uint64)])
-    code = sum((c[p : len(c) - n + 1 + p] << np.uint64(21 * p) for p in range(n)), np.zeros(len(c) - n + 1, np.uint64))
-    codes, counts = np.unique(code, return_counts=True)
+    keep[1:] = (c[1:] != 0) | (c[:-1] != 0) | (owner[1:] != owner[:-1])  # one bound between words
+    c, owner = c[keep], owner[keep]
+    m = max(0, len(c) - n + 1)
+    whole = np.flatnonzero(owner[:m] == owner[n - 1 :][:m])
+    owner = owner[whole]
+    known = np.unique(c)
+    if len(known) ** n <= 1 << 22:
+        place = np.zeros(int(known[-1]) + 1 if len(known) else 1, np.int64)
+        place[known] = np.arange(len(known))
+        i = place[c]
+        number = np.zeros(len(whole), np.int64)
+        for p in range(n):
+            number = number * len(known) + i[whole + p]
+        there = np.bincount(number, minlength=max(1, len(known) ** n)) > 0
+        found = np.flatnonzero(there)
+        which = (np.cumsum(there) - 1)[number]
+        codes = np.zeros(len(found), np.uint64)
+        for p in range(n):
+            codes |= known[found // len(known) ** (n - 1 - p) % len(known)].astype(np.uint64) << np.uint64(21 * (n - 1 - p))
+    else:
+        code = np.zeros(len(whole), np.uint64)
+        for p in range(n):
+            code |= c[whole + p].astype(np.uint64) << np.uint64(21 * (n - 1 - p))
+        codes, which = np.unique(code, return_inverse=True)
+    counts = np.bincount(owner * len(codes) + which, minlength=len(texts) * len(codes)).reshape(len(texts), len(codes))
     return codes, counts.astype(np.float32)
 
 
-def bundle(texts: list[str | None], grams: Grams) -> np.ndarray:
-    """A vector for each text, zero for those without a letter."""
-    found = [gram_counts(t, grams.n) for t in texts]
-    out = np.zeros((len(texts), grams.dimensions), np.float32)
-    for i, (codes, counts) in enumerate(found):
-        if len(codes):
-            out[i] = counts @ grams.vectors(codes)
-    return out
+def runs_of(texts: list[str | None], most: int = 256, characters: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Consecutive texts, so many and so long at most (one text at least)."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        size = len(t or "")
+        if i > at and (i - at >= most or held + size > characters):
+            yield at, i
+            at, held = i, 0
+        held += size
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -118,19 +138,22 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Labels, sorted, and their centred prototypes, from rows that are labelled and not held out."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, total, number = Grams(dimensions, gram), {}, {}
+        """Bundles by label. Random vectors are all but orthogonal, so a text's length is that of its counts."""
+        grams, total = Grams(dimensions, gram), {}
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                v = unit(bundle(texts[at : at + 256], grams))
-                own = np.array(langs[at : at + 256], object)
-                for lang in set(own.tolist()):
-                    total[lang] = total.get(lang, 0) + v[own == lang].sum(axis=0, dtype=np.float64)
-                    number[lang] = number.get(lang, 0) + int((own == lang).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64())), pa.array(list(number.values()), pa.int64())], names=["lang", "total", "number"])
+            for at, to in runs_of(texts):
+                codes, counts = gram_counts(texts[at:to], gram)
+                counts = unit(counts)
+                own = langs[at:to]
+                names = sorted(set(own))
+                v = np.stack([counts[[x == name for x in own]].sum(axis=0) for name in names]) @ grams.vectors(codes)
+                for name, x in zip(names, v.astype(np.float64), strict=True):
+                    total[name] = total.get(name, 0) + x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["lang", "total"])
 
     own = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    parts = own.mapInArrow(sums, "lang string, total array<double>, number long")
+    parts = own.mapInArrow(sums, "lang string, total array<double>")
     each = parts.select("lang", F.posexplode("total").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"))
     rows = each.select("lang", F.col("v.x").alias("x")).limit(most_labels + 1).collect()
     if len(rows) > most_labels:
@@ -154,9 +177,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[
         grams = Grams(dimensions, gram)
         for b in batches:
             texts, names, scores = b.column(at).to_pylist(), [], []
-            for i in range(0, len(texts), 256):
-                v = bundle(texts[i : i + 256], grams)
-                some = np.abs(v).sum(axis=1) > 0
+            for i, to in runs_of(texts):
+                codes, counts = gram_counts(texts[i:to], gram)
+                v = counts @ grams.vectors(codes)
+                some = counts.sum(axis=1) > 0
                 near = unit(v) @ prototypes.T if len(labels) else np.zeros((len(v), 1), np.float32)
                 best = near.argmax(axis=1)
                 known = some & bool(labels)
