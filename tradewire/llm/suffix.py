@@ -35,7 +35,7 @@ WIDTH = 100
 GRAM = 37
 BASE = 0x100000001B3
 #: Bytes that are hashed at once; positions take the low bits of the sort key.
-PIECE = 1 << 19
+PIECE = 1 << 15
 LOW = np.uint64((1 << 20) - 1)
 BATCH = 4096
 HOT = 200_000
@@ -50,6 +50,7 @@ class Unit:
         self.null = table.column("id").is_null().combine_chunks().to_numpy(zero_copy_only=False)[order]
         self.texts = [raw or b"" for raw in raw_texts(table.column("text").combine_chunks())]
         self.texts = [self.texts[i] for i in order]
+        self.parts = list(self.segments())
 
     def segments(self) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Batches of (data, hash, document, start in it, windows, start in data)."""
@@ -189,8 +190,8 @@ def table(rows: list[tuple], names: str) -> pa.Table:
 
 
 def ranges(values: np.ndarray, number: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(range, positions) of 64-bit values, by their high bits."""
-    part = (values >> np.uint64(32)).astype(np.int64) * number >> 32
+    """(range, ascending positions) of 64-bit values. They are mixed first, as least hashes are small ones."""
+    part = (mix(values) >> np.uint64(32)).astype(np.int64) * number >> 32
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]])) if len(part) else []
     for a, z in zip(cuts, cuts[1:], strict=False):
@@ -207,7 +208,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
 
     def counted(unit: Unit) -> tuple[np.ndarray, np.ndarray]:
         """The unit's distinct minimizers, cut to 48 bits, and how often each occurs."""
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(h >> np.uint64(16) << np.uint64(16) for _, h, *_ in unit.segments())]), return_counts=True)
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(h >> np.uint64(16) << np.uint64(16) for _, h, *_ in unit.parts)]), return_counts=True)
 
     def minimizers(t: pa.Table) -> pa.Table:
         found, times = counted(Unit(t))
@@ -235,12 +236,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     def marked(unit: Unit, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The unit's distinct minimizers; which are repeated, which are hot."""
         found, _ = counted(unit)
-        repeated, often = [np.zeros(0, bool)], [np.zeros(0, bool)]
-        for _, blob in sorted((r["part"], r["blob"]) for r in t.filter(pc.equal(t.column("kind"), 0)).to_pylist()):
-            a, b, size = unpack(blob)
-            repeated.append(np.unpackbits(a, count=int(size[0])).astype(bool))
-            often.append(np.unpackbits(b, count=int(size[0])).astype(bool))
-        return found, np.concatenate(repeated), np.concatenate(often)
+        repeated, often = np.zeros(len(found), bool), np.zeros(len(found), bool)
+        blobs = {r["part"]: r["blob"] for r in t.filter(pc.equal(t.column("kind"), 0)).to_pylist()}
+        for p, own in ranges(found, n):
+            a, b, size = unpack(blobs[p])
+            repeated[own] = np.unpackbits(a, count=int(size[0])).astype(bool)
+            often[own] = np.unpackbits(b, count=int(size[0])).astype(bool)
+        return found, repeated, often
 
     def move(t: pa.Table, answers: pa.Table) -> pa.Table:
         import xxhash
@@ -250,7 +252,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
         unit = Unit(t)
         found, repeated, often = marked(unit, answers)
         first: dict[bytes, tuple[int, int, int]] = {}  # in the order of documents: the first occurrence stays
-        for data, h, doc, pos, windows, start in unit.segments():
+        for data, h, doc, pos, windows, start in unit.parts:
             at = np.searchsorted(found, h >> np.uint64(16) << np.uint64(16))
             take = np.flatnonzero(repeated[at])
             single = often[at[take]].tolist()
@@ -324,7 +326,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
         windows = np.maximum(size - WIDTH + 1, 0)
         base = np.cumsum(windows) - windows
         edge = np.zeros(int(windows.sum()) + 1, np.int8)
-        for _, h, doc, pos, number, _ in unit.segments():
+        for _, h, doc, pos, number, _ in unit.parts:
             take = repeated[np.searchsorted(found, h >> np.uint64(16) << np.uint64(16))]
             at = base[doc[take]] + pos[take]
             np.add.at(edge, at, 1)
@@ -348,8 +350,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
             out.append((None if unit.null[d] else int(unit.ids[d]), len(raw), int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest()))
         return table(out, RESULT)
 
+    # The parts are small and take long: their number is held, so that they are not put together into few tasks.
     answers = units.groupBy("bucket").applyInArrow(minimizers, SENT).groupBy("part").applyInArrow(merge, ANSWER)
-    moved = units.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(move, MOVED)
+    moved = units.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(move, MOVED).repartition(n, "part")
     firsts = moved.groupBy("part").applyInArrow(sort, ANSWER)
     return units.groupBy("bucket").cogroup(answers.unionByName(firsts).groupBy("bucket")).applyInArrow(remove, RESULT)
 
