@@ -6,6 +6,7 @@ starts with one, and the token pattern is possessive: it steps over released cha
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -62,8 +63,11 @@ def token_pattern(separator: str | Column, release: str | Column) -> Column:
 
 
 def tokens(text: Column, separator: str | Column, release: str | Column) -> Column:
-    sep = F.lit(separator) if isinstance(separator, str) else separator
-    return F.regexp_extract_all(F.concat(sep, text), token_pattern(separator, release), F.lit(1))
+    """The parts between separators. A text without the release character is split; others go by the pattern."""
+    if isinstance(separator, str) and isinstance(release, str):
+        matched = F.regexp_extract_all(F.concat(F.lit(separator), text), token_pattern(separator, release), F.lit(1))
+        return F.when(text.contains(release), matched).otherwise(F.split(text, "\\" + separator if not separator.isalnum() else separator, -1))
+    return F.regexp_extract_all(F.concat(F.lit(separator) if isinstance(separator, str) else separator, text), token_pattern(separator, release), F.lit(1))
 
 
 def released(c: Column, release: str | Column) -> Column:
@@ -72,11 +76,16 @@ def released(c: Column, release: str | Column) -> Column:
     return F.when(F.contains(c, release), F.regexp_replace(c, F.concat(F.lit("\\"), release, F.lit("([\\s\\S])")), F.lit("$1"))).otherwise(c)
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once, also inside lambdas."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def raw_segments(text: Column, sep: Separators | Column = DEFAULT) -> Column:
     """Segment texts without the blanks before them; the rest after the last terminator goes if it is blank."""
     s, r = (sep.segment, sep.release) if isinstance(sep, Separators) else (sep["segment"], sep["release"])
-    all_ = F.transform(tokens(without_una(text), s, r), lambda x: F.regexp_replace(x, r"^[ \r\n\t]+", ""))
-    return F.when(F.element_at(all_, -1) == "", F.slice(all_, 1, F.size(all_) - 1)).otherwise(all_)
+    all_ = F.transform(tokens(without_una(text), s, r), lambda x: F.ltrim(x, F.lit(" \r\n\t")))
+    return bound(all_, lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a))
 
 
 def elements_of(raw: Column, sep: Separators | Column = DEFAULT) -> Column:
@@ -92,11 +101,14 @@ def elements_of(raw: Column, sep: Separators | Column = DEFAULT) -> Column:
     simple = lambda x: F.struct(released(x, r).alias("v"), F.lit(None).cast("array<string>").alias("c"))
     comp = F.lit(c) if isinstance(c, str) else c
 
-    def one(x: Column) -> Column:
-        parts = tokens(x, c, r)
+    empty = F.struct(F.lit("").alias("v"), F.lit(None).cast("array<string>").alias("c"))
+
+    def several(x: Column, parts: Column) -> Column:
         whole = F.struct(none.alias("v"), F.transform(parts, lambda p: released(p, r)).alias("c"))
-        many = F.contains(x, comp) & (F.size(parts) > 1)
-        return F.when(many & x.startswith(comp), F.array(F.struct(F.lit("").alias("v"), F.lit(None).cast("array<string>").alias("c")), whole)).when(many, F.array(whole)).otherwise(F.array(simple(x)))
+        return F.when(F.size(parts) == 1, F.array(simple(x))).when(x.startswith(comp), F.array(empty, whole)).otherwise(F.array(whole))
+
+    def one(x: Column) -> Column:
+        return F.when(F.contains(x, comp), bound(tokens(x, c, r), lambda parts: several(x, parts))).otherwise(F.array(simple(x)))
 
     pieces = F.flatten(F.transform(tokens(F.substring(rest, F.lit(2), F.length(rest)), e, r), one))
     return F.when((rest == "") | (rest == element), F.array().cast(f"array<{ELEMENT}>")).otherwise(pieces)
@@ -104,7 +116,9 @@ def elements_of(raw: Column, sep: Separators | Column = DEFAULT) -> Column:
 
 def is_tagged(raw: Column, sep: Separators | Column = DEFAULT) -> Column:
     """Three upper-case letters, then an element separator or nothing."""
-    e = F.lit(sep.element) if isinstance(sep, Separators) else sep["element"]
+    if isinstance(sep, Separators):
+        return raw.rlike(f"^[A-Z]{{3}}(?:\\{sep.element}|\\z)")
+    e = sep["element"]
     return F.substring(raw, 1, 3).rlike("^[A-Z]{3}$") & ((F.length(raw) == 3) | (F.substring(raw, 4, 1) == e))
 
 

@@ -36,7 +36,7 @@ def tokenized(texts: DataFrame, custom: bool = True, separators: syntax.Separato
         kept = [c for c in texts.columns if c not in ("raw", "segs", "error")]
     raw = fixed(texts, raw=F.filter(syntax.raw_segments(F.col("text"), sep), lambda x: x.isNotNull()))
     bad = F.filter(F.transform("raw", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~syntax.is_tagged(s["x"], sep))
-    first = F.get(bad, F.lit(0))
+    first = F.when(F.exists("raw", lambda x: ~syntax.is_tagged(x, sep)), F.get(bad, F.lit(0)))
     cut = fixed(raw, bad=first)
     error = F.when(F.col("bad").isNotNull(), F.concat(F.lit("segment "), F.col("bad.i").cast("string"), F.lit(": "), F.when(F.col("bad.x").rlike("^[A-Z]{3}"), "expected element separator or segment terminator after segment tag").otherwise("expected segment tag (3 characters)")))
     segs = F.transform("raw", lambda x, i: F.struct(i.alias("idx"), F.substring(x, 1, 3).alias("tag"), syntax.elements_of(x, sep).alias("el")))
