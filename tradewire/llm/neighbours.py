@@ -7,7 +7,8 @@ a query's partial squared distances, scaled up to all dimensions, are tested aga
 far): rotated dimensions are exchangeable, so a candidate beyond threshold x (1 + e / sqrt(seen))**2 is abandoned with
 a bounded chance of error. What is left is scored by the exact cosine of the original vectors, in double precision.
 
-Centroids are fitted on `sample` vectors at most; every vector is indexed. Lists are cut into blocks of bounded size by a
+Centroids are fitted on `sample` vectors at most; every vector is indexed. The number of lists to probe is measured on
+that sample against brute force. Lists are cut into blocks of bounded size by a
 hash, and a list's queries into runs of bounded size.
 
 Defined results: rows with a null id, or vectors that are null, zero, or hold null or non-finite components, or differ
@@ -50,6 +51,23 @@ def centroids(sample: np.ndarray, n: int, rounds: int = 12, seed: int = 11) -> n
     return c
 
 
+def probes_for(sample: np.ndarray, c: np.ndarray, k: int, share: float = 0.98, queries: int = 256) -> int:
+    """How many lists hold `share` of the true neighbours of sample vectors among the sample, by brute force.
+
+    Neighbours in all vectors are nearer than those in a sample, so this errs on the side of more lists.
+    """
+    own = np.concatenate([(sample[a : a + 4096] @ c.T).argmax(axis=1) for a in range(0, len(sample), 4096)])
+    ranks = []
+    for a in range(0, min(queries, len(sample)), 32):
+        q = sample[a : a + 32]
+        near = q @ sample.T
+        near[np.arange(len(q)), np.arange(a, a + len(q))] = -np.inf
+        best = np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(q @ c.T), axis=1), axis=1)
+        ranks.append(np.take_along_axis(place, own[best], axis=1).ravel())
+    return int(np.quantile(np.concatenate(ranks), share, method="higher")) + 1
+
+
 def adaptive_scan(query: np.ndarray, columns: list[np.ndarray], k: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
     """(positions, squared distances) of at least the k nearest that survive. columns: blocks of (dims, candidates)."""
     n, d = columns[0].shape[1], sum(len(c) for c in columns)
@@ -111,10 +129,11 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     queries = own.filter(is_query).select("id", "key")
     n = distinct.count()
     lists = lists or max(1, min(n, sample // 8, int(np.sqrt(n))))
-    probes = probes or max(1, min(lists, -(-lists // 2) if lists <= 64 else 32 + lists // 8))
     fit = distinct.orderBy(F.xxhash64("key")).limit(sample).select("v").toPandas()["v"]
     turn = rotation(d)
-    c = centroids(unit(np.stack(fit.to_numpy())) @ turn, lists)
+    learned = unit(np.stack(fit.to_numpy())) @ turn
+    c = centroids(learned, lists)
+    probes = min(lists, probes or probes_for(learned, c, k))
     shared = spark.sparkContext.broadcast((turn, c))
 
     def place(batches):
