@@ -199,7 +199,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(out, learn(docs), ["doc_id", "held_out"])
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_known(docs: DataFrame, least_score: float = 0.02, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, all columns, whose language is found with at least this score; `und` goes."""
     found = predict(docs, learn(docs, id_col, text_col, lang_col), docs.columns, text_col)
     names = [f"column {i}" for i in range(len(docs.columns))]
