@@ -23,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import documents
+from tradewire.llm.common import documents, slices
 
 DIMENSIONS = 1024
 GRAM = 3
 FOLDS = 5
 UNKNOWN = "und"
 #: Rows of the n-gram table that a worker keeps; beyond it the table starts anew.
-KEPT = 1 << 15
+KEPT = 1 << 13
+#: Bytes of text that are taken from a batch at once.
+SLICE = 1 << 21
 
 
 @cache
@@ -140,7 +142,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bundles by label. Random vectors are all but orthogonal, so a text's length is that of its counts."""
         grams, total = Grams(dimensions, gram), {}
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "text", SLICE)):
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at, to in runs_of(texts):
                 codes, counts = gram_counts(texts[at:to], gram)
@@ -170,12 +172,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[
     """`columns` of docs, then lang_pred and score."""
     labels, prototypes = model
     shared = docs.sparkSession.sparkContext.broadcast((labels, prototypes))
-    at = len(columns)
+    many = len(columns)
+    at = columns.index(text_col) if text_col in columns else many  # a text that is kept is not sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, prototypes = shared.value
         grams = Grams(dimensions, gram)
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, batch.schema.names[at], SLICE)):
             texts, names, scores = b.column(at).to_pylist(), [], []
             for i, to in runs_of(texts):
                 codes, counts = gram_counts(texts[i:to], gram)
@@ -186,9 +189,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[
                 known = some & bool(labels)
                 names += [labels[j] if k else UNKNOWN for j, k in zip(best, known, strict=True)]
                 scores += [float(min(1.0, max(0.0, near[r, j]))) if k else 0.0 for r, (j, k) in enumerate(zip(best, known, strict=True))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:many], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    kept = docs.select(*columns, F.col(text_col).alias("text to read"))
+    kept = docs.select(*columns, *([F.col(text_col).alias("text to read")] if at == many else []))
     schema = docs.select(*columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return kept.mapInArrow(run, schema)
 

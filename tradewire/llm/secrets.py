@@ -22,7 +22,7 @@ from itertools import product
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewire.llm.common import documents, raw_texts
+from tradewire.llm.common import documents, raw_texts, slices
 
 # Kinds in the order of the contract, key words, patterns.
 KINDS = ("assign", "access", "hex", "ghp", "npm")
@@ -141,7 +141,7 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, text_col, 1 << 22)):
             texts = pa.array([None if raw is None else redact(raw).decode("utf-8", "replace") for raw in raw_texts(b.column(at))], pa.string())
             yield b.set_column(at, text_col, texts)
 
