@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradewire import samples
+from tradewire import engine, samples
 from tradewire.functions import extensions, syntax, text, transforms
+from tradewire.functions.plan import fixed
 from tradewire.functions.transforms import Value
 from tradewire.operators import envelope, outcome, validate, wire
 from tradewire.plans import compiler, diagnostics, dsl
@@ -644,6 +645,29 @@ def v06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issued(spark, sf_dir, named).filter("code = 'ELEMENT_ID_MISMATCH'").select("key", "path", "message")
 
 
+@query("v02_tag_mismatch", "SELECT o_orderkey AS key, x.code, x.path FROM orders, (VALUES ('SEGMENT_TAG_MISMATCH', 'BGM'), ('EXTRA_ELEMENT', 'BGM/e3'), ('MAX_LENGTH_VIOLATION', 'BGM/e1')) x(code, path)")
+def v02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edifact.messages(samples.orders_texts(spark, sf_dir), custom=False)
+    bgm = syntax.first_segment(F.col("segs"), "BGM")
+    held = validate.single_segment_issues(F.col("bgm"), seg("BGX", el("e1", high=2), el("e2")))
+    return fixed(found, bgm=bgm).select(F.col("message_ref").cast("long").alias("key"), F.inline(held)).select("key", "code", "path")
+
+
+@query("v12_node_rules", """
+SELECT p_partkey AS doc_id, x.node_id, 'error' AS severity, x.code FROM part, (VALUES (1, 'TYPE_MISMATCH'), (3, 'EXPECTED_COMPONENT'), (3, 'NULL_COMPONENT_VALUE'), (2, 'NULL_VALUE'), (2, 'EXPECTED_COMPONENT')) x(node_id, code)
+WHERE (x.code = 'TYPE_MISMATCH' AND p_partkey % 5 = 0) OR (x.code = 'EXPECTED_COMPONENT' AND ((x.node_id = 3 AND p_partkey % 2 = 0) OR (x.node_id = 2 AND p_partkey % 5 = 0))) OR (x.code = 'NULL_COMPONENT_VALUE' AND p_partkey % 2 = 1 AND p_partkey % 3 = 0) OR (x.code = 'NULL_VALUE' AND p_partkey % 7 = 0)""")
+def v12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    node = lambda i, up, kind, vtype: F.struct(F.lit(i).alias("node_id"), F.lit(up).cast("int").alias("parent_id"), kind.alias("node_type"), vtype.cast("string").alias("vtype"))
+    null, lit = F.lit(None), F.lit
+    tree = F.array(
+        node(0, None, lit("Message"), null), node(1, 0, F.when(k % 5 == 0, "Element").otherwise("Segment"), null), node(2, 1, lit("Element"), F.when(k % 7 == 0, "null")),
+        node(3, 2, F.when(k % 2 == 0, "Field").otherwise("Component"), F.when(k % 3 == 0, "null").otherwise("string")),
+    )
+    nodes = table(spark, sf_dir, "part").select(k.alias("doc_id"), F.lit("/x").alias("path"), F.lit("x").alias("name"), F.inline(tree))
+    return validate.node_issues(nodes, validate.Config("strict")).select("doc_id", "node_id", "severity", "code")
+
+
 @query("v18_empty_segment", "SELECT o_orderkey AS key, 'UNS[3]' AS path FROM orders WHERE o_orderkey % 2 = 0")
 def v18(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = samples.Writer()
@@ -729,6 +753,25 @@ def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", wire.xml_record("nation", [("name", F.col("n_name")), ("region", F.col("n_regionkey")), ("1st", F.lit(None))]).alias("xml"))
 
 
+@query("k16_wire_variant", "SELECT o_orderkey AS key, 'NAD+BY+' || o_custkey || '::9''' AS whole, 'NAD+BY+' || o_custkey || ':9''' AS dropped FROM orders")
+def k16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edifact.messages(samples.orders_texts(spark, sf_dir), custom=False)
+    nad = syntax.first_segment(F.col("segs"), "NAD")
+    blank = F.transform(F.col("nad.el"), lambda e: F.struct(e["v"].alias("v"), F.transform(e["c"], lambda c: F.when(c != "", c)).alias("c")))
+    rows = fixed(fixed(found, nad=nad), bare=F.struct(F.lit("NAD").alias("tag"), blank.alias("el")))
+    return rows.select(F.col("message_ref").cast("long").alias("key"), wire.segment_text(F.col("nad")).alias("whole"), wire.segment_text(F.col("bare"), trim=False, drop_null=True).alias("dropped"))
+
+
+@query("m04_generate", """
+SELECT 0 AS part, min(s_suppkey) AS s_suppkey, 'BGM+220+' || arg_min(s_name, s_suppkey) || '''' AS text FROM supplier UNION ALL
+SELECT 1, s_suppkey, 'LIN+' || s_suppkey || '''' || chr(10) || 'QTY+21:' || s_nationkey || '''' FROM supplier UNION ALL
+SELECT 2, min(s_suppkey), 'UNS+S''' FROM supplier""")
+def m04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lit = lambda x: {"op": "concatenate", "values": [{"type": "literal", "value": x}]}
+    m = mapping(field("s_name", "BGM.e1", lit("220")), field("/rows/row/s_name", "BGM.e2"), each("/rows/row", "lines", field("s_suppkey", "LIN.e1"), field("s_nationkey", "QTY21.e1")), field("s_name", "UNS.e1", lit("S")), target="EANCOM_ORDERS")
+    return engine.Engine(spark).generate(table(spark, sf_dir, "supplier"), m, ["s_suppkey"]).select("part", "s_suppkey", "text")
+
+
 @query("k20_insert", "SELECT s_suppkey, s_name, s_nationkey FROM supplier UNION ALL SELECT n_nationkey + 100000, n_name, NULL FROM nation")
 def k20(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100000).cast("long").alias("s_suppkey"), F.col("n_name").alias("s_name"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewire.functions.plan import fixed
-from tradewire.plans.schema import Element, Schema
+from tradewire.plans.schema import Element, Schema, Segment
 
 ISSUE = "struct<phase:int,seg_idx:int,chk:int,severity:string,code:string,path:string,element_pos:int,component_pos:int,message:string>"
 FIELDS = ("severity", "code", "path", "seg_idx", "element_pos", "component_pos", "message")
@@ -94,26 +94,56 @@ def segment_issues(s: Column, schema: Schema, codes: Codes | None = None) -> Col
     unknown = F.array(_issue(1, s["idx"], 0, "warning", "UNKNOWN_SEGMENT", here, F.concat(F.lit("Segment '"), s["tag"], F.lit(f"' is not defined in schema {schema.qualified_name}"))))
     out = None
     for d in {x.tag: x for x in reversed(schema.segments)}.values():
-        n = F.size(s["el"])
-        checks = [F.when(n == 0, _issue(1, s["idx"], 0, "error", "MANDATORY_SEGMENT_EMPTY", here, F.lit(f"Mandatory segment '{d.tag}' has no elements")))] if d.is_mandatory else []
-        for i, e in enumerate(d.elements):
-            path = F.concat(here, F.lit(f"/{e.id}"))
-            if e.id != f"e{i + 1}":
-                checks.append(F.when(n > i, _issue(1, s["idx"], 10 * i, "warning", "ELEMENT_ID_MISMATCH", path, F.lit(f"Expected element '{e.id}', found 'e{i + 1}'"), i)))
-            own = F.get(s["el"], F.lit(i))
-            present = [F.when(n > i, c) for c in element_issues(own["v"], e, path, s["idx"], i, codes)]
-            checks += present
-        for i, e in enumerate(d.elements):
-            if e.is_mandatory:
-                checks.append(F.when(n <= i, _issue(1, s["idx"], 200_000 + i, "error", "MISSING_MANDATORY_ELEMENT", F.concat(here, F.lit(f"/{e.id}")), F.lit(f"Mandatory element '{e.id}' ({e.name}) is missing at position {i}"), i)))
-        some = F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks else F.array().cast(f"array<{ISSUE}>")
-        known = len(d.elements)
-        extra = F.when(n > known, F.transform(F.sequence(F.lit(known), n - 1), lambda i: _issue(1, s["idx"], 100_000, "warning", "EXTRA_ELEMENT", F.concat(here, F.lit("/e"), (i + 1).cast("string")), F.concat(F.lit("Element 'e"), (i + 1).cast("string"), F.lit("' at position "), i.cast("string"), F.lit(" is not defined in schema")), i))).otherwise(F.array().cast(f"array<{ISSUE}>"))
-        found = F.concat(some, extra)
+        found = definition_issues(s, d, here, codes)
         out = F.when(s["tag"] == d.tag, found) if out is None else out.when(s["tag"] == d.tag, found)
     return unknown if out is None else out.otherwise(unknown)
 
 
+def definition_issues(s: Column, d: Segment, here: Column, codes: Codes | None = None) -> Column:
+    """array<issue> of a segment under one definition, in the order of the checks."""
+    n = F.size(s["el"])
+    checks = [F.when(n == 0, _issue(1, s["idx"], 0, "error", "MANDATORY_SEGMENT_EMPTY", here, F.lit(f"Mandatory segment '{d.tag}' has no elements")))] if d.is_mandatory else []
+    for i, e in enumerate(d.elements):
+        path = F.concat(here, F.lit(f"/{e.id}"))
+        if e.id != f"e{i + 1}":
+            checks.append(F.when(n > i, _issue(1, s["idx"], 10 * i, "warning", "ELEMENT_ID_MISMATCH", path, F.lit(f"Expected element '{e.id}', found 'e{i + 1}'"), i)))
+        own = F.get(s["el"], F.lit(i))
+        checks += [F.when(n > i, c) for c in element_issues(own["v"], e, path, s["idx"], i, codes)]
+    missing = [F.when(n <= i, _issue(1, s["idx"], 200_000 + i, "error", "MISSING_MANDATORY_ELEMENT", F.concat(here, F.lit(f"/{e.id}")), F.lit(f"Mandatory element '{e.id}' ({e.name}) is missing at position {i}"), i)) for i, e in enumerate(d.elements) if e.is_mandatory]
+    nothing = F.array().cast(f"array<{ISSUE}>")
+    some = lambda x: F.filter(F.array(*x), lambda y: y.isNotNull()) if x else nothing
+    known = len(d.elements)
+    extra = F.when(n > known, F.transform(F.sequence(F.lit(known), n - 1), lambda i: _issue(1, s["idx"], 100_000, "warning", "EXTRA_ELEMENT", F.concat(here, F.lit("/e"), (i + 1).cast("string")), F.concat(F.lit("Element 'e"), (i + 1).cast("string"), F.lit("' at position "), i.cast("string"), F.lit(" is not defined in schema")), i))).otherwise(nothing)
+    return F.concat(some(checks), extra, some(missing))
+
+
+def single_segment_issues(s: Column, d: Segment, codes: Codes | None = None) -> Column:
+    """One segment held directly against one definition: a wrong tag is an issue too."""
+    wrong = F.when(s["tag"] != d.tag, _issue(1, s["idx"], 0, "error", "SEGMENT_TAG_MISMATCH", s["tag"], F.concat(F.lit(f"Expected segment '{d.tag}', found '"), s["tag"], F.lit("'"))))
+    return F.concat(F.filter(F.array(wrong), lambda x: x.isNotNull()), definition_issues(s, d, s["tag"], codes))
+
+
+def node_issues(nodes: DataFrame, config: Config = Config()) -> DataFrame:
+    """Issues of tree rows (doc_id, node_id, parent_id, path, name, node_type, vtype) against what stands above them.
+
+    A node right under a message or group must be a segment or group, one under an element a component; in strict mode
+    explicit nulls in elements and components are errors.
+    """
+    up = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("node_type").alias("above"))
+    rows = nodes.join(up, ["doc_id", "parent_id"], "left")
+    n, strict = F.col("node_type"), F.lit(config.strictness == "strict")
+    kind = lambda severity, code: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"))
+    checks = F.array(
+        F.when(F.col("above").isin("Message", "SegmentGroup") & n.isin("Element", "Component"), kind("error", "TYPE_MISMATCH")),
+        F.when((F.col("above") == "Element") & (n != "Component"), kind("warning", "EXPECTED_COMPONENT")),
+        F.when(strict & (F.col("vtype") == "null") & (n == "Component"), kind("error", "NULL_COMPONENT_VALUE")),
+        F.when(strict & (F.col("vtype") == "null") & (n == "Element"), kind("error", "NULL_VALUE")),
+    )
+    out = rows.select("doc_id", "node_id", "path", F.inline(F.filter(checks, lambda x: x.isNotNull())))
+    level = {"strict": "error", "lenient": "warning"}.get(config.strictness)
+    return out.withColumn("severity", F.lit(level)) if level else out
+
+
 def line_item_tags(schema: Schema) -> list[str]:
     """Mandatory tags from LIN up to UNS, CNT or UNT, in the schema's order."""
     tags, inside = [], False
