@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.OP5_SQL, "op9_url_filters": urls.OP9_SQL}
+    return {"op2_suffix_dedup": suffix.OP2_SQL, "op3_substring_dedup": substring.OP3_SQL, "op5_decontamination": decontaminate.OP5_SQL, "op9_url_filters": urls.OP9_SQL}

@@ -252,3 +252,17 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(documents(spark, sf_dir))
+
+
+#: Windows as joined words. Documents are ordered by doc_id, which is unique.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(0, len(w) - 19) + 1)) AS i FROM d)
+), ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM ranked WHERE r > 1
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(g.p2) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (g.p2 IS NULL) AS text
+  FROM words LEFT JOIN (SELECT doc_id, p, p AS p2 FROM gone) g USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

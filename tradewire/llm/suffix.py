@@ -359,3 +359,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(documents(spark, sf_dir))
+
+
+#: Bytes as hex digits; windows are compared by their MD5. Documents are ordered by doc_id, which is unique.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, n - 99))) AS i FROM d)
+), ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win
+), dup AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM ranked WHERE r > 1
+), runs AS (SELECT doc_id, i, sum(CASE WHEN step <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM dup
+), spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM runs GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a AS stop, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM spans
+  UNION ALL SELECT s.doc_id, d.n, s.z FROM (SELECT doc_id, max(z) AS z FROM spans GROUP BY doc_id) s JOIN d USING (doc_id)
+), kept AS (SELECT g.doc_id, string_agg(substr(d.h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start) AS h FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id
+), sums AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
