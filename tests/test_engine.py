@@ -334,3 +334,12 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("no")
     got = edifact.read(spark, str(tmp_path)).collect()
     assert len(got) == 1 and got[0]["text"] == ORDER and edifact.read(spark, str(tmp_path), largest=10).first()["error"]
+
+
+def test_only_referenced_segments_are_cut(spark):
+    m = mapping({"type": "foreach", "source": "/LINE_ITEM", "target": "l", "rules": [field("QTY[6063='21']/e1/c2"), {"type": "condition", "when": {"op": "exists", "field": "/BGM/e1"}, "then": [field("/MOA/e1/c2", "m")], "else_rules": []}]})
+    assert compiler.tags(m) == {"QTY", "BGM", "MOA"}
+    one = lambda tags: edifact.grouped(edifact.messages(texts(spark, ORDER), tags=tags))
+    cut = one(compiler.tags(m))
+    assert {s["tag"] for s in cut.first()["segs"] if s["el"]} == {"UNH", "QTY", "BGM", "MOA"} and cut.first()["message_ref"] == "M1"
+    assert compiler.rows(cut, m).collect() == compiler.rows(one(None), m).collect()

@@ -59,20 +59,21 @@ def lookup(name: str, key: str, target: str, default: str | None = None) -> dict
     return {"type": "lookup", "table": name, "key_source": key, "target": target} | ({"default_value": default} if default is not None else {})
 
 
-def orders(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    """Parsed and grouped ORDERS messages."""
-    return edifact.grouped(edifact.messages(samples.orders_texts(spark, sf_dir, **options), custom=False))
+def orders(spark: SparkSession, sf_dir: str, m: dsl.Mapping | None = None) -> DataFrame:
+    """Parsed and grouped ORDERS messages; for a mapping, only what it reads is cut into elements."""
+    return edifact.grouped(edifact.messages(samples.orders_texts(spark, sf_dir), custom=False, tags=compiler.tags(m) if m else None))
 
 
 def mapped(spark: SparkSession, sf_dir: str, *rules: dict, lookups: dict | None = None) -> DataFrame:
     """One row for each message; o_orderkey from the wire, error dropped by the caller if it has to."""
-    return compiler.transform(orders(spark, sf_dir), mapping(field("/BGM/e2", "key"), *rules, lookups=lookups)).withColumn("key", F.col("key").cast("long"))
+    m = mapping(field("/BGM/e2", "key"), *rules, lookups=lookups)
+    return compiler.transform(orders(spark, sf_dir, m), m).withColumn("key", F.col("key").cast("long"))
 
 
 def lines(spark: SparkSession, sf_dir: str, *rules: dict, header: tuple[dict, ...] = (), lookups: dict | None = None) -> DataFrame:
     """One row for each line: key and n from the wire."""
     m = mapping(field("/BGM/e2", "key"), *header, each("/LINE_ITEM", "lines", field("LIN/e1", "n"), *rules), lookups=lookups)
-    return compiler.rows(orders(spark, sf_dir), m).withColumn("key", F.col("key").cast("long")).withColumn("n", F.col("n").cast("long"))
+    return compiler.rows(orders(spark, sf_dir, m), m).withColumn("key", F.col("key").cast("long")).withColumn("n", F.col("n").cast("long"))
 
 
 def key_n(*columns: str) -> list[str]:

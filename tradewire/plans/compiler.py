@@ -297,6 +297,13 @@ def _absolute(rules: tuple[Rule, ...]) -> list[str]:
     return [x for x in dict.fromkeys(out) if x.startswith("/")]
 
 
+def tags(mapping: Mapping) -> set[str]:
+    """The segments that a mapping reads: what the parser has to cut into elements for it."""
+    from tradewire.plans.diagnostics import paths
+
+    return {s.name for _, p in paths(mapping.rules) for s in path_of(p).steps if len(s.name) == 3 and s.name.isupper()}
+
+
 def transform(found: DataFrame, mapping: Mapping, keep: tuple[str, ...] = (), extensions: Registry | None = None, extended: bool = False) -> DataFrame:
     """Nested form: a row for each message or record, targets as columns, `error` with the first failure.
 

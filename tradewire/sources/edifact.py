@@ -26,8 +26,11 @@ def read(spark: SparkSession, path: str, glob: str = "*.edi", largest: int = LAR
     return raw.select(F.col("path").alias("source"), F.when(~over, F.decode("content", "UTF-8")).alias("text"), F.col("length").alias("size"), F.when(over, F.concat(F.lit("file of "), F.col("length").cast("string"), F.lit(f" bytes is over {largest}"))).alias("error"))
 
 
-def tokenized(texts: DataFrame, custom: bool = True, separators: syntax.Separators = syntax.DEFAULT) -> DataFrame:
-    """(source, text) -> source, raw, segs, error. `custom`: follow each text's own service string."""
+def tokenized(texts: DataFrame, custom: bool = True, separators: syntax.Separators = syntax.DEFAULT, tags: set[str] | None = None) -> DataFrame:
+    """(source, text) -> source, raw, segs, error. `custom`: follow each text's own service string.
+
+    `tags`: only segments with these are cut into elements (and UNH, which names the message); the others have none.
+    """
     sep: syntax.Separators | Column = separators
     if custom:
         texts, kept = fixed(texts, sep=syntax.una_struct(F.col("text"))), [c for c in texts.columns if c not in ("raw", "segs", "error", "sep")]
@@ -39,17 +42,23 @@ def tokenized(texts: DataFrame, custom: bool = True, separators: syntax.Separato
     first = F.when(F.exists("raw", lambda x: ~syntax.is_tagged(x, sep)), F.get(bad, F.lit(0)))
     cut = fixed(raw, bad=first)
     error = F.when(F.col("bad").isNotNull(), F.concat(F.lit("segment "), F.col("bad.i").cast("string"), F.lit(": "), F.when(F.col("bad.x").rlike("^[A-Z]{3}"), "expected element separator or segment terminator after segment tag").otherwise("expected segment tag (3 characters)")))
-    segs = F.transform("raw", lambda x, i: F.struct(i.alias("idx"), F.substring(x, 1, 3).alias("tag"), syntax.elements_of(x, sep).alias("el")))
+    none = F.array().cast(f"array<{syntax.ELEMENT}>")
+
+    def elements(x: Column) -> Column:
+        all_ = syntax.elements_of(x, sep)
+        return all_ if tags is None else F.when(F.substring(x, 1, 3).isin("UNH", *sorted(tags - {"UNH"})), all_).otherwise(none)
+
+    segs = F.transform("raw", lambda x, i: F.struct(i.alias("idx"), F.substring(x, 1, 3).alias("tag"), elements(x).alias("el")))
     return fixed(cut, segs=F.when(F.col("bad").isNull(), segs), error=error).select(*kept, "raw", "segs", "error")
 
 
-def messages(texts: DataFrame, custom: bool = True, separators: syntax.Separators = syntax.DEFAULT) -> DataFrame:
+def messages(texts: DataFrame, custom: bool = True, separators: syntax.Separators = syntax.DEFAULT, tags: set[str] | None = None) -> DataFrame:
     """(source, text) -> source, msg_idx, message_ref, doc_type, version, partial, segs, and the other columns.
 
     A message runs from the first UNH after the last trailer to its UNT. What is open at the end of the file is a partial
     message if it has a UNH. Files with a parse error give no messages: see `failures`.
     """
-    cut = tokenized(texts, custom, separators).filter(F.col("error").isNull() & (F.size("segs") > 0))
+    cut = tokenized(texts, custom, separators, tags).filter(F.col("error").isNull() & (F.size("segs") > 0))
     tags = F.transform("segs", lambda s: s["tag"])
     ends = F.filter(F.transform("segs", lambda s, i: F.when(s["tag"].isin("UNT", "UNZ"), i)), lambda i: i.isNotNull())
     base = fixed(cut, tags=tags, ends=ends)
