@@ -113,3 +113,20 @@ def test_urls(spark):
     assert got == sorted((c[0], c[3]) for c in captures)
     assert urls.evaluate(df.limit(0), log, "page_id", "url", "at").count() == 0
     assert {x["verdict"] for x in urls.evaluate(df, log.limit(0), "page_id", "url", "at").collect()} == {"none"}
+
+
+def kept_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {x["doc_id"] for x in nearcopies.keep_one(df).collect()}
+
+
+def test_short_near_copies(spark):
+    r = random.Random(5)
+    texts = []
+    while len(texts) < 240:
+        w = [f"w{r.randrange(5000)}" for _ in range(r.randint(8, 60))]
+        more = max(1, (len(w) - 4) // 4)
+        other = [*w, *(f"x{r.randrange(5000)}" for _ in range(more))]
+        assert 0.8 <= jaccard(" ".join(w), " ".join(other)) < 0.9
+        texts += [" ".join(w), " ".join(other)]
+    assert kept_of(spark, texts) == set(range(0, 240, 2))

@@ -1,15 +1,18 @@
 """Near-duplicate groups of long texts on SimHash: similarity 0.8 or more of five-word shingles.
 
-At a similarity of 0.8 two 64-bit fingerprints differ by about ten bits, beyond what deletion variants find. So the same
-fingerprints are also taken of sections: runs of shingles between content-defined cuts, about SECTION long. Near copies
-share most sections whole. A text is indexed under the SECTIONS of its sections with the smallest mixed fingerprints,
-and texts that meet under one are compared by a SimHash of WIDE bits, which estimates the cosine of their shingle counts
-closely: a share of bits under acos(2s / (1 + s)) / pi, plus one standard deviation, is a link. Whole texts within three
-bits link as in the operator itself, by deletion variants, and count if their wide sketches agree.
+Candidates come from two indexes. The first is quick and not complete: SimHash fingerprints of sections, runs of shingles
+between content-defined cuts, about SECTION long, and whole fingerprints within three bits; texts that meet are compared
+by a SimHash of WIDE bits. What it links is one component from then on, so large groups of copies are small early.
 
-Texts with equal wide sketches are one node first. A group streams through its task: a chunk of members is linked into
-trees, only the trees' first members stay for the next chunk. Large groups are dealt by a salt first; the first members
-of the salted parts meet in a second round.
+The second is complete: of two sets with a similarity of s or more, in one order of all shingles, the first
+n - ceil(s * n) + 1 of each have one in common. These are the keys of a text; the order is by hash, with frequent
+shingles (found on a sample) last, which keeps keys rare and does not touch completeness. Texts under one key that are
+not in one component yet and whose sizes allow s are pairs; far pairs go by the wide sketch, at a limit that is seven
+standard deviations from s or more, and the exact similarity of the shingle sets decides.
+
+Texts with equal shingle sets are one node first. In the first index a group streams through its task: a chunk of members
+is linked into trees, only the trees' first members stay for the next chunk. Large groups are dealt by a salt first; the
+first members of the salted parts meet in a second round.
 
 Defined results: texts without words are copies of each other; null ids come last in a group, rows repeated entirely are
 copies too; extra columns are kept as they are.
@@ -35,6 +38,12 @@ SECTIONS = 8
 WIDE = 512
 CHUNK = 8192
 SALTS = 16
+#: Differing bits of the wide sketch above which a pair is not compared exactly. Expected at 0.8 are 78 (96 for 4 shingles of 5).
+FAR = 160
+#: Shingles in this many texts of a sample (one text in SAMPLE) are frequent; at most MOST_FREQUENT are known.
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 200_000
+CELLS = 1 << 20
+PAIRS = 1 << 18
 #: For each byte value its eight bits, one in each byte of a long.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -95,6 +104,17 @@ def limit(similarity: float = SIMILARITY, bits: int = WIDE) -> int:
     return int(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
+def key_count(n: int, similarity: float) -> int:
+    """Of how many first shingles of n every set at this similarity has one among its own."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Exactly, for sorted sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def trees(sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(parents, children, first members): links that span the groups of these sketches, each walked from its first."""
     a, b, first = [], [], []
@@ -115,19 +135,128 @@ def trees(sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate([none, *a]), np.concatenate([none, *b]), np.array(first, np.int64)
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _frequent(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Hashes of frequent shingles, sorted. Which these are matters for the work only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in raw_texts(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(raw)).view(np.int64))], names=["h"])
+
+    sample = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(F.col(text_col).alias("text"))
+    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toArrow().column("h").to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    frequent = _frequent(docs, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            wide, sections, fp = [], [], []
+            node, size, wide, sections, fps, keys = [], [], [], [], [], []
             for raw in raw_texts(b.column(2)):
                 h = shingle_hashes(raw)
-                wide.append(wide_sketch(h).tobytes())
+                own = np.unique(h)
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), simhash.SEED))
+                size.append(len(own))
+                wide.append(wide_sketch(own).tobytes())
                 sections.append(section_fingerprints(h).view(np.int64))
-                whole = np.packbits(bit_counts(h) * 2 > len(h), bitorder="little").view(np.int64)[0] if len(h) else 0
-                fp.append(int(whole))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wide, pa.binary()), pa.array(sections, pa.list_(pa.int64())), pa.array(fp, pa.int64())], names=["id", "k2", "wide", "sections", "fp"])
+                fps.append(int(np.packbits(bit_counts(own) * 2 > len(own), bitorder="little").view(np.int64)[0]) if len(own) else 0)
+                late = np.isin(own, frequent)
+                keys.append(np.concatenate([own[~late], own[late]])[: key_count(len(own), similarity)].view(np.int64))
+            made = [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(wide, pa.binary())]
+            made += [pa.array(sections, pa.list_(pa.int64())), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=["id", "k2", "node", "size", "wide", "sections", "fp", "keys"])
+
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, "id long, k2 long, node long, size int, wide binary, sections array<long>, fp long, keys array<long>")
+
+
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows: key, size, node, part. Pairs (a, b), a < b, under one key, of different parts, whose sizes allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = [c.to_numpy() for c in b.columns]
+            if held and held[0][0][0] == own[0][-1]:  # the group goes on
+                held.append(own)
+                continue
+            cut = int(np.searchsorted(own[0], own[0][-1]))
+            held.append([c[:cut] for c in own])
+            yield from paired(held)
+            held = [[c[cut:] for c in own]]
+        yield from paired(held)
+
+    def paired(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        key, size, node, part = (np.concatenate(x) for x in zip(*held, strict=True))
+        a, b, n = [], [], 0
+        at, step = np.arange(len(key) - 1), 1
+        while len(at):
+            # Sizes ascend in a group: one that is too large ends it for this member.
+            at = at[(key[at] == key[at + step]) & (size[at] >= similarity * size[at + step] - 1e-9)]
+            new = at[part[at] != part[at + step]]
+            a.append(np.minimum(node[new], node[new + step]))
+            b.append(np.maximum(node[new], node[new + step]))
+            n, step = n + len(new), step + 1
+            at = at[at + step < len(key)]
+            if n >= PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b, n = [], [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    dealt = rows.select("key", "size", "node", "part").repartition(partitions(rows), "key").sortWithinPartitions("key", "size")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The pairs whose wide sketches differ in `most` bits or fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WIDE // 64) for c in ("wa", "wb"))
+            keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    for c in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("wide").alias(f"w{c}")), c)
+    return pairs.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
+def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """The pairs at `similarity` or more. Sets are made again from the texts of the pairs' nodes, one text for each."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text")).mapInArrow(run, "id long, k2 long, wide binary, sections array<long>, fp long")
+        for b in batches:
+            own = [np.unique(shingle_hashes(raw)).tobytes() for raw in raw_texts(b.column("text"))]
+            node = np.array([xxhash.xxh64_intdigest(x, simhash.SEED) for x in own], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own, pa.binary())], names=["node", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = zip(b.column("oa").to_pylist(), b.column("ob").to_pylist(), strict=True)
+            keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    pairs = stored(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    cells = ends.join(nodes.select("node", "k2"), "node").select(F.pmod("k2", F.lit(CELLS)).alias("cell")).distinct()
+    texts = docs.select(F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(cells), F.pmod("k2", F.lit(CELLS)) == F.col("cell"), "left_semi").dropDuplicates(["k2"])
+    known = stored(texts.select("text").mapInArrow(sets, "node long, own binary").dropDuplicates(["node"]))
+    for c in "ab":
+        pairs = pairs.join(known.select(F.col("node").alias(c), F.col("own").alias(f"o{c}")), c)
+    return stored(pairs.select("a", "b", "oa", "ob").mapInArrow(run, "a long, b long"))
 
 
 def _met(rows: DataFrame, by: list[str], most: int, roots: bool) -> DataFrame:
@@ -176,10 +305,10 @@ def _met(rows: DataFrame, by: list[str], most: int, roots: bool) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per distinct (id, k2): id, k2, root: rows with one root are near copies, directly or through others."""
     most = limit(similarity)
-    rows = stored(_sketched(docs, id_col, text_col))
-    # A node is a distinct sketch; its number comes from the sketch.
-    node = F.xxhash64(F.lit(3), "wide")
-    nodes = stored(rows.groupBy("wide", "sections", "fp").agg(F.count(F.lit(1)).alias("n")).select(node.alias("node"), "wide", "sections", "fp"))
+    rows = stored(_sketched(docs, id_col, text_col, similarity))
+    # A node is a distinct shingle set; its number comes from the set.
+    others = ("size", "wide", "sections", "fp", "keys")
+    nodes = stored(rows.groupBy("node").agg(F.min("k2").alias("k2"), *(F.first(c).alias(c) for c in others)))
     keyed = nodes.select(F.explode("sections").alias("key"), "node", "wide", F.pmod("node", F.lit(SALTS)).alias("salt"))
     parts = stored(_met(keyed, ["key", "salt"], most, True))
     again = parts.filter(F.col("b").isNull()).select("key", F.lit(0).cast("long").alias("salt"), F.col("a").alias("node"), "wide")
@@ -188,18 +317,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     # Whole fingerprints within three bits, by the operator; equal ones meet by the fingerprint itself.
     links = simhash.links(nodes.select("fp").distinct())
     one = nodes.groupBy("fp").agg(F.min_by(F.struct("node", "wide"), "node").alias("x")).select("fp", "x.node", "x.wide")
-    whole = links.join(one.select(F.col("fp").alias("a"), F.col("node").alias("na"), F.col("wide").alias("wa")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("nb"), F.col("wide").alias("wb")), "b").select("na", "nb", "wa", "wb")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WIDE // 64) for c in ("wa", "wb"))
-            keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most)
-            yield pa.RecordBatch.from_arrays([b.column("na").filter(keep), b.column("nb").filter(keep)], names=["a", "b"])
-
-    edges = near.unionByName(whole.mapInArrow(close, "a long, b long")).filter("a <> b").distinct()
-    root = simhash.components(edges)
-    out = rows.select("id", "k2", node.alias("node"))
-    return out.join(root, "node", "left").select("id", "k2", F.coalesce("root", "node").alias("root"))
+    whole = links.join(one.select(F.col("fp").alias("a"), F.col("node").alias("na"), F.col("wide").alias("wa")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("nb"), F.col("wide").alias("wb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    first = stored(near.unionByName(_close(whole, nodes, most)).filter("a <> b").distinct())
+    part = simhash.components(first)
+    # What the first index has not joined, completely.
+    placed = nodes.select("node", "size", "keys").join(part, "node", "left").select("node", "size", F.coalesce("root", "node").alias("part"), F.explode("keys").alias("key"))
+    rest = _exact(_close(_pairs(placed, similarity), nodes, FAR), nodes, docs, text_col, similarity)
+    root = simhash.components(first.unionByName(rest))
+    return rows.select("id", "k2", "node").join(root, "node", "left").select("id", "k2", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
