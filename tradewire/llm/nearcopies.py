@@ -2,7 +2,7 @@
 
 Candidates come from two indexes. The first is quick and not complete: SimHash fingerprints of sections, runs of shingles
 between content-defined cuts, about SECTION long, and whole fingerprints within three bits; texts that meet are compared
-by a SimHash of WIDE bits. What it links is one component from then on, so large groups of copies are small early.
+by a SimHash of WIDE bits. What it links, and the exact similarity of the shingle sets confirms, is one component from then on, so large groups of copies are small early.
 
 The second is complete: of two sets with a similarity of s or more, in one order of all shingles, the first
 n - ceil(s * n) + 1 of each have one in common. These are the keys of a text; the order is by hash, with frequent
@@ -318,7 +318,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     links = simhash.links(nodes.select("fp").distinct())
     one = nodes.groupBy("fp").agg(F.min_by(F.struct("node", "wide"), "node").alias("x")).select("fp", "x.node", "x.wide")
     whole = links.join(one.select(F.col("fp").alias("a"), F.col("node").alias("na"), F.col("wide").alias("wa")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("nb"), F.col("wide").alias("wb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    first = stored(near.unionByName(_close(whole, nodes, most)).filter("a <> b").distinct())
+    met = near.unionByName(_close(whole, nodes, most)).filter("a <> b").distinct()
+    first = _exact(met, nodes, docs, text_col, similarity)
     part = simhash.components(first)
     # What the first index has not joined, completely.
     placed = nodes.select("node", "size", "keys").join(part, "node", "left").select("node", "size", F.coalesce("root", "node").alias("part"), F.explode("keys").alias("key"))
