@@ -41,3 +41,10 @@ def test_same_rows(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_whole_texts_are_escaped(spark, duck):
+    from xml.sax.saxutils import escape
+
+    want = {i: t if t is None else escape(t, {'"': "&quot;", "'": "&apos;"}) for i, t in duck.execute("select doc_id, text from documents").fetchall()}
+    assert {x["doc_id"]: x["xml"] for x in entry.queries()["u02_escapes"](spark, str(DATA)).collect()} == want

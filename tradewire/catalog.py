@@ -598,7 +598,7 @@ def u01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("u02_escapes", "SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM documents")
 def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.escape_xml(F.substring("text", 1, 300)).alias("xml"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.escape_xml(F.col("text")).alias("xml"))
 
 
 # --- V: validation -------------------------------------------------------------------------------------------------------
