@@ -48,3 +48,11 @@ def test_whole_texts_are_escaped(spark, duck):
 
     want = {i: t if t is None else escape(t, {'"': "&quot;", "'": "&apos;"}) for i, t in duck.execute("select doc_id, text from documents").fetchall()}
     assert {x["doc_id"]: x["xml"] for x in entry.queries()["u02_escapes"](spark, str(DATA)).collect()} == want
+
+
+@pytest.mark.parametrize(("name", "shape"), [("t05_number_groups", ",.2f"), ("t11_double_text", ".2f")])
+def test_totals_of_all_orders(spark, duck, name, shape):
+    totals = duck.execute("select o_orderkey, o_totalprice from orders").fetchall()
+    assert any(f"{float(t):.2f}".endswith("0.00") for _, t in totals)
+    want = {k: format(float(t), shape).rstrip("0").rstrip(".") for k, t in totals}
+    assert {x["key"]: x["value"] for x in entry.queries()[name](spark, str(DATA)).collect()} == want
