@@ -145,3 +145,16 @@ def test_repeated_lines_are_no_copies(spark):
             pass
         texts += [" ".join(w), other]
     assert kept_of(spark, texts) == set(range(len(texts)))
+
+
+def test_copies_near_to_the_original_only(spark):
+    r = random.Random(7)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    while len(texts) < 400:
+        w = list(base)
+        for _ in range(6):
+            w[r.randrange(300)] = f"w{r.randrange(5000)}"
+        if jaccard(" ".join(w), texts[0]) >= 0.8:
+            texts.append(" ".join(w))
+    assert kept_of(spark, texts) == {0}

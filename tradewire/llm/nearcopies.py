@@ -175,7 +175,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     return own.mapInArrow(run, "id long, k2 long, node long, size int, wide binary, sections array<long>, fp long, keys array<long>")
 
 
-def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+def _pairs(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
     """rows: key, size, node, part. Pairs (a, b), a < b, under one key, of different parts, whose sizes allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    dealt = rows.select("key", "size", "node", "part").repartition(partitions(rows), "key").sortWithinPartitions("key", "size")
+    dealt = rows.select("key", "size", "node", "part").repartition(parts, "key").sortWithinPartitions("key", "size")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -323,7 +323,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     part = simhash.components(first)
     # What the first index has not joined, completely.
     placed = nodes.select("node", "size", "keys").join(part, "node", "left").select("node", "size", F.coalesce("root", "node").alias("part"), F.explode("keys").alias("key"))
-    rest = _exact(_close(_pairs(placed, similarity), nodes, FAR), nodes, docs, text_col, similarity)
+    rest = _exact(_close(_pairs(placed, similarity, partitions(nodes)), nodes, FAR), nodes, docs, text_col, similarity)
     root = simhash.components(first.unionByName(rest))
     return rows.select("id", "k2", "node").join(root, "node", "left").select("id", "k2", F.coalesce("root", "node").alias("root"))
 
