@@ -145,3 +145,23 @@ def test_neighbours_on_cases(spark):
     assert [v for _, v in sorted(found[1000])] == [3, 1001, 1002, 1003, 1004] and [v for _, v in sorted(found[50000])] == [3, 1000, 1001, 1002, 1003]
     assert neighbours.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
     assert [tuple(x)[:3] for x in neighbours.search(df.filter("vec_id in (0, 1)").dropDuplicates(["vec_id"]), F.col("id") % 50 == 0).collect()] == [(0, 1, 1)]
+
+
+def test_neighbours_ties_and_few_in_a_list(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    base = [r.gauss(0, 1) for _ in range(16)]
+    data = [(i, [x * 2.0 ** (i % 37 - 18) for x in base]) for i in range(40)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = sorted(tuple(x)[:3] for x in neighbours.search(df, F.col("id") % 50 == 0).collect())
+    assert found == [(0, i, i) for i in range(1, 6)]
+    # Ties across lists' blocks, behind nearer ones, and more of them than are compared at once.
+    data = [(i, [1.0, 0.0, 0.0, 0.0]) for i in (0, 900)] + [(i, [2.0 ** (i % 50 - 25), 2.0 ** (i % 50 - 25) * 0.5, 0.0, 0.0]) for i in range(1, 700)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x)[:3] for x in neighbours.search(df, F.col("id") == 0).collect()) == [(0, 1, 900), (0, 2, 1), (0, 3, 2), (0, 4, 3), (0, 5, 4)]
+    # One list for each vector, one probe: the probes grow until five are found.
+    data = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    out = neighbours.search(df, F.col("id") % 50 == 0, lists=60, probes=1).groupBy("query_id").count().collect()
+    assert sorted(map(tuple, out)) == [(0, 5), (50, 5)]

@@ -6,6 +6,7 @@ never an error. Where an operator needs an order of documents it is: ids ascendi
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -171,10 +172,12 @@ _OWN_FOLDER: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir; one of our own only where a session in one process names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
         import tempfile

@@ -8,12 +8,14 @@ far): rotated dimensions are exchangeable, so a candidate beyond threshold x (1
 a bounded chance of error. What is left is scored by the exact cosine of the original vectors, in double precision.
 
 Centroids are fitted on `sample` vectors at most; every vector is indexed. The number of lists to probe is measured on
-that sample against brute force. Lists are cut into blocks of bounded size by a
-hash, and a list's queries into runs of bounded size.
+that sample against brute force; a query whose lists hold fewer than it wants goes to four times as many, until it has
+enough or has seen all lists. Lists are cut into blocks of bounded size by a hash, and a list's queries into runs of
+bounded size.
 
 Defined results: rows with a null id, or vectors that are null, zero, or hold null or non-finite components, or differ
 in length from the most common one (the shorter of equals), take no part. Rows with the query's id are its own, repeated
-ones too; a repeated query id is searched once for each distinct vector. Ties go to the smaller id.
+ones too; a repeated query id is searched once for each distinct vector. Ties go to the smaller id: no cut is made
+between equal scores before ids are looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import hot_join, stored
+from tradewire.llm.common import dropped, hot_join, stored
 
 K = 5
 SAMPLE = 32_768
@@ -143,27 +145,20 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
                 r = unit(vectors(b.column(1), d)) @ turn
                 yield pa.RecordBatch.from_arrays([pa.array((r @ c.T).argmax(axis=1), pa.int32()), b.column(0), b.column(1), b.column(2)], names=["list", "key", "v", "ids"])
 
-    def deal(batches):
-        turn, c = shared.value
-        for b in batches:
-            if b.num_rows:
-                r = unit(vectors(b.column(1), d)) @ turn
-                near = np.argpartition(-(r @ c.T), probes - 1, axis=1)[:, :probes] if probes < len(c) else np.tile(np.arange(len(c)), (len(r), 1))
-                at = np.repeat(np.arange(len(r)), probes if probes < len(c) else len(c))
-                again = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), again.column(0), again.column(1)], names=["list", "qkey", "q"])
+    def deal(probes: int):
+        def run(batches):
+            turn, c = shared.value
+            for b in batches:
+                if b.num_rows:
+                    r = unit(vectors(b.column(1), d)) @ turn
+                    near = np.argpartition(-(r @ c.T), probes - 1, axis=1)[:, :probes] if probes < len(c) else np.tile(np.arange(len(c)), (len(r), 1))
+                    again = b.take(pa.array(np.repeat(np.arange(len(r)), near.shape[1])))
+                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), again.column(0), again.column(1)], names=["list", "qkey", "q"])
+
+        return run
 
     placed = stored(distinct.select("key", "v", "ids").mapInArrow(place, "list int, key string, v array<double>, ids array<long>"))
-    asked = distinct.join(queries.select("key").distinct(), "key", "left_semi").select("key", "v")
-    dealt = stored(asked.mapInArrow(deal, "list int, qkey string, q array<double>"))
-    # A list's candidates in blocks, its queries in runs; every block meets every run. The counts have a row for each list.
     blocks = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    runs = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
-    plan = blocks.join(runs, "list").collect()  # at most sample / 8 rows
-    plans = [F.broadcast(spark.createDataFrame(plan, "list int, blocks int, runs int")) for _ in range(2)]
-    block, run = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("qkey"), F.col("runs")).cast("int")
-    left = placed.join(plans[0], "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), "key", "v", "ids")
-    right = dealt.join(plans[1], "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), run.alias("run"), "qkey", "q")
 
     def scan(candidates: pa.Table, asked: pa.Table) -> pa.Table:
         out_key, out_v, out_ids, out_score = [], [], [], []
@@ -172,12 +167,15 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
             x, q = vectors(candidates.column("v"), d), vectors(asked.column("q"), d)
             rx, rq = unit(x) @ turn, unit(q) @ turn
             columns = [np.ascontiguousarray(rx[:, a : a + COLUMNS].T) for a in range(0, d, COLUMNS)]
+            ids = candidates.column("ids").combine_chunks()
+            least = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
             for i, name in enumerate(asked.column("qkey").to_pylist()):
                 at, far = adaptive_scan(rq[i], columns, k + 1, epsilon)
-                if len(at) > 4 * k:
-                    at = at[np.argsort(far, kind="stable")[: 4 * k]]
+                if len(at) > 4 * k:  # what is as far as the last one stays
+                    at = at[far <= np.partition(far, 4 * k - 1)[4 * k - 1] * (1 + 1e-9) + 1e-12]
                 exact = cosines(q[i], x[at])
-                best = np.argsort(-exact, kind="stable")[: k + 1]
+                # Of k + 1 candidates by score and smallest id none is missing whose ids could be wanted.
+                best = np.lexsort((least[at], -exact))[: k + 1]
                 out_key += [name] * len(best)
                 out_v.append(at[best])
                 out_score.append(exact[best])
@@ -185,12 +183,39 @@ def search(rows: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
         ids = candidates.column("ids").combine_chunks().take(pa.array(at, pa.int64())) if len(at) else pa.array([], pa.list_(pa.int64()))
         return pa.table([pa.array(out_key, pa.string()), ids, pa.array(np.concatenate(out_score) if out_score else np.zeros(0))], names=["key", "ids", "score"])
 
-    found = left.groupBy("list", "block", "run").cogroup(right.groupBy("list", "block", "run")).applyInArrow(scan, "key string, ids array<long>, score double")
-    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    best = stored(found.select("key", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near")))
+    def nearest(asked: DataFrame, probes: int) -> DataFrame:
+        """A list's candidates stand in blocks, its queries in runs; every block meets every run."""
+        dealt = stored(asked.mapInArrow(deal(probes), "list int, qkey string, q array<double>"))
+        runs = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
+        plan = blocks.join(runs, "list").collect()  # at most sample / 8 rows
+        plans = [F.broadcast(spark.createDataFrame(plan, "list int, blocks int, runs int")) for _ in range(2)]
+        block, run = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("qkey"), F.col("runs")).cast("int")
+        left = placed.join(plans[0], "list").select("list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), "key", "v", "ids")
+        right = dealt.join(plans[1], "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), run.alias("run"), "qkey", "q")
+        found = left.groupBy("list", "block", "run").cogroup(right.groupBy("list", "block", "run")).applyInArrow(scan, "key string, ids array<long>, score double")
+        order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+        ranked = found.select("key", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+        out = stored(ranked.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near")))
+        dropped(dealt)
+        return out
+
+    best = None
+    asked = distinct.join(queries.select("key").distinct(), "key", "left_semi").select("key", "v")
+    while True:
+        found = nearest(asked, probes)
+        whole = found if probes == lists else found.filter(F.size("near") == k + 1)
+        best = whole if best is None else best.unionByName(whole)
+        if probes == lists:
+            break
+        asked = asked.join(whole.select("key"), "key", "left_anti")
+        if asked.isEmpty():
+            break
+        probes = min(lists, 4 * probes)
     asking = queries.distinct()
     given = hot_join(asking, best, "key", asking.groupBy("key").agg(F.count(F.lit(1)).alias("n")), total, "inner")
     kept = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("id")), 1, k)
+    for t in (distinct, placed):
+        dropped(t)
     return given.select(F.col("id").alias("query_id"), F.posexplode(kept)).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
 
 
