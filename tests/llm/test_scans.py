@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 import pytest
 from cases import frame, rows, sf
 from pyspark.sql import functions as F
@@ -58,6 +59,24 @@ def test_contamination(spark):
     assert got(decontaminate.contamination(frame(spark), bench.limit(0)).filter("contaminated"), "doc_id") == []
 
 
+def test_items_without_id(spark):
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(None, line), (7, line + " end"), (7, "one two"), (None, "one two")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, line), (2, "x " + line + " end"), (3, "one two"), (None, None)], "doc_id long, text string")
+    out = {r["doc_id"]: tuple(r)[1:4] for r in decontaminate.contamination(docs, bench).collect()}
+    assert out == {1: (10, 10, 1), 2: (12, 11, 1), 3: (2, 2, 1), None: (0, 0, 0)}
+    only = decontaminate.contamination(docs, bench.filter("item_id is null")).filter("contaminated").orderBy("doc_id").select("doc_id", "n_hit", "n_items").collect()
+    assert [tuple(r) for r in only] == [(1, 10, 0), (2, 10, 0), (3, 2, 0)]
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()] == [None]
+
+
+def test_varied_length_numbers():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.integers(0, 1 << b, 50) for b in (1, 7, 8, 14, 21, 28, 34)]).astype(np.int64)
+    data, size = decontaminate.packed(x)
+    assert decontaminate.unpacked(data).tolist() == x.tolist() and int(size.sum()) == len(data)
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "alpha beta gamma delta very epsilon zeta eta theta iota kappa"), (2, "kappa alpha"), (3, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "doc_id long, text string")
