@@ -40,28 +40,26 @@ def mixed(seed, n, length):
 
 
 def test_byte_repeats_on_cases(spark):
-    data = [r for r in rows()]
-    short = [(*r[:1], r[1] if r[1] is None else r[1][:9000], *r[2:]) for r in data]
-    want = plain(spark, short, brute.byte_repeats, True)
-    assert got(suffix.repeats(frame(spark, short))) == want
+    assert got(suffix.repeats(frame(spark))) == plain(spark, rows(), brute.byte_repeats, True)
     assert suffix.repeats(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("hot", [200_000, 3])
-def test_byte_repeats_random(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "largest", "block"), [(1 << 16, 1 << 16, 1 << 20), (3, 70, 1000), (1 << 16, 70, 99)])
+def test_byte_repeats_random(spark, hot, largest, block, monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 1500)
     data = [*mixed(1, 120, 200), (500, "z" * 700), (501, "ab" * 500), (502, "y" * 99), (503, "b" + "z" * 300)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert got(suffix.repeats(df, hot=hot, batch=64)) == plain(spark, data, brute.byte_repeats, True)
+    assert got(suffix.repeats(df, hot=hot, batch=64, largest=largest, block=block)) == plain(spark, data, brute.byte_repeats, True)
 
 
-def test_column_construction():
+@pytest.mark.parametrize("block", [1 << 20, 7, 1])
+def test_column_construction(block, tmp_path):
     r = random.Random(4)
     for _ in range(60):
         strings = [bytes(r.choice(b"abc") for _ in range(r.randint(1, 25))) for _ in range(r.randint(1, 20))]
         size = np.array([len(s) for s in strings])
         data = np.frombuffer(b"".join(strings), np.uint8)
-        c = suffix.Columns(data, np.cumsum(size) - size, size)
+        c = suffix.Columns(data, np.cumsum(size) - size, size, str(tmp_path), block)
         every = sorted(((s[i:], j), s[i - 1] + 1 if i else 0) for j, s in enumerate(strings) for i in range(len(s) + 1))
 
         def common(a, b):
@@ -70,8 +68,9 @@ def test_column_construction():
                 n += 1
             return n
 
-        assert c.bwt.tolist() == [x for _, x in every]
-        assert c.lcp.tolist() == [0] + [common(a[0][0], b[0][0]) for a, b in zip(every, every[1:])]
+        bwt, lcp = c.read()
+        assert bwt.tolist() == [x for _, x in every]
+        assert lcp.tolist() == [0] + [common(a[0][0], b[0][0]) for a, b in zip(every, every[1:])]
 
 
 def test_byte_repeats_on_table(spark):

@@ -1,19 +1,23 @@
-"""Substring dedup over bytes by collection suffix order, built column by column.
+"""Substring dedup over bytes by collection suffix order, built column by column in sequential files.
 
 Equal `WIDTH`-byte windows have the same minimizer: the least of the hashes of their `GRAM`-byte grams, the leftmost of
 equals. Consecutive windows with one minimizer make a segment of under two widths; all its windows can only equal windows
-of segments with the same minimizer. So the collection that has to be sorted is cut into groups by minimizer, and every
-string in it is short, however long the documents are.
-
-First pass: units (buckets of documents) send the minimizers they have, sorted; merged counts come back as bits. Second
-pass: segments of repeated minimizers, each distinct one once for a unit, meet by minimizer. Groups of several distinct
-segments go through the column-wise construction (BCR with longest common prefixes): in round t the suffixes of length t
-of all strings are inserted at once. Their places follow from the places of the suffixes one shorter by the rank of the
-symbol before them in the Burrows-Wheeler transform, their common prefixes from the least one between two occurrences of
-that symbol; transform and prefixes are then rewritten front to back with the new rows merged in. Runs of prefixes of
-WIDTH or more are the repeated windows; the first occurrence of each stays. Third pass: units remove what is not first.
-The transform and the prefixes of a batch are sequential buffers in memory, as batches are bounded (`BATCH` strings of
-under two widths); a minimizer with over HOT segments is dealt by single windows instead, so no group outgrows a task.
+of segments with the same minimizer. So the collection that has to be sorted is dealt by minimizer into collections that
+know nothing of each other. No key of a window can make longer slices: it must be a function of its 100 bytes alone.
+
+First pass: units (buckets of documents) send the minimizers they have, a row each; a sum over each minimizer says which
+are repeated. Second pass: a unit sends the segments of repeated minimizers, each distinct one once. They meet sorted by
+minimizer, and go as documents of a collection through the column-wise construction (BCR with longest common prefixes):
+in round t one symbol of every document is inserted, that is its suffix of length t. The transform and the prefixes stand
+in two files. A round reads them front to back: ranks of the symbols give the places of the new suffixes, the least
+prefix since the symbol last stood, and up to where it stands next, give their prefixes. Then it reads them once more and
+writes them with the new rows merged in. Only a block of the files, and a row for each document, are in memory. Runs of
+prefixes of WIDTH or more are the repeated windows; the first occurrence of each stays. Third pass: units remove what is
+not first.
+
+A minimizer that occurs over `hot` times is dealt by single windows instead. What comes under one key is taken in
+collections of `batch` documents and more; a group of over `LARGEST` is worked off in parts, where only documents that are
+first with some window stay for the next part: what is first in all is first in its part.
 
 Defined results: a null or empty text has no bytes; documents are ordered by id, null ids last, then by a hash of the
 text, then equal rows one after another; other columns are not read.
@@ -22,14 +26,16 @@ text, then equal rows one after another; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tradewire.llm.common import bucketed, doc_order, documents, mix, pack, partitions, raw_texts, rolling, sliding_min, unpack
+from tradewire.llm.common import bucketed, doc_order, documents, mix, partitions, raw_texts, rolling, sliding_min
 
 WIDTH = 100
 GRAM = 37
@@ -38,7 +44,9 @@ BASE = 0x100000001B3
 PIECE = 1 << 15
 LOW = np.uint64((1 << 20) - 1)
 BATCH = 4096
-HOT = 200_000
+HOT = LARGEST = 1 << 16
+#: Rows of the files that are read at once.
+BLOCK = 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -51,6 +59,10 @@ class Unit:
         self.texts = [raw or b"" for raw in raw_texts(table.column("text").combine_chunks())]
         self.texts = [self.texts[i] for i in order]
         self.parts = list(self.segments())
+        empty = np.zeros(0, np.int64)
+        #: Of all segments: minimizer, document and start in it, windows; in the order of documents.
+        self.h = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in self.parts)])
+        self.doc, self.pos, self.windows = (np.concatenate([empty, *(x[i] for x in self.parts)]) for i in (2, 3, 4))
 
     def segments(self) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Batches of (data, hash, document, start in it, windows, start in data)."""
@@ -91,63 +103,128 @@ def cut(held: list[tuple[int, int, bytes]]) -> tuple[bytes, np.ndarray, np.ndarr
 
 
 class Columns:
-    """Burrows-Wheeler transform and common prefixes of a collection of byte strings, column by column.
+    """Burrows-Wheeler transform and common prefixes of a collection of byte strings, column by column, in files.
 
     Symbols are shifted by one; 0 marks the start of a string. Suffix order takes ends of strings as smaller than any
     symbol and different from each other.
     """
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """data holds all strings; they must not be empty."""
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, folder: str, block: int = BLOCK) -> None:
+        """data holds all strings; they must not be empty. folder: where the two files, and their next version, stand."""
         self.data, self.start, self.size, self.m = data, start, size, len(start)
-        self.symbols = np.uint8 if int(data.max(initial=0)) < 255 else np.uint16  # UTF-8 has no byte 255
-        self.bwt = data[start + size - 1].astype(self.symbols) + self.symbols(1)
-        self.lcp = np.zeros(self.m, np.uint8)
-        at = np.arange(self.m)  # of the suffix that was inserted last
-        alive = np.arange(self.m)
+        self.folder, self.block, self.turn, self.rows = folder, block, 0, len(start)
+        # UTF-8 has no byte 255. Prefixes are shorter than the longest string.
+        self.kinds = {"bwt": np.dtype(np.uint8 if int(data.max(initial=0)) < 255 else np.uint16), "lcp": np.dtype(np.uint8 if int(size.max(initial=0)) < 255 else np.uint32)}
+        bwt = data[start + size - 1].astype(self.kinds["bwt"]) + self.kinds["bwt"].type(1)
+        self.counts = np.bincount(bwt, minlength=258)
+        bwt.tofile(self.name("bwt"))
+        np.zeros(self.m, self.kinds["lcp"]).tofile(self.name("lcp"))
+        at = alive = np.arange(self.m)  # places of the suffixes that were inserted last, ascending
         for t in range(1, int(size.max(initial=0)) + 1):
             at, alive = self.insert(t, at, alive)
 
-    def ranks(self) -> tuple[np.ndarray, np.ndarray, int]:
-        order = np.argsort(self.bwt, kind="stable")  # by digits, as symbols are small
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return order, rank, int((self.bwt == 0).sum())
+    def name(self, kind: str, turn: int | None = None) -> str:
+        return os.path.join(self.folder, f"{kind}{self.turn if turn is None else turn}")
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, transform, prefixes), front to back."""
+        with open(self.name("bwt"), "rb") as f, open(self.name("lcp"), "rb") as g:
+            for at in range(0, self.rows, self.block):
+                yield at, np.fromfile(f, self.kinds["bwt"], self.block), np.fromfile(g, self.kinds["lcp"], self.block)
+
+    def before(self) -> np.ndarray:
+        """For each symbol how many rows start with a smaller one, among those whose suffixes stand already or come now."""
+        c = self.counts.copy()
+        c[0] = self.m
+        return np.cumsum(c) - c
+
+    def scan(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the rows at these places: symbol, rank among equal symbols, prefix shared with the row before the new one, and with the one behind (0: none)."""
+        none = np.iinfo(self.kinds["lcp"]).max
+        symbol, rank = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        mine, theirs = np.zeros(len(at), self.kinds["lcp"]), np.zeros(len(at), self.kinds["lcp"])
+        past, since = np.zeros(258, np.int64), np.full(258, none)
+        waits, least = np.full(258, -1), np.full(258, none)  # rows whose next equal symbol is in a later block
+        alone = self.rows <= self.block
+        for begin, b, l in self.blocks():
+            lo, hi = np.searchsorted(at, (begin, begin + len(b)))
+            p = at[lo:hi] - begin
+            order = np.argsort(b, kind="stable")  # by digits, as symbols are small
+            place = np.empty(len(b), np.int32)
+            place[order] = np.arange(len(b), dtype=np.int32)
+            n = np.bincount(b, minlength=258)
+            lead = np.cumsum(n) - n
+            if not alone:
+                up, down = np.minimum.accumulate(l), np.append(np.minimum.accumulate(l[::-1])[::-1], none)
+                some = np.flatnonzero((waits >= 0) & (n > 0))
+                theirs[waits[some]] = np.minimum(least[some], up[order[lead[some]]]) + 1
+                waits[some] = -1
+                least = np.minimum(least, up[-1])
+            c = b[p].astype(np.int64)
+            k = place[p].astype(np.int64)
+            r = k - lead[c]
+            symbol[lo:hi], rank[lo:hi] = c, past[c] + r
+            inside = r > 0
+            mine[lo:hi][inside] = least_between(l, order[k[inside] - 1] + 1, p[inside] + 1) + 1
+            follows = r + 1 < n[c]
+            theirs[lo:hi][follows] = least_between(l, p[follows] + 1, order[k[follows] + 1] + 1) + 1
+            if not alone:
+                first = ~inside & (past[c] > 0)
+                mine[lo:hi][first] = np.minimum(since[c[first]], up[p[first]]) + 1
+                last = np.flatnonzero(~follows)
+                waits[c[last]], least[c[last]] = lo + last, down[p[last] + 1]
+                since = np.minimum(since, up[-1])
+                held = np.flatnonzero(n)
+                since[held] = down[order[lead[held] + n[held] - 1] + 1]
+            past += n
+        return symbol, rank, mine, theirs
 
     def insert(self, t: int, at: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges the suffixes of length t in. at: places of those one shorter, of the strings in alive, ascending."""
-        order, rank, ended = self.ranks()
-        r = rank[at]
-        to = self.m + r - ended
-        symbol = self.bwt[at]
-        before = np.where(r > 0, order[r - 1], 0)
-        after = order[np.minimum(r + 1, len(order) - 1)]
-        has_before = (r > ended) & (self.bwt[before] == symbol)
-        has_after = (r + 1 < len(order)) & (self.bwt[after] == symbol)
-        mine = np.zeros(len(at), np.uint8)
-        mine[has_before] = least_between(self.lcp, before[has_before] + 1, at[has_before] + 1) + 1
-        theirs = least_between(self.lcp, at[has_after] + 1, after[has_after] + 1) + 1
-        total = len(self.bwt) + len(at)
+        symbol, rank, mine, theirs = self.scan(at)
+        to = self.before()[symbol] + rank
+        behind = np.flatnonzero(theirs)
+        sort = np.argsort(to[behind], kind="stable")
+        next_at, next_lcp = to[behind][sort] + 1, theirs[behind][sort]
         sort = np.argsort(to, kind="stable")
         to, alive, mine = to[sort], alive[sort], mine[sort]
-        old = np.ones(total, bool)
-        old[to] = False
-        bwt, lcp = np.empty(total, self.bwt.dtype), np.empty(total, np.uint8)
-        bwt[old], lcp[old] = self.bwt, self.lcp
         left = self.size[alive] > t
-        bwt[to] = 0
-        bwt[to[left]] = self.data[self.start[alive[left]] + self.size[alive[left]] - t - 1].astype(self.symbols) + self.symbols(1)
-        lcp[self.m + r[has_after] - ended + 1] = theirs
-        lcp[to] = mine
-        self.bwt, self.lcp = bwt, lcp
+        new = np.zeros(len(to), self.kinds["bwt"])
+        new[left] = self.data[self.start[alive[left]] + self.size[alive[left]] - t - 1].astype(self.kinds["bwt"]) + self.kinds["bwt"].type(1)
+        into = to - np.arange(len(to))  # old rows before each new one
+        done = 0
+        with open(self.name("bwt", 1 - self.turn), "wb") as f, open(self.name("lcp", 1 - self.turn), "wb") as g:
+            for begin, b, l in self.blocks():
+                whole = begin + len(b) == self.rows
+                end = len(into) if whole else int(np.searchsorted(into, begin + len(b)))
+                own = to[done:end] - (begin + done)
+                old = np.ones(len(b) + len(own), bool)
+                old[own] = False
+                bwt, lcp = np.empty(len(old), b.dtype), np.empty(len(old), l.dtype)
+                bwt[old], lcp[old] = b, l
+                a, z = np.searchsorted(next_at, (begin + done, begin + done + len(old)))
+                lcp[next_at[a:z] - begin - done] = next_lcp[a:z]
+                bwt[own], lcp[own] = new[done:end], mine[done:end]
+                bwt.tofile(f)
+                lcp.tofile(g)
+                done = end
+        self.turn, self.rows = 1 - self.turn, self.rows + len(to)
+        self.counts += np.bincount(new, minlength=258)
         return to[left], alive[left]
 
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromfile(self.name("bwt"), self.kinds["bwt"]), np.fromfile(self.name("lcp"), self.kinds["lcp"])
+
     def places(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, strings, place of each one's suffix of that length), by walking from the empty suffixes."""
-        _, rank, ended = self.ranks()
+        bwt, _ = self.read()
+        order = np.argsort(bwt, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        ended = int(self.counts[0])
         at, alive = np.arange(self.m), np.arange(self.m)
         for t in range(1, int(self.size.max(initial=0)) + 1):
-            at = self.m + rank[at] - ended
+            at = self.m + rank[at].astype(np.int64) - ended
             yield t, alive, at
             left = self.size[alive] > t
             at, alive = at[left], alive[left]
@@ -158,19 +235,20 @@ def least_between(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.
     if not len(begin):
         return np.zeros(0, values.dtype)
     pairs = np.stack([begin, end], axis=1).ravel()
-    return np.minimum.reduceat(np.append(values, values.dtype.type(255)), pairs)[::2]
+    return np.minimum.reduceat(np.append(values, np.iinfo(values.dtype).max).astype(values.dtype), pairs)[::2]
 
 
-def kept_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, when: np.ndarray) -> np.ndarray:
+def kept_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, when: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """For each string a mask: bit i is set if its window at i occurs nowhere earlier. when: document rank << 32 | position."""
-    c = Columns(data, start, size)
-    group = np.cumsum(c.lcp < WIDTH)
-    at, string, offset = [], [], []
-    for t, alive, place in c.places():
-        if t >= WIDTH:
-            at.append(group[place])
-            string.append(alive)
-            offset.append(size[alive] - t)
+    with tempfile.TemporaryDirectory(prefix="columns-") as folder:
+        c = Columns(data, start, size, folder, block)
+        group = np.cumsum(c.read()[1] < WIDTH, dtype=np.int32)
+        at, string, offset = [], [], []
+        for t, alive, place in c.places():
+            if t >= WIDTH:
+                at.append(group[place])
+                string.append(alive)
+                offset.append(size[alive] - t)
     at, string, offset = np.concatenate(at), np.concatenate(string), np.concatenate(offset)
     time = when[string] + offset.astype(np.uint64)
     order = np.lexsort((time, at))
@@ -182,79 +260,83 @@ def kept_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, when: np
     return mask
 
 
-def table(rows: list[tuple], names: str) -> pa.Table:
+MINIMIZERS, ANSWER = "bucket int, h long, times long", "bucket int, doc int, pos long, mask long"
+MOVED = "h long, bucket int, doc int, pos long, id long, k2 long, seq int, text binary"
+
+
+def table(columns: list, names: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     fields = [x.split() for x in names.split(", ")]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
-    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+    columns = columns or [[]] * len(fields)
+    return pa.table([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
 
+class Group:
+    """Moved segments, sorted by key, as columns."""
 
-def ranges(values: np.ndarray, number: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(range, ascending positions) of 64-bit values. They are mixed first, as least hashes are small ones."""
-    part = (mix(values) >> np.uint64(32)).astype(np.int64) * number >> 32
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]])) if len(part) else []
-    for a, z in zip(cuts, cuts[1:], strict=False):
-        yield int(part[order[a]]), order[a:z]
+    def __init__(self, h, bucket, doc, pos, id_, k2, seq, text: list[bytes]) -> None:
+        self.columns, self.text = (h, bucket, doc, pos, id_, k2, seq), text
 
+    @staticmethod
+    def of(b: pa.RecordBatch) -> Group:
+        return Group(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(7)), b.column(7).to_pylist())
 
-SENT, ANSWER, MOVED = "part int, bucket int, blob binary", "bucket int, kind int, part int, blob binary", "part int, bucket int, blob binary"
+    @staticmethod
+    def joined(parts: list[Group]) -> Group:
+        return Group(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True)), [t for p in parts for t in p.text])
 
+    def take(self, at: np.ndarray) -> Group:
+        return Group(*(c[at] for c in self.columns), [self.text[i] for i in at.tolist()])
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, batch: int = BATCH) -> DataFrame:
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def masks(self, block: int) -> np.ndarray:
+        """Of each segment the windows that are first here."""
+        h, _, _, pos, id_, k2, seq = self.columns
+        size = np.fromiter(map(len, self.text), np.int64, len(self.text))
+        mask = np.where(size - WIDTH + 1 >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(size - WIDTH + 1, 63).astype(np.uint64)) - np.uint64(1))
+        # A segment has no window twice, as equal windows have their minimizer at the same place.
+        shared = np.flatnonzero(np.concatenate([[False], h[1:] == h[:-1]]) | np.concatenate([h[1:] == h[:-1], [False]]))
+        if len(shared):
+            order = np.lexsort((seq, k2, id_))  # documents as ranks, so that one number says when something occurs
+            new = np.zeros(len(order), np.uint64)
+            new[1:] = (id_[order][1:] != id_[order][:-1]) | (k2[order][1:] != k2[order][:-1]) | (seq[order][1:] != seq[order][:-1])
+            when = np.empty(len(order), np.uint64)
+            when[order] = np.cumsum(new) << np.uint64(32)
+            when += pos.astype(np.uint64)
+            own = size[shared]
+            data = np.frombuffer(b"".join([self.text[i] for i in shared.tolist()]), np.uint8)
+            mask[shared] = kept_windows(data, np.cumsum(own) - own, own, when[shared], block)
+        return mask
+
+    def answers(self, at: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+        _, bucket, doc, pos, *_ = self.columns
+        return table([bucket[at], doc[at], pos[at], mask[at].view(np.int64)], ANSWER).to_batches()[0]
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, batch: int = BATCH, largest: int = LARGEST, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     n = partitions(docs, text_col=text_col)
-    units = bucketed(docs, n, id_col, text_col)
-
-    def counted(unit: Unit) -> tuple[np.ndarray, np.ndarray]:
-        """The unit's distinct minimizers, cut to 48 bits, and how often each occurs."""
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(h >> np.uint64(16) << np.uint64(16) for _, h, *_ in unit.parts)]), return_counts=True)
+    units = bucketed(docs, n, id_col, text_col).repartition(n, "bucket")
 
     def minimizers(t: pa.Table) -> pa.Table:
-        found, times = counted(Unit(t))
-        out = []
-        for p, own in ranges(found, n):
-            step = np.diff(found[own] >> np.uint64(16), prepend=np.uint64(0))
-            out.append((p, t.column("bucket")[0].as_py(), pack(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).ravel(), np.minimum(times[own], 255).astype(np.uint8))))
-        return table(out, SENT)
-
-    def merge(t: pa.Table) -> pa.Table:
-        every, times = [], []
-        for blob in t.column("blob").to_pylist():
-            flat, number = unpack(blob)
-            every.append(np.cumsum(np.ascontiguousarray(flat.reshape(8, -1).T).view(np.uint64).ravel()))
-            times.append(number)
-        _, which = np.unique(np.concatenate(every), return_inverse=True)
-        sums = np.bincount(which, np.concatenate(times))[which]
-        out, at = [], 0
-        for bucket, own in zip(t.column("bucket").to_pylist(), every, strict=True):
-            s = sums[at : at + len(own)]
-            at += len(own)
-            out.append((bucket, 0, t.column("part")[0].as_py(), pack(np.packbits(s > 1), np.packbits(s > hot), np.array([len(s)]))))
-        return table(out, ANSWER)
-
-    def marked(unit: Unit, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The unit's distinct minimizers; which are repeated, which are hot."""
-        found, _ = counted(unit)
-        repeated, often = np.zeros(len(found), bool), np.zeros(len(found), bool)
-        blobs = {r["part"]: r["blob"] for r in t.filter(pc.equal(t.column("kind"), 0)).to_pylist()}
-        for p, own in ranges(found, n):
-            a, b, size = unpack(blobs[p])
-            repeated[own] = np.unpackbits(a, count=int(size[0])).astype(bool)
-            often[own] = np.unpackbits(b, count=int(size[0])).astype(bool)
-        return found, repeated, often
-
-    def move(t: pa.Table, answers: pa.Table) -> pa.Table:
+        h, times = np.unique(Unit(t).h, return_counts=True)
+        return table([np.full(len(h), t.column("bucket")[0].as_py()), h.view(np.int64), times], MINIMIZERS)
+
+    def move(t: pa.Table, repeated: pa.Table) -> pa.Table:
         import xxhash
 
-        if not t.num_rows:
+        if not t.num_rows or not repeated.num_rows:
             return table([], MOVED)
         unit = Unit(t)
-        found, repeated, often = marked(unit, answers)
+        found = repeated.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(found)
+        found, often = found[order], repeated.column("often").to_numpy()[order]
         first: dict[bytes, tuple[int, int, int]] = {}  # in the order of documents: the first occurrence stays
         for data, h, doc, pos, windows, start in unit.parts:
-            at = np.searchsorted(found, h >> np.uint64(16) << np.uint64(16))
-            take = np.flatnonzero(repeated[at])
+            at = np.minimum(np.searchsorted(found, h), len(found) - 1)
+            take = np.flatnonzero(found[at] == h)
             single = often[at[take]].tolist()
             for key, d, p, w, s, alone in zip(h[take].tolist(), doc[take].tolist(), pos[take].tolist(), windows[take].tolist(), start[take].tolist(), single, strict=True):
                 if alone:
@@ -264,97 +346,75 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
                             first[one] = (xxhash.xxh3_64_intdigest(one), d, p + i)
                 else:
                     first.setdefault(data[s : s + w + WIDTH - 1], (key, d, p))
-        texts = list(first)
-        keys = np.array([x[0] for x in first.values()], np.uint64)
-        doc, pos = np.array([x[1] for x in first.values()], np.int64), np.array([x[2] for x in first.values()], np.int64)
-        out = []
-        for p, own in ranges(keys, n):
-            docs_, which = np.unique(doc[own], return_inverse=True)
-            strings = [texts[i] for i in own]
-            out.append((p, t.column("bucket")[0].as_py(), pack(keys[own], which.astype(np.uint32), pos[own], np.array([len(x) for x in strings], np.uint8), np.frombuffer(b"".join(strings), np.uint8), docs_, unit.ids[docs_], unit.k2[docs_], unit.seq[docs_])))
-        return table(out, MOVED)
-
-    def sort(t: pa.Table) -> pa.Table:
-        keys, ids, k2, seq, pos, doc, bucket, strings = [], [], [], [], [], [], [], []
-        for b, blob in zip(t.column("bucket").to_pylist(), t.column("blob").to_pylist(), strict=True):
-            key, which, p, size, raw, docs_, i, k, s = unpack(blob)
-            raw, ends = raw.tobytes(), np.cumsum(size.astype(np.int64))
-            strings += [raw[a:z] for a, z in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-            for c, x in zip((keys, ids, k2, seq, pos, doc, bucket), (key, i[which], k[which], s[which], p, docs_[which], np.full(len(key), b)), strict=True):
-                c.append(x)
-        keys, ids, k2, seq, pos, doc, bucket = (np.concatenate(x) for x in (keys, ids, k2, seq, pos, doc, bucket))
-        # Documents as ranks, so that one number says when something occurs.
-        order = np.lexsort((seq, k2, ids))
-        new = np.zeros(len(order), np.uint64)
-        new[1:] = (ids[order][1:] != ids[order][:-1]) | (k2[order][1:] != k2[order][:-1]) | (seq[order][1:] != seq[order][:-1])
-        when = np.empty(len(order), np.uint64)
-        when[order] = np.cumsum(new) << np.uint64(32)
-        when += pos.astype(np.uint64)
-        best: dict[bytes, int] = {}
-        for i in np.argsort(when, kind="stable").tolist():
-            best.setdefault(strings[i], i)
-        at = np.array(list(best.values()), np.int64)
-        at = at[np.argsort(keys[at], kind="stable")]
-        size = np.array([len(strings[i]) for i in at], np.int64)
-        mask = np.where(size - WIDTH + 1 >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(size - WIDTH + 1, 63).astype(np.uint64)) - np.uint64(1))
-        # Batches end between minimizers.
-        ends = np.flatnonzero(np.concatenate([keys[at][1:] != keys[at][:-1], [True]])) + 1
-        begins = np.concatenate([[0], ends[:-1]])
-        shared = [(b, e) for b, e in zip(begins.tolist(), ends.tolist(), strict=True) if e - b > 1]
-        some: list[np.ndarray] = []
-        for k, (b, e) in enumerate(shared):
-            some.append(np.arange(b, e))
-            if sum(map(len, some)) >= batch or k == len(shared) - 1:
-                own = np.concatenate(some)
-                some = []
-                joined = b"".join(strings[i] for i in at[own])
-                mask[own] = kept_windows(np.frombuffer(joined, np.uint8), np.cumsum(size[own]) - size[own], size[own], when[at[own]])
-        out = []
-        by = np.argsort(bucket[at], kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[at][by]) != 0, [True]]))
-        for a, z in zip(cuts, cuts[1:], strict=False):
-            own = by[a:z]
-            out.append((int(bucket[at[own[0]]]), 1, t.column("part")[0].as_py(), pack(doc[at[own]], pos[at[own]], mask[own])))
-        return table(out, ANSWER)
+        key, doc, pos = (np.array(x, k) for x, k in zip(zip(*first.values(), strict=True), (np.uint64, np.int64, np.int64), strict=True))
+        return table([key.view(np.int64), np.full(len(key), t.column("bucket")[0].as_py()), doc, pos, unit.ids[doc], unit.k2[doc], unit.seq[doc], list(first)], MOVED)
+
+    def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys come sorted. Collections end between keys; a key that goes on beyond `largest` is worked off in parts."""
+        held: list[Group] = []
+        for b in batches:
+            for a in range(0, b.num_rows, batch):
+                held.append(Group.of(b.slice(a, batch)))
+                if sum(map(len, held)) < batch:
+                    continue
+                all_ = Group.joined(held)
+                cut = int(np.searchsorted(all_.columns[0], all_.columns[0][-1]))
+                if cut:
+                    done = all_.take(np.arange(cut))
+                    yield done.answers(np.arange(cut), done.masks(block))
+                rest = all_.take(np.arange(cut, len(all_))) if cut else all_
+                if len(rest) >= largest:
+                    mask = rest.masks(block)
+                    gone = np.flatnonzero(mask == 0)
+                    if len(gone):
+                        yield rest.answers(gone, mask)
+                        rest = rest.take(np.flatnonzero(mask))
+                held = [rest] if len(rest) else []
+        if held:
+            all_ = Group.joined(held)
+            yield all_.answers(np.arange(len(all_)), all_.masks(block))
 
     def remove(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return table([], RESULT)
         unit = Unit(t)
-        found, repeated, _ = marked(unit, answers)
         size = np.array([len(x) for x in unit.texts], np.int64)
         windows = np.maximum(size - WIDTH + 1, 0)
         base = np.cumsum(windows) - windows
         edge = np.zeros(int(windows.sum()) + 1, np.int8)
-        for _, h, doc, pos, number, _ in unit.parts:
-            take = repeated[np.searchsorted(found, h >> np.uint64(16) << np.uint64(16))]
-            at = base[doc[take]] + pos[take]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + number[take], -1)
+        doc, pos, mask = (answers.column(c).to_numpy() for c in ("doc", "pos", "mask"))
+        mask = mask.view(np.uint64)
+        if len(doc):
+            # All segments with the minimizer of one that was sent, then what is first.
+            starts = base[unit.doc] + unit.pos
+            own = np.searchsorted(starts, base[doc] + pos, side="right") - 1
+            take = np.isin(unit.h, np.unique(unit.h[own]))
+            np.add.at(edge, starts[take], 1)
+            np.add.at(edge, starts[take] + unit.windows[take], -1)
         gone = np.cumsum(edge[:-1]) > 0
-        for blob in answers.filter(pc.equal(answers.column("kind"), 1)).column("blob").to_pylist():
-            doc, pos, mask = unpack(blob)
-            for i in range(64):
-                some = (mask >> np.uint64(i)) & np.uint64(1) == 1
-                gone[base[doc[some]] + pos[some] + i] = False
+        for i in range(64):
+            some = (mask >> np.uint64(i)) & np.uint64(1) == 1
+            gone[base[doc[some]] + pos[some] + i] = False
         out = []
         for d, raw in enumerate(unit.texts):
+            id_ = None if unit.null[d] else int(unit.ids[d])
             starts = np.flatnonzero(gone[base[d] : base[d] + windows[d]])
             if not len(starts):
-                out.append((None if unit.null[d] else int(unit.ids[d]), len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
+                out.append((id_, len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
                 continue
             far = np.flatnonzero(np.diff(starts) > WIDTH)  # runs that touch are one
             a = starts[np.concatenate([[0], far + 1])]
             z = starts[np.concatenate([far, [len(starts) - 1]])] + WIDTH
             kept = b"".join(raw[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(raw)], strict=True))
-            out.append((None if unit.null[d] else int(unit.ids[d]), len(raw), int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest()))
-        return table(out, RESULT)
-
-    # The parts are small and take long: their number is held, so that they are not put together into few tasks.
-    answers = units.groupBy("bucket").applyInArrow(minimizers, SENT).groupBy("part").applyInArrow(merge, ANSWER)
-    moved = units.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(move, MOVED).repartition(n, "part")
-    firsts = moved.groupBy("part").applyInArrow(sort, ANSWER)
-    return units.groupBy("bucket").cogroup(answers.unionByName(firsts).groupBy("bucket")).applyInArrow(remove, RESULT)
+            out.append((id_, len(raw), int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest()))
+        return table(list(map(list, zip(*out, strict=True))), RESULT)
+
+    total = F.sum("times").over(Window.partitionBy("h"))
+    found = units.groupBy("bucket").applyInArrow(minimizers, MINIMIZERS).repartition(n, "h").withColumn("total", total)
+    repeated = found.filter("total > 1").select(F.col("bucket").alias("unit"), "h", (F.col("total") > hot).alias("often")).repartition(n, "unit")
+    moved = units.groupBy("bucket").cogroup(repeated.groupBy("unit")).applyInArrow(move, MOVED)
+    firsts = moved.repartition(n, "h").sortWithinPartitions("h").mapInArrow(collections, ANSWER).withColumnRenamed("bucket", "unit").repartition(n, "unit")
+    return units.groupBy("bucket").cogroup(firsts.groupBy("unit")).applyInArrow(remove, RESULT)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
