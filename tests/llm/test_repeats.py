@@ -92,7 +92,7 @@ def test_word_repeats_random(spark, monkeypatch):
     data = [(r.randint(0, 60), "  ".join(r.choice(passages) if r.random() < 0.5 else " ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(r.randint(0, 5)))) for _ in range(150)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert got(substring.repeats(df)) == plain(spark, data, brute.word_repeats, False)
-    assert got(substring.repeats(df, cells_a_byte=0.0001)) == plain(spark, data, brute.word_repeats, False)
+    assert got(substring.repeats(df, cells_a_byte=0.0001, hot=3, batch=30, largest=40)) == plain(spark, data, brute.word_repeats, False)
 
 
 def test_word_repeats_on_table(spark):

@@ -1,13 +1,18 @@
 """Substring dedup over word windows, with a Count-Min prefilter.
 
 A window is `width` consecutive words. First pass: every work unit (a bucket of documents) counts its windows in a
-Count-Min sketch of `DEPTH` rows. A sketch is sent as the sorted cells it touches, cut by cell ranges (shards); the task
-of a shard merges the units' sketches, and answers each unit with one bit for each cell it had touched: is the merged
-count over one. A window is estimated repeated if all its cells are; the estimate is never too low, so none is lost. The
-merged sketch is spread over the shards and grows with the input, no task or driver holds it all.
-Second pass: only windows estimated repeated are grouped exactly, by a 128-bit digest of their words. A unit sends the
-first occurrence of each, so a common passage costs a row for each unit at most. The task of a digest range keeps the
-first of all; the unit removes the words of the estimated windows that are not first.
+Count-Min sketch of DEPTH rows, as the sorted cells it touches. Sketches are merged in two steps, each over about the
+square root of the number of units: a range of cells over a group of units, then a smaller range over all groups. The
+answers go back the same way: one bit for each cell, is the merged count over one. So a unit sends and gets blobs in
+proportion to that root, and no task or driver holds a whole sketch. A window is estimated repeated if all its cells are;
+the estimate is never too low, so none is lost.
+
+Second pass: only windows estimated repeated are grouped, exactly, by their words. Equal windows have the same minimizer,
+the least hash of their runs of GRAM words, so consecutive windows with one minimizer are sent as a segment of text, each
+distinct one once for a unit. Where a minimizer's segments meet, their windows are compared as texts and the first
+occurrence of each stays. Minimizers are counted in the sketch as well, in cells of their own; one that is estimated to
+occur over `hot` times is dealt by single windows, so that no group outgrows a task. The unit then removes the words of
+the estimated windows that are not first.
 
 Defined results: a null, empty or blank text has no words; nothing is removed from texts under `width` words; documents
 are ordered by id, null ids last, then by a hash of the text, then equal rows one after another (so a repeated row is
@@ -17,22 +22,30 @@ removed against its first copy); other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tradewire.llm.common import bucketed, doc_order, documents, input_bytes, mix, pack, partitions, raw_texts, unpack
+from tradewire.llm.common import bucketed, doc_order, documents, input_bytes, mix, pack, partitions, raw_texts, sliding_min, unpack
+from tradewire.llm.groups import MOVED, Group, firsts_of, table
 
 WIDTH = 20
+GRAM = 7
 DEPTH = 2
 #: Cells in a row of the sketch for each byte of compressed input: about four for each window.
 CELLS_A_BYTE = 1
 BASE = 0x9E3779B97F4A7C15 | 1
 PIECE = 1 << 20
+LOW = np.uint64((1 << 20) - 1)
+BATCH = 4096
+HOT = LARGEST = 1 << 16
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+#: (group, range) of the first step, (range, part) of the second.
+SKETCH, MERGED = "grp int, rng int, bucket int, cells binary, counts binary", "rng int, part int, grp int, cells binary, counts binary"
+OVER, BITS = "rng int, part int, grp int, bits binary", "bucket int, rng int, bits binary"
 
 
 class Powers:
@@ -76,6 +89,15 @@ def window_hashes(line: bytes, starts: np.ndarray, ends: np.ndarray, width: int)
     return np.concatenate(out)
 
 
+def minimizer_places(h: np.ndarray, windows: int, width: int, gram: int) -> np.ndarray:
+    """Of each window the place of its least gram, the leftmost of equals; h: the hashes of all grams."""
+    out = []
+    for at in range(0, windows, PIECE >> 1):
+        part = h[at : min(windows, at + (PIECE >> 1)) + width - gram]
+        out.append(at + (sliding_min((part & ~LOW) | np.arange(len(part), dtype=np.uint64), width - gram + 1) & LOW).astype(np.int64))
+    return np.concatenate(out)
+
+
 class Unit:
     """The documents of a bucket in their order, and the windows of all of them one after another."""
 
@@ -84,7 +106,7 @@ class Unit:
         order, self.ids, self.k2, self.seq = doc_order(table.column("id").combine_chunks(), table.column("k2").combine_chunks())
         self.null = table.column("id").is_null().combine_chunks().to_numpy(zero_copy_only=False)[order]
         self.texts = pa.array(table.column("text").combine_chunks().take(pa.array(order)))
-        self.width = width
+        self.width, self.gram = width, max(min(GRAM, width), width - 62)  # a mask has 64 bits
         self.size = np.zeros(len(order), np.int64)
         hashes = [np.zeros(0, np.uint64)]
         for d, words in enumerate(self.words()):
@@ -100,17 +122,26 @@ class Unit:
             for raw in raw_texts(self.texts.slice(at, 64)):
                 yield raw.split() if raw else []
 
+    def segments(self, wanted: np.ndarray | None = None) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each document: number, words as one line, their starts and ends, and of its segments of wanted windows: minimizer, first window, windows."""
+        for d, words in enumerate(self.words()):
+            n = int(self.windows[d])
+            own = np.arange(n) if wanted is None else np.flatnonzero(wanted[self.first[d] : self.first[d] + n])
+            if not len(own):
+                continue
+            line, starts, ends = spread(words)
+            h = window_hashes(line, starts, ends, self.gram)
+            place = minimizer_places(h, n, self.width, self.gram)[own]
+            lead = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1] + 1)]))
+            yield d, line, starts, ends, h[place[lead]], own[lead], np.diff(np.concatenate([lead, [len(own)]]))
+
     def cells(self, row: int, width: int) -> np.ndarray:
-        """The sketch cell of each window."""
-        return mix(self.hashes + np.uint64(0xA0761D6478BD642F * (row + 1) % (1 << 64))) % np.uint64(width)
+        """The sketch cell of each window; the rows of the sketch stand one after another."""
+        return cells_of(self.hashes, row, width)
 
-    def estimated(self, replies: dict[int, np.ndarray], width: int) -> np.ndarray:
-        """Which windows the merged sketch calls repeated."""
-        out = np.ones(len(self.hashes), bool)
-        for row in range(DEPTH):
-            distinct, which = np.unique(self.cells(row, width), return_inverse=True)
-            out &= replies[row][which] if len(distinct) else False
-        return out
+
+def cells_of(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
+    return mix(hashes + np.uint64(0xA0761D6478BD642F * (row + 1) % (1 << 64))) % np.uint64(width) + np.uint64(row * width)
 
 
 def planes(cells: np.ndarray) -> bytes:
@@ -119,115 +150,146 @@ def planes(cells: np.ndarray) -> bytes:
     return pack((step & np.uint64(255)).astype(np.uint8), (step >> np.uint64(8)).astype(np.uint64 if len(step) and int(step.max()) >> 40 else np.uint32))
 
 
-def from_planes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def from_planes(blob: bytes) -> np.ndarray:
+    low, high = unpack(blob)
     return np.cumsum(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(8))
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", cells_a_byte: float = CELLS_A_BYTE) -> DataFrame:
+def added(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Merged sketches: distinct cells, sorted, and their summed counts."""
+    every, which = np.unique(np.concatenate(cells), return_inverse=True)
+    return every, np.minimum(np.bincount(which, np.concatenate(counts)), (1 << 32) - 1).astype(np.uint32)
+
+
+def cut(values: np.ndarray, each: int) -> Iterator[tuple[int, slice]]:
+    """(range, run of sorted values in it), `each` values wide."""
+    part = (values // np.uint64(each)).astype(np.int64)
+    ends = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
+    for a, z in zip(ends, ends[1:], strict=False):
+        yield int(part[a]), slice(a, z)
+
+
+def estimates(units: DataFrame, n: int, width: int, cells: int, hot: int) -> DataFrame:
+    """Rows (bucket, rng, bits): for the cells that a unit touches, sorted, in ranges: is the merged count over one (over `hot` for minimizers)."""
+    root = math.isqrt(n - 1) + 1
+    wide = -(-(DEPTH + 1) * cells // root)
+    narrow = -(-wide // root)
+
+    def sketch(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        found, counts = touched(Unit(t, width), cells)
+        out = [(bucket % root, r, bucket, planes(found[own]), pack(counts[own])) for r, own in cut(found, wide)]
+        return table(list(map(list, zip(*out, strict=True))), SKETCH)
+
+    def merge(t: pa.Table) -> pa.Table:
+        found, counts = added([from_planes(x) for x in t.column("cells").to_pylist()], [unpack(x)[0] for x in t.column("counts").to_pylist()])
+        grp, rng = t.column("grp")[0].as_py(), t.column("rng")[0].as_py()
+        out = [(rng, p, grp, planes(found[own]), pack(counts[own])) for p, own in cut(found, narrow)]
+        return table(list(map(list, zip(*out, strict=True))), MERGED)
+
+    def over(t: pa.Table) -> pa.Table:
+        each = [from_planes(x) for x in t.column("cells").to_pylist()]
+        found, counts = added(each, [unpack(x)[0] for x in t.column("counts").to_pylist()])
+        often = counts > np.where(found < np.uint64(DEPTH * cells), 1, hot)
+        out = [(t.column("rng")[0].as_py(), t.column("part")[0].as_py(), g, pack(np.packbits(often[np.searchsorted(found, own)]))) for g, own in zip(t.column("grp").to_pylist(), each, strict=True)]
+        return table(list(map(list, zip(*out, strict=True))), OVER)
+
+    def back(t: pa.Table, answers: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return table([], BITS)
+        each = [from_planes(x) for x in t.column("cells").to_pylist()]
+        found = np.unique(np.concatenate(each))
+        bits = {r["part"]: unpack(r["bits"])[0] for r in answers.select(["part", "bits"]).to_pylist()}
+        often = np.concatenate([np.unpackbits(bits[p], count=own.stop - own.start) for p, own in cut(found, narrow)])
+        rng = t.column("rng")[0].as_py()
+        out = [(b, rng, pack(np.packbits(often[np.searchsorted(found, own)]), np.array([len(own)]))) for b, own in zip(t.column("bucket").to_pylist(), each, strict=True)]
+        return table(list(map(list, zip(*out, strict=True))), BITS)
+
+    sent = units.groupBy("bucket").applyInArrow(sketch, SKETCH).repartition(n, "grp", "rng")
+    merged = sent.groupBy("grp", "rng").applyInArrow(merge, MERGED).repartition(n, "rng", "part")
+    answers = merged.groupBy("rng", "part").applyInArrow(over, OVER).withColumnsRenamed({"grp": "to", "rng": "of"}).repartition(n, "to", "of")
+    return sent.groupBy("grp", "rng").cogroup(answers.groupBy("to", "of")).applyInArrow(back, BITS)
+
+
+def touched(unit: Unit, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a unit's windows (counts up to two, no more is asked) and, behind them, of its segments' minimizers."""
+    parts = [np.unique(unit.cells(row, cells), return_counts=True) for row in range(DEPTH)]
+    h = np.concatenate([np.zeros(0, np.uint64), *(x[4] for x in unit.segments())])
+    found, counts = np.unique(cells_of(h, DEPTH, cells), return_counts=True)
+    return np.concatenate([*(f for f, _ in parts), found]), np.concatenate([*(np.minimum(c, 2) for _, c in parts), counts]).astype(np.uint32)
+
+
+def windows_of(text: bytes, width: int = WIDTH) -> int:
+    return text.count(b" ") + 2 - width
+
+
+def first_windows(group: Group, width: int) -> np.ndarray:
+    """Of each segment a mask of the windows whose words stand nowhere earlier in the group."""
+    n = np.fromiter((windows_of(t, width) for t in group.text), np.int64, len(group))
+    mask = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
+    shared = group.shared()  # a segment has no window twice, as equal windows have their minimizer at the same place
+    h, _, _, pos, *_ = group.columns
+    seen: set[bytes] = set()
+    last = None
+    for i in shared[np.lexsort((pos[shared], group.ranks()[shared], h[shared]))].tolist():
+        if h[i] != last:
+            seen, last = set(), h[i]
+        line, starts, ends = spread(group.text[i].split(b" "))
+        mine = 0
+        for k, (s, e) in enumerate(zip(starts.tolist(), ends[width - 1 :].tolist(), strict=False)):
+            if (one := line[s:e]) not in seen:
+                seen.add(one)
+                mine |= 1 << k
+        mask[i] = mine
+    return mask
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", cells_a_byte: float = CELLS_A_BYTE, hot: int = HOT, batch: int = BATCH, largest: int = LARGEST) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256."""
     n = partitions(docs, text_col=text_col)
-    shards = n
     cells = max(1 << 12, int(input_bytes(docs, text_col) * cells_a_byte))
-    each = -(-cells // shards)
-    units = bucketed(docs, n, id_col, text_col)
+    units = bucketed(docs, n, id_col, text_col).repartition(n, "bucket")
 
-    def sketch(table: pa.Table) -> pa.Table:
-        unit, bucket = Unit(table, width), table.column("bucket")[0].as_py()
-        out: list[tuple] = []
-        for row in range(DEPTH):
-            found, counts = np.unique(unit.cells(row, cells), return_counts=True)
-            shard = (found // np.uint64(each)).astype(np.int64)
-            cut = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.unique(shard):
-                own = slice(cut[s], cut[s + 1])
-                out.append((int(s), bucket, row, planes(found[own] - np.uint64(s * each)), pack(np.packbits(counts[own] > 1))))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "bucket", "row", "cells", "more"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        rows = np.array(table.column("row").to_pylist())
-        for row in range(DEPTH):
-            at = np.flatnonzero(rows == row)
-            counts = np.zeros(each, np.uint8)
-            for i in at:
-                own = from_planes(*unpack(table.column("cells")[i].as_py()))
-                more = np.unpackbits(unpack(table.column("more")[i].as_py())[0], count=len(own))
-                counts[own] = np.minimum(counts[own] + 1 + more, 2)
-            for i in at:
-                own = from_planes(*unpack(table.column("cells")[i].as_py()))
-                out.append((table.column("bucket")[i].as_py(), row, table.column("shard")[i].as_py(), pack(np.packbits(counts[own] > 1), np.array([len(own)]))))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "part", "blob"])
-
-    def answered(unit: Unit, table: pa.Table) -> np.ndarray:
-        rows = sorted((r["kind"], r["part"], r["blob"]) for r in table.select(["kind", "part", "blob"]).to_pylist() if r["kind"] < DEPTH)
-        bits: dict[int, list[np.ndarray]] = {row: [np.zeros(0, bool)] for row in range(DEPTH)}
-        for row, _, blob in rows:
-            packed, size = unpack(blob)
-            bits[row].append(np.unpackbits(packed, count=int(size[0])).astype(bool))
-        return unit.estimated({row: np.concatenate(x) for row, x in bits.items()}, cells)
-
-    def digests(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def move(t: pa.Table, answers: pa.Table) -> pa.Table:
         import xxhash
 
-        empty = pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["range", "bucket", "blob"])
-        if not table.num_rows:
-            return empty
-        unit = Unit(table, width)
-        wanted = answered(unit, replies)
-        made, doc, pos = [], [], []
-        for d, words in enumerate(unit.words()):
-            at = np.flatnonzero(wanted[unit.first[d] : unit.first[d] + unit.windows[d]])
-            if len(at):
-                line, starts, ends = spread(words)
-                made.append(b"".join([xxhash.xxh3_128_digest(line[s:e]) for s, e in zip(starts[at].tolist(), ends[at + width - 1].tolist(), strict=True)]))
-                doc.append(np.full(len(at), d, np.uint32))
-                pos.append(at.astype(np.uint32))
-        if not made:
-            return empty
-        h = np.frombuffer(b"".join(made), ">u8").reshape(-1, 2).astype(np.uint64)
-        doc, pos = np.concatenate(doc), np.concatenate(pos)
-        order = np.lexsort((h[:, 1], h[:, 0]))  # stable: the first occurrence leads
-        h, doc, pos = h[order], doc[order], pos[order]
-        lead = np.ones(len(h), bool)
-        lead[1:] = (h[1:] != h[:-1]).any(axis=1)
-        h, doc, pos = h[lead], doc[lead], pos[lead]
-        part = (h[:, 0] >> np.uint64(32)).astype(np.int64) * shards >> 32
-        cut = np.searchsorted(part, np.arange(shards + 1))
-        out, bucket = [], table.column("bucket")[0].as_py()
-        for p in np.unique(part):
-            own = np.arange(cut[p], cut[p + 1])
-            own = own[np.lexsort((pos[own], doc[own]))]
-            docs_, which = np.unique(doc[own], return_inverse=True)
-            out.append((int(p), bucket, pack(h[own, 0], h[own, 1], which.astype(np.uint32), pos[own], docs_, unit.ids[docs_], unit.k2[docs_], unit.seq[docs_])))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["range", "bucket", "blob"])
-
-    def firsts(table: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-        for bucket, blob in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True):
-            h1, h2, which, pos, docs_, ids, k2, seq = unpack(blob)
-            for c, x in zip(cols, (h1, h2, ids[which], k2[which], seq[which], pos, docs_[which], np.full(len(h1), bucket, np.int32)), strict=True):
-                c.append(x)
-        h1, h2, ids, k2, seq, pos, doc, bucket = (np.concatenate(c) for c in cols)
-        order = np.lexsort((seq, k2, ids, h2, h1))
-        lead = np.ones(len(order), bool)
-        lead[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-        keep = order[lead]
-        keep = keep[np.lexsort((pos[keep], doc[keep], bucket[keep]))]
-        out, part = [], table.column("range")[0].as_py()
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[keep]) != 0, [True]]))
-        for a, z in zip(cut, cut[1:], strict=False):
-            own = keep[a:z]
-            out.append((int(bucket[own[0]]), DEPTH, part, pack(doc[own], pos[own])))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "part", "blob"])
-
-    def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())], names=[x.split()[0] for x in RESULT.split(", ")])
-        unit = Unit(table, width)
-        gone = answered(unit, replies)
-        for blob in replies.filter(pa.compute.equal(replies.column("kind"), DEPTH)).column("blob").to_pylist():
-            doc, pos = unpack(blob)
-            gone[unit.first[doc] + pos] = False
+        if not t.num_rows:
+            return table([], MOVED)
+        unit = Unit(t, width)
+        found, _ = touched(unit, cells)
+        answers = answers.sort_by("rng")
+        over = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(bits, count=int(size[0])) for bits, size in map(unpack, answers.column("bits").to_pylist()))]).astype(bool)
+        ask = lambda c: over[np.searchsorted(found, c)]
+        wanted = np.ones(len(unit.hashes), bool)
+        for row in range(DEPTH):
+            wanted &= ask(unit.cells(row, cells))
+        first: dict[bytes, tuple[int, int, int]] = {}  # in the order of documents: the first occurrence stays
+        for d, line, starts, ends, h, at, many in unit.segments(wanted):
+            often = ask(cells_of(h, DEPTH, cells)).tolist()
+            for key, p, w, alone in zip(h.tolist(), at.tolist(), many.tolist(), often, strict=True):
+                if alone:
+                    for i in range(p, p + w):
+                        one = line[starts[i] : ends[i + width - 1]]
+                        if one not in first:
+                            first[one] = (xxhash.xxh3_64_intdigest(one), d, i)
+                else:
+                    first.setdefault(line[starts[p] : ends[p + w + width - 2]], (key, d, p))
+        if not first:
+            return table([], MOVED)
+        key, doc, pos = (np.array(x, k) for x, k in zip(zip(*first.values(), strict=True), (np.uint64, np.int64, np.int64), strict=True))
+        return table([key.view(np.int64), np.full(len(key), t.column("bucket")[0].as_py()), doc, pos, unit.ids[doc], unit.k2[doc], unit.seq[doc], list(first)], MOVED)
+
+    def remove(t: pa.Table, answers: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return table([], RESULT)
+        unit = Unit(t, width)
+        doc, pos, many, mask = (answers.column(c).to_numpy() for c in ("doc", "pos", "windows", "mask"))
+        start, mask = unit.first[doc] + pos, mask.view(np.uint64)
+        # The estimate is one of a window's hash: what equals a window that was sent was estimated too.
+        sent = np.concatenate([np.zeros(0, np.uint64), *(unit.hashes[start[many > i] + i] for i in range(int(many.max(initial=0))))])
+        gone = np.isin(unit.hashes, sent)
+        for i in range(int(many.max(initial=0))):
+            gone[start[(mask >> np.uint64(i)) & np.uint64(1) == 1] + i] = False
         removed, kept = [], []
         for d, words in enumerate(unit.words()):
             at = np.flatnonzero(gone[unit.first[d] : unit.first[d] + unit.windows[d]])
@@ -243,11 +305,10 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
             kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
         return pa.table([pa.array(unit.ids, pa.int64(), mask=unit.null), pa.array(unit.size), pa.array(removed, pa.int64()), pa.array(kept)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    sketches = units.groupBy("bucket").applyInArrow(sketch, "shard int, bucket int, row int, cells binary, more binary")
-    answers = sketches.groupBy("shard").applyInArrow(merge, "bucket int, kind int, part int, blob binary")
-    exact = units.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(digests, "range int, bucket int, blob binary")
-    leads = exact.groupBy("range").applyInArrow(firsts, "bucket int, kind int, part int, blob binary")
-    return units.groupBy("bucket").cogroup(answers.unionByName(leads).groupBy("bucket")).applyInArrow(remove, RESULT)
+    bits = estimates(units, n, width, cells, hot).withColumnRenamed("bucket", "unit").repartition(n, "unit")
+    moved = units.groupBy("bucket").cogroup(bits.groupBy("unit")).applyInArrow(move, MOVED)
+    firsts = firsts_of(moved, n, lambda group: first_windows(group, width), batch, largest, lambda text: windows_of(text, width)).repartition(n, "unit")
+    return units.groupBy("bucket").cogroup(firsts.groupBy("unit")).applyInArrow(remove, RESULT)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,8 @@ writes them with the new rows merged in. Only a block of the files, and a row fo
 prefixes of WIDTH or more are the repeated windows; the first occurrence of each stays. Third pass: units remove what is
 not first.
 
-A minimizer that occurs over `hot` times is dealt by single windows instead. What comes under one key is taken in
-collections of `batch` documents and more; a group of over `LARGEST` is worked off in parts, where only documents that are
-first with some window stay for the next part: what is first in all is first in its part.
+A minimizer that occurs over `hot` times is dealt by single windows instead. Collections have `batch` documents and more;
+groups of over `largest` are worked off in parts (see groups).
 
 Defined results: a null or empty text has no bytes; documents are ordered by id, null ids last, then by a hash of the
 text, then equal rows one after another; other columns are not read.
@@ -36,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewire.llm.common import bucketed, doc_order, documents, mix, partitions, raw_texts, rolling, sliding_min
+from tradewire.llm.groups import MOVED, Group, firsts_of, table
 
 WIDTH = 100
 GRAM = 37
@@ -260,59 +260,22 @@ def kept_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, when: np
     return mask
 
 
-MINIMIZERS, ANSWER = "bucket int, h long, times long", "bucket int, doc int, pos long, mask long"
-MOVED = "h long, bucket int, doc int, pos long, id long, k2 long, seq int, text binary"
+MINIMIZERS = "bucket int, h long, times long"
 
 
-def table(columns: list, names: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    fields = [x.split() for x in names.split(", ")]
-    columns = columns or [[]] * len(fields)
-    return pa.table([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
-
-
-class Group:
-    """Moved segments, sorted by key, as columns."""
-
-    def __init__(self, h, bucket, doc, pos, id_, k2, seq, text: list[bytes]) -> None:
-        self.columns, self.text = (h, bucket, doc, pos, id_, k2, seq), text
-
-    @staticmethod
-    def of(b: pa.RecordBatch) -> Group:
-        return Group(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(7)), b.column(7).to_pylist())
-
-    @staticmethod
-    def joined(parts: list[Group]) -> Group:
-        return Group(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True)), [t for p in parts for t in p.text])
-
-    def take(self, at: np.ndarray) -> Group:
-        return Group(*(c[at] for c in self.columns), [self.text[i] for i in at.tolist()])
-
-    def __len__(self) -> int:
-        return len(self.text)
-
-    def masks(self, block: int) -> np.ndarray:
-        """Of each segment the windows that are first here."""
-        h, _, _, pos, id_, k2, seq = self.columns
-        size = np.fromiter(map(len, self.text), np.int64, len(self.text))
-        mask = np.where(size - WIDTH + 1 >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(size - WIDTH + 1, 63).astype(np.uint64)) - np.uint64(1))
-        # A segment has no window twice, as equal windows have their minimizer at the same place.
-        shared = np.flatnonzero(np.concatenate([[False], h[1:] == h[:-1]]) | np.concatenate([h[1:] == h[:-1], [False]]))
-        if len(shared):
-            order = np.lexsort((seq, k2, id_))  # documents as ranks, so that one number says when something occurs
-            new = np.zeros(len(order), np.uint64)
-            new[1:] = (id_[order][1:] != id_[order][:-1]) | (k2[order][1:] != k2[order][:-1]) | (seq[order][1:] != seq[order][:-1])
-            when = np.empty(len(order), np.uint64)
-            when[order] = np.cumsum(new) << np.uint64(32)
-            when += pos.astype(np.uint64)
-            own = size[shared]
-            data = np.frombuffer(b"".join([self.text[i] for i in shared.tolist()]), np.uint8)
-            mask[shared] = kept_windows(data, np.cumsum(own) - own, own, when[shared], block)
-        return mask
-
-    def answers(self, at: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
-        _, bucket, doc, pos, *_ = self.columns
-        return table([bucket[at], doc[at], pos[at], mask[at].view(np.int64)], ANSWER).to_batches()[0]
+def masks(group: Group, block: int) -> np.ndarray:
+    """Of each segment the windows that are first here."""
+    h, _, _, pos, *_ = group.columns
+    size = np.fromiter(map(len, group.text), np.int64, len(group))
+    mask = np.where(size - WIDTH + 1 >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(size - WIDTH + 1, 63).astype(np.uint64)) - np.uint64(1))
+    # A segment has no window twice, as equal windows have their minimizer at the same place.
+    shared = group.shared()
+    if len(shared):
+        own = size[shared]
+        data = np.frombuffer(b"".join([group.text[i] for i in shared.tolist()]), np.uint8)
+        when = (group.ranks() << np.uint64(32)) + pos.astype(np.uint64)
+        mask[shared] = kept_windows(data, np.cumsum(own) - own, own, when[shared], block)
+    return mask
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, batch: int = BATCH, largest: int = LARGEST, block: int = BLOCK) -> DataFrame:
@@ -349,31 +312,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
         key, doc, pos = (np.array(x, k) for x, k in zip(zip(*first.values(), strict=True), (np.uint64, np.int64, np.int64), strict=True))
         return table([key.view(np.int64), np.full(len(key), t.column("bucket")[0].as_py()), doc, pos, unit.ids[doc], unit.k2[doc], unit.seq[doc], list(first)], MOVED)
 
-    def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys come sorted. Collections end between keys; a key that goes on beyond `largest` is worked off in parts."""
-        held: list[Group] = []
-        for b in batches:
-            for a in range(0, b.num_rows, batch):
-                held.append(Group.of(b.slice(a, batch)))
-                if sum(map(len, held)) < batch:
-                    continue
-                all_ = Group.joined(held)
-                cut = int(np.searchsorted(all_.columns[0], all_.columns[0][-1]))
-                if cut:
-                    done = all_.take(np.arange(cut))
-                    yield done.answers(np.arange(cut), done.masks(block))
-                rest = all_.take(np.arange(cut, len(all_))) if cut else all_
-                if len(rest) >= largest:
-                    mask = rest.masks(block)
-                    gone = np.flatnonzero(mask == 0)
-                    if len(gone):
-                        yield rest.answers(gone, mask)
-                        rest = rest.take(np.flatnonzero(mask))
-                held = [rest] if len(rest) else []
-        if held:
-            all_ = Group.joined(held)
-            yield all_.answers(np.arange(len(all_)), all_.masks(block))
-
     def remove(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return table([], RESULT)
@@ -413,7 +351,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     found = units.groupBy("bucket").applyInArrow(minimizers, MINIMIZERS).repartition(n, "h").withColumn("total", total)
     repeated = found.filter("total > 1").select(F.col("bucket").alias("unit"), "h", (F.col("total") > hot).alias("often")).repartition(n, "unit")
     moved = units.groupBy("bucket").cogroup(repeated.groupBy("unit")).applyInArrow(move, MOVED)
-    firsts = moved.repartition(n, "h").sortWithinPartitions("h").mapInArrow(collections, ANSWER).withColumnRenamed("bucket", "unit").repartition(n, "unit")
+    firsts = firsts_of(moved, n, lambda group: masks(group, block), batch, largest).repartition(n, "unit")
     return units.groupBy("bucket").cogroup(firsts.groupBy("unit")).applyInArrow(remove, RESULT)
 
 
