@@ -109,6 +109,13 @@ def key_count(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
+def among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Which values of x are in a sorted array that is much longer."""
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     """Exactly, for sorted sets."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -165,7 +172,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
                 wide.append(wide_sketch(own).tobytes())
                 sections.append(section_fingerprints(h).view(np.int64))
                 fps.append(int(np.packbits(bit_counts(own) * 2 > len(own), bitorder="little").view(np.int64)[0]) if len(own) else 0)
-                late = np.isin(own, frequent)
+                late = among(own, frequent)
                 keys.append(np.concatenate([own[~late], own[late]])[: key_count(len(own), similarity)].view(np.int64))
             made = [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(wide, pa.binary())]
             made += [pa.array(sections, pa.list_(pa.int64())), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
