@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import brute
@@ -84,23 +85,53 @@ def test_proximity(spark):
     assert [tuple(r) for r in out] == [(0, 1), (0, 0), (10, 1)]
 
 
-def test_shards(spark):
-    out = shards.assign(frame(spark), shards=5).join(frame(spark).select("doc_id", "text"), "doc_id").collect()
-    assert len(out) >= len(rows())
-    for df, n in ((shards.assign(frame(spark), shards=5), 5), (shards.op7(spark, sf("sf0.01")), 40), (shards.assign(frame(spark), shards=3, fine=4), 3)):
-        all_ = df.collect()
-        by = defaultdict(list)
-        for r in all_:
-            by[r["shard"]].append(r["slot"])
-        assert all(sorted(s) == list(range(len(s))) for s in by.values()) and set(by) <= set(range(n))
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(sf("sf0.01") + "/documents.parquet").collect()}
-    load, place = Counter(), defaultdict(set)
-    for r in shards.op7(spark, sf("sf0.01")).collect():
-        assert r["size"] == len((docs[r["doc_id"]] or "").encode()) + 16
+def plain_loads(sizes, n):
+    """Each group, the largest first, to the least loaded shard."""
+    loads = [0] * n
+    for x in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += x
+    return sorted(loads)
+
+
+def test_runs_as_item_by_item():
+    r = random.Random(1)
+    for _ in range(300):
+        n = r.randint(1, 12)
+        runs = sorted({(r.randint(1, 60), r.choice([1, 2, 5, 40, 300])) for _ in range(r.randint(1, 8))}, reverse=True)
+        loads = [0] * n
+        for (size, count), ends in zip(runs, shards.schedule(runs, n), strict=True):
+            taken = [0] * n
+            for _ in range(count):
+                k = loads.index(min(loads))
+                loads[k] += size
+                taken[k] += 1
+            assert [b - a for a, b in zip(ends, ends[1:])] == taken
+
+
+@pytest.mark.parametrize(("where", "n", "few"), [("cases", 5, 1 << 20), ("cases", 3, 0), ("table", 40, 1 << 20)])
+def test_shards(spark, where, n, few):
+    df = frame(spark) if where == "cases" else spark.read.parquet(sf("sf0.01") + "/documents.parquet")
+    texts = Counter((r["doc_id"], r["text"]) for r in df.collect())
+    out = (shards.assign(df, shards=n, few=few) if where == "cases" else shards.op7(spark, sf("sf0.01"))).collect()
+    size = lambda t: len((t or "").encode()) + 16
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == sum((Counter({(d, size(t), crc(t)): k}) for (d, t), k in texts.items()), Counter())
+    by, load, place, groups = defaultdict(list), Counter(), defaultdict(set), Counter()
+    for r in out:
+        by[r["shard"]].append(r["slot"])
         load[r["shard"]] += r["size"]
-        place[docs[r["doc_id"]]].add(r["shard"])
-    assert all(len(x) == 1 for x in place.values()) and len(load) == 40
-    assert max(load.values()) / min(load.values()) < 1.02
+        place[r["doc_id"], r["text_crc32"]].add(r["shard"])
+    for (_, t), k in texts.items():
+        groups[t] += size(t) * k
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and set(by) <= set(range(n))
+    assert sorted(load[k] for k in range(n)) == plain_loads(groups.values(), n)
+    together = defaultdict(set)
+    for d, t in texts:
+        together[t] |= place[d, crc(t)]
+    assert all(len(x) == 1 for t, x in together.items() if t)
+
+
+def test_shards_of_nothing(spark):
     assert shards.assign(frame(spark, [])).count() == 0
 
 
@@ -114,11 +145,10 @@ def test_simhash(spark):
 
 def test_simhash_on_table(spark):
     docs = spark.read.parquet(sf("sf0.01") + "/documents.parquet").select("doc_id", "text").collect()
-    want = [(r[0], brute.simhash(r[1])) for r in docs[:300]]
-    df = spark.createDataFrame([(r[0], r[1]) for r in docs[:300]], "doc_id long, text string")
+    want = [(r[0], brute.simhash(r[1])) for r in docs]
     component = brute.components(want)
     want = sorted(((d, f"{f:016x}", c) for (d, f), c in zip(want, component)), key=repr)
-    assert got(simhash.near_duplicates(df), "doc_id", "fingerprint", "component_id") == want
+    assert got(simhash.op8(spark, sf("sf0.01")), "doc_id", "fingerprint", "component_id") == want
 
 
 def test_simhash_links_random(spark, monkeypatch):

@@ -203,11 +203,11 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, how: str = "left") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], counts: DataFrame, total: int, how: str = "left") -> DataFrame:
     """left join right on `key`, where right has one row per key and some keys hold a large share of left.
 
-    `counts` has (key, n). At most 1000 keys can hold over a thousandth of `total` rows each, so the rows of right for
-    those are broadcast; the rest has no hot key and is shuffled.
+    `counts` has the key and n. At most 1000 keys can hold over a thousandth of `total` rows each, so the rows of right
+    for those are broadcast; the rest has no hot key and is shuffled.
     """
     hot = counts.filter(F.col("n") > max(1000, total // 1000)).select(key)
     hot_right = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
