@@ -145,6 +145,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.select("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
+def with_least(stars: DataFrame) -> DataFrame:
+    """Adds the least root of each node."""
+    least = stars.groupBy("node").agg(F.min("root").alias("least"), F.count(F.lit(1)).alias("n"))
+    return hot_join(stars, least.drop("n"), "node", least.drop("least"), stars.count(), "inner")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of an edge but the roots: root is the least node reachable.
 
@@ -154,16 +160,17 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")))
     before = None
     while True:
+        # A hub has a row for each of its spokes: least() partly aggregates, and the joins take hubs apart.
         both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.min("root").alias("least"))
         # Large star: every larger neighbour moves to the least of the neighbourhood.
-        large = both.join(least, "node").filter(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.least("node", "least").alias("root")).distinct()
+        large = stored(with_least(both).filter(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.least("node", "least").alias("root")).distinct())
         # Small star: the smaller neighbours and the node itself move to the least of them.
         low = large.groupBy("node").agg(F.min("root").alias("least"))
-        small = large.join(low, "node").select(F.col("root").alias("node"), F.col("least").alias("root")).unionByName(low.select("node", F.col("least").alias("root"))).filter(F.col("node") != F.col("root")).distinct()
+        small = with_least(large).select(F.col("root").alias("node"), F.col("least").alias("root")).unionByName(low.select("node", F.col("least").alias("root"))).filter(F.col("node") != F.col("root")).distinct()
         new = stored(small)
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        dropped(now)
+        for t in (now, large):
+            dropped(t)
         now = new
         if state == before:
             return now
