@@ -1,18 +1,19 @@
 """URL filters: a temporal join of captures with dated block and allow lists.
 
-A list is a log: (key, on, action), where a key is a host or a host and its first path segment (`host/segment`), and the
+A list is a log: (key, on, action), where a key is a host or a host and its first path segments (`host/a/b`), and the
 action is block, allow or remove. An entry holds from its date up to the next entry of its key (several of one date: the
 last by action name stands), which turns the log into validity intervals. A capture is evaluated as of its fetch date
-against every key it falls under: its host, each parent domain, its host with the first path segment. Of the entries
-active on that date the most specific one decides (a path before a host, a longer host before a shorter one).
+against every key it falls under: its host, each parent domain, its host with one, two ... all path segments. Of the
+entries active on that date the most specific one decides (a path before a host, a longer one before a shorter one).
 
-Captures are first reduced to distinct (host, segment, date), so a hot host joins once for each date; the as-of join is
-an equi-join on the key with a range condition on disjoint intervals, one match at most for each key. Verdicts go back
-to the captures with hot keys apart. All on the JVM.
+Captures are first reduced to distinct (host, path, date). The as-of join is an equi-join on the key with a range
+condition on disjoint intervals, one match at most for each key. Keys that many captures fall under, as a top-level
+domain, are dealt by a salt on both sides, so no task has them alone. Verdicts go back to the captures with hot keys
+apart. All on the JVM.
 
 Defined results: a null, empty or relative URL has no host and verdict `none`; a null date matches nothing; hosts are
-lower-cased, without port, user or trailing dot; list rows with a null key, date or action are no entries; repeated
-captures give a row each; other columns are not read.
+lower-cased, without port, user or trailing dot; empty path segments do not count; list rows with a null key, date or
+action are no entries; repeated captures give a row each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import hot_join
+from tradewire.llm.common import dropped, hot_join, stored
 
 #: The span of made-up dates of the query, in days from its first day.
 FIRST_DAY, DAYS = "2024-01-01", 366
+PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
@@ -32,9 +34,9 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_replace(authority, r"^.*@|:[0-9]*$|\.(:[0-9]*)?$", ""))
 
 
-def segment_of(url: Column) -> Column:
-    """The first path segment, '' without one."""
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
+def segments_of(url: Column) -> Column:
+    """The path segments that are not empty."""
+    return F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
 
 
 def intervals(log: DataFrame) -> DataFrame:
@@ -45,21 +47,35 @@ def intervals(log: DataFrame) -> DataFrame:
     return daily.withColumn("valid_to", valid_to).filter(F.col("action") != "remove").select("key", "action", "valid_from", "valid_to")
 
 
+def salted(asked: DataFrame, spans: DataFrame, total: int, share: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Both with a salt: keys of over a thousandth of `total` rows, so at most `share` of them, are dealt, others have 0."""
+    most = max(1000, total // share)
+    hot = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(F.col("key").alias("hot"), F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    hot = F.broadcast(stored(hot))
+    salts = F.coalesce("salts", F.lit(1))
+    left = asked.join(hot, F.col("key") == F.col("hot"), "left").withColumn("salt", F.pmod(F.xxhash64("look"), salts).cast("int")).drop("hot", "salts")
+    right = spans.join(hot, F.col("key") == F.col("hot"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("hot", "salts")
+    return left, right
+
+
 def evaluate(captures: DataFrame, log: DataFrame, id_col: str, url_col: str, date_col: str) -> DataFrame:
     """Per capture: id, host, fetched_on, verdict (block, allow, none), matched key, valid_from."""
     rows = captures.select(
-        F.col(id_col).alias("id"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(segment_of(F.col(url_col)), F.lit("")).alias("segment"), F.col(date_col).cast("date").alias("fetched_on")
-    ).withColumn("look", F.concat_ws("|", F.coalesce(F.col("fetched_on").cast("string"), F.lit("")), "host", "segment"))
-    counts = rows.groupBy("look").agg(F.count(F.lit(1)).alias("n"), F.first("host").alias("host"), F.first("segment").alias("segment"), F.first("fetched_on").alias("fetched_on"))
-    labels = F.split("host", r"\.")
+        F.col(id_col).alias("id"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(F.array_join(segments_of(F.col(url_col)), "/"), F.lit("")).alias("path"), F.col(date_col).cast("date").alias("fetched_on")
+    ).withColumn("look", F.concat_ws("|", F.coalesce(F.col("fetched_on").cast("string"), F.lit("")), "host", "path"))
+    counts = stored(rows.groupBy("look").agg(F.count(F.lit(1)).alias("n"), F.first("host").alias("host"), F.first("path").alias("path"), F.first("fetched_on").alias("fetched_on")))
+    labels, segments = F.split("host", r"\."), F.split("path", "/")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"), (F.size(labels) - i).alias("depth")))
-    path = F.array(F.struct(F.concat_ws("/", "host", "segment").alias("key"), F.lit(1 << 20).alias("depth")))
-    keys = F.when(F.col("segment") != "", F.concat(path, parents)).otherwise(parents)
+    paths = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda j: F.struct(F.concat_ws("/", "host", F.array_join(F.slice(segments, F.lit(1), j), "/")).alias("key"), (j + (1 << 20)).alias("depth")))
+    keys = F.when(F.col("path") != "", F.concat(paths, parents)).otherwise(parents)
     asked = counts.filter((F.col("host") != "") & F.col("fetched_on").isNotNull()).select("look", "fetched_on", F.inline(keys))
-    spans = intervals(log)
-    active = asked.join(spans, (asked["key"] == spans["key"]) & (F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))).select("look", "depth", asked["key"].alias("matched"), "action", "valid_from")
-    verdict = active.groupBy("look").agg(F.max_by(F.struct("action", "matched", "valid_from"), "depth").alias("v"))
-    out = hot_join(rows, verdict, "look", counts.select("look", "n"), captures.count())
+    left, right = salted(asked, intervals(log), counts.count())
+    right = right.withColumnRenamed("key", "matched").withColumnRenamed("salt", "of_salt")
+    active = left.join(right, (F.col("key") == F.col("matched")) & (F.col("salt") == F.col("of_salt")) & (F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to"))))
+    verdict = stored(active.groupBy("look").agg(F.max_by(F.struct("action", "matched", "valid_from"), "depth").alias("v")))
+    hot = stored(counts.select("look", "n").filter(F.col("n") > 1000))  # what hot_join can ask for
+    dropped(counts)
+    out = hot_join(rows, verdict, "look", hot, captures.count())
     return out.select("id", "host", "fetched_on", F.coalesce("v.action", F.lit("none")).alias("verdict"), F.col("v.matched").alias("matched"), F.col("v.valid_from").alias("valid_from"))
 
 
@@ -69,19 +85,21 @@ def hashed(x: Column, at: int) -> Column:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, fetched on a date its URL's digest gives, against a log that its hosts' digests give.
+    """Every page, fetched on a date its URL's digest gives, against a log that digests give too.
 
-    A host's key is blocked on one date and removed or allowed on a later one; two thirds of the host-and-segment keys
-    have an entry of their own.
+    Keys are hosts and their parents, each blocked on one date and removed or allowed on a later one; hosts with one and
+    with two path segments, of which two thirds have entries; and for each host one of another domain, which nothing
+    falls under.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), hashed(F.col("url"), 1) % DAYS)
     captures = pages.withColumn("fetched_on", day)
-    hosts = pages.select(host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("segment")).distinct()
-    parent = F.regexp_replace("host", r"^[^.]*\.", "")
+    hosts = pages.select(host_of(F.col("url")).alias("host"), segments_of(F.col("url")).alias("s")).select("host", F.coalesce(F.get("s", F.lit(0)), F.lit("")).alias("s1"), F.coalesce(F.get("s", F.lit(1)), F.lit("")).alias("s2")).distinct()
     first = F.date_add(F.lit(FIRST_DAY).cast("date"), hashed(F.col("key"), 1) % 180)
     again = F.date_add(first, 1 + hashed(F.col("key"), 5) % 180)
-    keys = hosts.select(F.explode(F.array(F.struct("host", F.lit(0).alias("kind")), F.struct(parent.alias("host"), F.lit(1).alias("kind")), F.struct(F.concat("host", F.lit("/"), "segment").alias("host"), F.lit(2).alias("kind")))).alias("k")).select(F.col("k.host").alias("key"), "k.kind").distinct()
+    of = lambda key, kind: F.struct(key.alias("key"), F.lit(kind).alias("kind"))
+    made = F.array(of(F.col("host"), 0), of(F.regexp_replace("host", r"^[^.]*\.", ""), 1), of(F.concat_ws("/", "host", "s1"), 2), of(F.concat_ws("/", "host", "s1", "s2"), 2), of(F.concat(F.md5("host"), F.lit(".invalid")), 0))
+    keys = hosts.select(F.inline(made)).distinct()
     pick = hashed(F.col("key"), 9) % 3
     log = keys.filter((F.col("kind") < 2) | (pick < 2)).select("key", F.explode(F.array(
         F.struct(first.alias("on"), F.when((F.col("kind") == 2) & (pick == 0), "allow").otherwise("block").alias("action")),
@@ -93,12 +111,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH p AS (
   SELECT page_id, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@|:[0-9]*$|\.(:[0-9]*)?$', '', 'g')) AS host,
-         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)', 1) AS segment,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS s,
          (DATE '2024-01-01' + (('0x' || substr(md5(url), 1, 4))::INTEGER % 366)::INTEGER)::DATE AS fetched_on
   FROM pages
 ), keys AS (
   SELECT DISTINCT key, kind FROM (
-    SELECT host AS key, 0 AS kind FROM p UNION ALL SELECT regexp_replace(host, '^[^.]*\.', ''), 1 FROM p UNION ALL SELECT host || '/' || segment, 2 FROM p)
+    SELECT host AS key, 0 AS kind FROM p UNION ALL SELECT regexp_replace(host, '^[^.]*\.', ''), 1 FROM p
+    UNION ALL SELECT host || '/' || coalesce(s[1], ''), 2 FROM p UNION ALL SELECT host || '/' || coalesce(s[1], '') || '/' || coalesce(s[2], ''), 2 FROM p
+    UNION ALL SELECT md5(host) || '.invalid', 0 FROM p)
 ), picked AS (
   SELECT key, kind, ('0x' || substr(md5(key), 9, 4))::INTEGER % 3 AS pick,
          (DATE '2024-01-01' + (('0x' || substr(md5(key), 1, 4))::INTEGER % 180)::INTEGER)::DATE AS first_on,
@@ -112,7 +132,7 @@ WITH p AS (
 ), asked AS (
   SELECT page_id, fetched_on, array_to_string(string_split(host, '.')[i:], '.') AS key, len(string_split(host, '.')) - i AS depth
   FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p WHERE host <> '')
-  UNION ALL SELECT page_id, fetched_on, host || '/' || segment, 1000000 FROM p WHERE host <> '' AND segment <> ''
+  UNION ALL SELECT page_id, fetched_on, host || '/' || array_to_string(s[:j], '/'), 1000000 + j FROM (SELECT *, unnest(range(1, len(s) + 1)) AS j FROM p WHERE host <> '')
 ), best AS (
   SELECT a.page_id, arg_max(s.action, a.depth) AS verdict, arg_max(a.key, a.depth) AS matched, arg_max(s.valid_from, a.depth) AS valid_from
   FROM asked a JOIN spans s ON a.key = s.key AND s.valid_from <= a.fetched_on AND (s.valid_to IS NULL OR a.fetched_on < s.valid_to)
