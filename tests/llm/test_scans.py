@@ -218,9 +218,9 @@ def test_bpe(spark, vocabulary):
         ids = enc.encode_ordinary(r[1] or "")
         raw = b"".join(i.to_bytes(4, "little") for i in ids)
         want.append((r[0], len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
-    for chunk, overlap in ((1 << 15, 256), (300, 40), (1000, 17)):
-        out = bpe.tokenize(frame(spark), path, pattern, chunk=chunk, overlap=overlap, digests=True)
-        assert got(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr), chunk
+    for spread, overlap in ((1 << 15, 256), (300, 40), (1000, 17)):
+        out = bpe.tokenize(frame(spark), path, pattern, spread=spread, overlap=overlap, digests=True)
+        assert got(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr), spread
     assert bpe.tokenize(frame(spark, []), path, pattern).count() == 0
 
 
@@ -230,7 +230,24 @@ def test_bpe_pieces_random(vocabulary):
     bits = ["a", "bc", "'s", "'re", "'", "''", " ", "  ", "\n", "\t ", "12", "é", "漢", "!?", "...", " 　", "'r", "'v", "ll", "😀"]
     for _ in range(3000):
         text = "".join(r.choice(bits) for _ in range(r.randint(0, 120)))
-        assert bpe.pieces(text, r.choice([20, 33]), r.choice([9, 15]), path, pattern).tolist() == bpe.encode(text, path, pattern).tolist(), text
+        assert bpe.encode(text, path, pattern, chunk=r.choice([20, 33]), overlap=r.choice([9, 15])).tolist() == bpe.encode_piece(text, path, pattern).tolist(), text
+
+
+def test_bpe_on_table(spark, vocabulary):
+    enc = bpe.tokenizer(*vocabulary)
+    want = []
+    for i, t in spark.read.parquet(sf("sf0.01") + "/documents.parquet").select("doc_id", "text").collect():
+        ids = enc.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got(bpe.op1(spark, sf("sf0.01")), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+
+
+def test_bpe_patterns_say_how_far_they_look(spark, vocabulary):
+    path, _ = vocabulary
+    words = r"\w+|\W"
+    with pytest.raises(ValueError, match="look ahead"):
+        bpe.tokenize(frame(spark), path, words)
+    assert bpe.encode("ab cd " * 900, path, words, ahead=1).tolist() == bpe.encode_piece("ab cd " * 900, path, words).tolist()
 
 
 def test_language(spark):
@@ -244,3 +261,47 @@ def test_language(spark):
     assert {x["lang_pred"] for x in found if x["text"] in (None, "", " \t\n", "1 2 3")} == {"und"}
     assert {x["lang_pred"] for x in language.predict(docs, language.learn(docs.limit(0)), ["doc_id"]).collect()} == {"und"}
     assert language.predict(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def plain_language(data, dimensions=1024):
+    """(lang, score) of each (doc_id, text, lang), one n-gram after another."""
+
+    def bundle(text):
+        c = [0]
+        for x in (text or "").lower():
+            if x.isalpha():
+                c.append(ord(x))
+            elif c[-1]:
+                c.append(0)
+        c += [0] if c[-1] else []
+        grams = Counter(zip(c, c[1:], c[2:]))
+        v = np.zeros(dimensions)
+        for g, n in grams.items():
+            v += n * np.prod([np.roll(language.letter_vector(x, dimensions), k) for k, x in enumerate(g)], axis=0)
+        return v, np.sqrt(sum(n * n for n in grams.values()))
+
+    made = [bundle(t) for _, t, _ in data]
+    unit = lambda x: x / (np.linalg.norm(x) or 1)
+    total = {}
+    for (i, t, lang), (v, size) in zip(data, made):
+        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 5:
+            total[lang] = total.get(lang, 0) + v / (size or 1)
+    labels = sorted(total)
+    proto = [unit(total[x]) for x in labels]
+    mean = np.mean(proto, axis=0)
+    proto = [unit(x - mean) for x in proto]
+    out = []
+    for (v, size), (_, t, _) in zip(made, data):
+        near = [float(unit(v) @ p) for p in proto]
+        k = int(np.argmax(near))
+        out.append((labels[k], min(1, max(0, near[k]))) if size else ("und", 0.0))
+    return out
+
+
+def test_language_as_plain(spark):
+    data = [tuple(x) for x in spark.read.parquet(sf("sf0.001") + "/documents.parquet").select("doc_id", "text", "lang").collect()]
+    data += [(900001, None, "en"), (900002, "12 34", None), (900003, "", "de"), (900004, "É", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    found = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language.predict(df, language.learn(df), ["doc_id"]).collect()}
+    for (i, *_), (lang, score) in zip(data, plain_language(data)):
+        assert abs(found[i][1] - score) < 1e-4 and (found[i][0] == lang or score < 1e-4), i
