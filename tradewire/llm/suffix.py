@@ -7,7 +7,8 @@ know nothing of each other. No key of a window can make longer slices: it must b
 
 First pass: units (buckets of documents) send the minimizers they have, a row each; a sum over each minimizer says which
 are repeated. Second pass: a unit sends the segments of repeated minimizers, each distinct one once. They meet sorted by
-minimizer, and go as documents of a collection through the column-wise construction (BCR with longest common prefixes):
+minimizer; equal ones from several units become one, and the distinct ones, where there are several, go as documents of a
+collection through the column-wise construction (BCR with longest common prefixes):
 in round t one symbol of every document is inserted, that is its suffix of length t. The transform and the prefixes stand
 in two files. A round reads them front to back: ranks of the symbols give the places of the new suffixes, the least
 prefix since the symbol last stood, and up to where it stands next, give their prefixes. Then it reads them once more and
@@ -43,7 +44,7 @@ BASE = 0x100000001B3
 #: Bytes that are hashed at once; positions take the low bits of the sort key.
 PIECE = 1 << 15
 LOW = np.uint64((1 << 20) - 1)
-BATCH = 4096
+BATCH = 1024
 HOT = LARGEST = 1 << 16
 #: Rows of the files that are read at once.
 BLOCK = 1 << 20
@@ -117,20 +118,35 @@ class Columns:
         self.kinds = {"bwt": np.dtype(np.uint8 if int(data.max(initial=0)) < 255 else np.uint16), "lcp": np.dtype(np.uint8 if int(size.max(initial=0)) < 255 else np.uint32)}
         bwt = data[start + size - 1].astype(self.kinds["bwt"]) + self.kinds["bwt"].type(1)
         self.counts = np.bincount(bwt, minlength=258)
-        bwt.tofile(self.name("bwt"))
-        np.zeros(self.m, self.kinds["lcp"]).tofile(self.name("lcp"))
+        #: Two versions of each file: one is read while the other is written.
+        self.files = [{kind: open(os.path.join(folder, f"{kind}{turn}"), "w+b", buffering=0) for kind in self.kinds} for turn in (0, 1)]
+        self.files[0]["bwt"].write(bwt)
+        self.files[0]["lcp"].write(np.zeros(self.m, self.kinds["lcp"]))
         at = alive = np.arange(self.m)  # places of the suffixes that were inserted last, ascending
         for t in range(1, int(size.max(initial=0)) + 1):
             at, alive = self.insert(t, at, alive)
 
-    def name(self, kind: str, turn: int | None = None) -> str:
-        return os.path.join(self.folder, f"{kind}{self.turn if turn is None else turn}")
+    def part(self, kind: str, rows: int) -> np.ndarray:
+        """The next rows of a file."""
+        out = np.empty(rows, self.kinds[kind])
+        self.files[self.turn][kind].readinto(out.view(np.uint8))
+        return out
 
     def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, transform, prefixes), front to back."""
-        with open(self.name("bwt"), "rb") as f, open(self.name("lcp"), "rb") as g:
-            for at in range(0, self.rows, self.block):
-                yield at, np.fromfile(f, self.kinds["bwt"], self.block), np.fromfile(g, self.kinds["lcp"], self.block)
+        for f in self.files[self.turn].values():
+            f.seek(0)
+        for at in range(0, self.rows, self.block):
+            rows = min(self.block, self.rows - at)
+            yield at, self.part("bwt", rows), self.part("lcp", rows)
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        parts = list(self.blocks())
+        return np.concatenate([b for _, b, _ in parts]), np.concatenate([l for _, _, l in parts])
+
+    def close(self) -> None:
+        for f in (f for turn in self.files for f in turn.values()):
+            f.close()
 
     def before(self) -> np.ndarray:
         """For each symbol how many rows start with a smaller one, among those whose suffixes stand already or come now."""
@@ -193,28 +209,27 @@ class Columns:
         new[left] = self.data[self.start[alive[left]] + self.size[alive[left]] - t - 1].astype(self.kinds["bwt"]) + self.kinds["bwt"].type(1)
         into = to - np.arange(len(to))  # old rows before each new one
         done = 0
-        with open(self.name("bwt", 1 - self.turn), "wb") as f, open(self.name("lcp", 1 - self.turn), "wb") as g:
-            for begin, b, l in self.blocks():
-                whole = begin + len(b) == self.rows
-                end = len(into) if whole else int(np.searchsorted(into, begin + len(b)))
-                own = to[done:end] - (begin + done)
-                old = np.ones(len(b) + len(own), bool)
-                old[own] = False
-                bwt, lcp = np.empty(len(old), b.dtype), np.empty(len(old), l.dtype)
-                bwt[old], lcp[old] = b, l
-                a, z = np.searchsorted(next_at, (begin + done, begin + done + len(old)))
-                lcp[next_at[a:z] - begin - done] = next_lcp[a:z]
-                bwt[own], lcp[own] = new[done:end], mine[done:end]
-                bwt.tofile(f)
-                lcp.tofile(g)
-                done = end
+        out = self.files[1 - self.turn]
+        for f in out.values():
+            f.seek(0)
+        for begin, b, l in self.blocks():
+            whole = begin + len(b) == self.rows
+            end = len(into) if whole else int(np.searchsorted(into, begin + len(b)))
+            own = to[done:end] - (begin + done)
+            old = np.ones(len(b) + len(own), bool)
+            old[own] = False
+            bwt, lcp = np.empty(len(old), b.dtype), np.empty(len(old), l.dtype)
+            bwt[old], lcp[old] = b, l
+            a, z = np.searchsorted(next_at, (begin + done, begin + done + len(old)))
+            lcp[next_at[a:z] - begin - done] = next_lcp[a:z]
+            bwt[own], lcp[own] = new[done:end], mine[done:end]
+            out["bwt"].write(bwt)
+            out["lcp"].write(lcp)
+            done = end
         self.turn, self.rows = 1 - self.turn, self.rows + len(to)
         self.counts += np.bincount(new, minlength=258)
         return to[left], alive[left]
 
-    def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.name("bwt"), self.kinds["bwt"]), np.fromfile(self.name("lcp"), self.kinds["lcp"])
-
     def places(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, strings, place of each one's suffix of that length), by walking from the empty suffixes."""
         bwt, _ = self.read()
@@ -249,6 +264,7 @@ def kept_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, when: np
                 at.append(group[place])
                 string.append(alive)
                 offset.append(size[alive] - t)
+        c.close()
     at, string, offset = np.concatenate(at), np.concatenate(string), np.concatenate(offset)
     time = when[string] + offset.astype(np.uint64)
     order = np.lexsort((time, at))
@@ -263,18 +279,33 @@ def kept_windows(data: np.ndarray, start: np.ndarray, size: np.ndarray, when: np
 MINIMIZERS = "bucket int, h long, times long"
 
 
-def masks(group: Group, block: int) -> np.ndarray:
+def masks(group: Group, batch: int, block: int) -> np.ndarray:
     """Of each segment the windows that are first here."""
     h, _, _, pos, *_ = group.columns
     size = np.fromiter(map(len, group.text), np.int64, len(group))
-    mask = np.where(size - WIDTH + 1 >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(size - WIDTH + 1, 63).astype(np.uint64)) - np.uint64(1))
     # A segment has no window twice, as equal windows have their minimizer at the same place.
+    mask = np.where(size - WIDTH + 1 >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(size - WIDTH + 1, 63).astype(np.uint64)) - np.uint64(1))
     shared = group.shared()
-    if len(shared):
-        own = size[shared]
-        data = np.frombuffer(b"".join([group.text[i] for i in shared.tolist()]), np.uint8)
-        when = (group.ranks() << np.uint64(32)) + pos.astype(np.uint64)
-        mask[shared] = kept_windows(data, np.cumsum(own) - own, own, when[shared], block)
+    if not len(shared):
+        return mask
+    when = (group.ranks() << np.uint64(32)) + pos.astype(np.uint64)
+    # Documents of a collection are distinct: of equal segments from several units the first one goes in.
+    first: dict[bytes, int] = {}
+    for i in shared[np.argsort(when[shared], kind="stable")].tolist():
+        first.setdefault(group.text[i], i)
+    own = np.fromiter(first.values(), np.int64, len(first))
+    own = own[np.argsort(h[own], kind="stable")]
+    mask[np.setdiff1d(shared, own)] = 0
+    lead = np.concatenate([[True], h[own][1:] != h[own][:-1], [True]])
+    own = own[~(lead[1:] & lead[:-1])]  # what has its key alone is first
+    ends = np.flatnonzero(np.concatenate([h[own][1:] != h[own][:-1], [True]])) + 1 if len(own) else np.zeros(0, np.int64)
+    at = 0
+    for end in ends.tolist():
+        if end - at >= batch or end == len(own):
+            some = own[at:end]
+            data = np.frombuffer(b"".join([group.text[i] for i in some.tolist()]), np.uint8)
+            mask[some] = kept_windows(data, np.cumsum(size[some]) - size[some], size[some], when[some], block)
+            at = end
     return mask
 
 
@@ -351,7 +382,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
     found = units.groupBy("bucket").applyInArrow(minimizers, MINIMIZERS).repartition(n, "h").withColumn("total", total)
     repeated = found.filter("total > 1").select(F.col("bucket").alias("unit"), "h", (F.col("total") > hot).alias("often")).repartition(n, "unit")
     moved = units.groupBy("bucket").cogroup(repeated.groupBy("unit")).applyInArrow(move, MOVED)
-    firsts = firsts_of(moved, n, lambda group: masks(group, block), batch, largest).repartition(n, "unit")
+    firsts = firsts_of(moved, n, lambda group: masks(group, batch, block), 8 * batch, largest).repartition(n, "unit")
     return units.groupBy("bucket").cogroup(firsts.groupBy("unit")).applyInArrow(remove, RESULT)
 
 
