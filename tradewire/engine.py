@@ -70,15 +70,20 @@ class Engine:
         self.spark, self.settings, self.packs, self.extensions = spark, settings, packs or Packs(), extensions or Registry()
 
     def read_edifact(self, path: str) -> DataFrame:
-        """Grouped messages of the files under a path."""
-        return self.parse(edifact.read(self.spark, path).filter(F.col("text").isNotNull()).select("source", "text"))
+        """Grouped messages of the files under a path. No file, or one that is too large, is an error here; batches go on."""
+        return self.parse(edifact.readable(edifact.read(self.spark, path)).select("source", "text"))
 
     def parse(self, texts: DataFrame) -> DataFrame:
         return edifact.grouped(edifact.messages(texts))
 
-    def dump(self, found: DataFrame) -> DataFrame:
+    def dump(self, found: DataFrame, pretty: bool = False) -> DataFrame:
         """Parsed messages as JSON text."""
-        return found.select("source", "msg_idx", F.to_json(F.struct("message_ref", "doc_type", "version", "partial", "segs")).alias("json"))
+        return found.select("source", "msg_idx", F.to_json(F.struct("message_ref", "doc_type", "version", "partial", "segs"), {"pretty": str(pretty).lower()}).alias("json"))
+
+    def dry_run(self, mapping: Mapping | str | Path, schema: Schema | None = None) -> dict:
+        """What a transform would do, from the mapping alone: its plan, its findings, the format it writes."""
+        m = self._mapping(mapping)
+        return {"mapping": m.name, "output": wire.target_format(m.target_type), "targets": targets(m.rules), "explain": diagnostics.explain(m), "lint": diagnostics.lint(m, schema)}
 
     def _mapping(self, mapping: Mapping | str | Path) -> Mapping:
         return mapping if isinstance(mapping, Mapping) else dsl.parse_file(mapping)
@@ -95,7 +100,12 @@ class Engine:
         kind, names = wire.target_format(m.target_type), [c for c in mapped.columns if c not in (*keep, "error")]
         if kind == "edifact":
             return wire.mapped_text(mapped, names, "text").select(*keep, "text", "error")
-        text = F.to_json(F.struct(*[f"`{n}`" for n in names])) if kind == "json" else wire.csv_line([F.col(f"`{n}`") for n in names])
+        if kind == "json":
+            text = F.to_json(F.struct(*[f"`{n}`" for n in names]))
+        elif kind == "xml":
+            text = wire.xml_record("document", [(n, F.col(f"`{n}`")) for n in names])
+        else:
+            text = wire.csv_line([F.col(f"`{n}`") for n in names])
         return mapped.select(*keep, text.alias("text"), "error")
 
     def validate(self, found: DataFrame, schema: Schema | None = None, **rules) -> DataFrame:
@@ -114,6 +124,12 @@ class Engine:
     def report(self, issues: DataFrame, kind: str = "text", most: int = 10_000) -> str:
         return REPORTS[kind](diagnostics.collected(issues, most))
 
+    def documents(self, mapped: DataFrame, mapping: Mapping | str | Path, interchange: str, order: str, sender: str, receiver: str, date: str, time: str, kind: str, first: int = 1, keep: tuple[str, ...] = ("source", "msg_idx")) -> DataFrame:
+        """Mapped messages as whole wire documents, one for each value of a column: numbered, within their envelopes."""
+        names = [c for c in mapped.columns if c not in (*keep, interchange, order, "error")]
+        body = wire.mapped_text(mapped, [n for n in names if wire.TARGET.match(n)], "body")
+        return wire.documents(body, interchange, order, F.lit(sender), F.lit(receiver), F.lit(date), F.lit(time), F.lit(kind), first_interchange=first)
+
     def generate(self, rows: DataFrame, mapping: Mapping | str | Path, order: list[str]) -> DataFrame:
         """Wire text from records: (part, order columns, text). Rules before the loop and after it take the first record."""
         m = self._mapping(mapping)
@@ -133,6 +149,12 @@ class Engine:
                 out = text if out is None else out.unionByName(text)
         return out
 
+    def file_summary(self, path: str, schema: Schema | None = None) -> DataFrame:
+        """Per file: messages, errors, warnings, is_valid; a file without messages is an error."""
+        files = edifact.read(self.spark, path)
+        found = self.parse(files.filter(F.col("text").isNotNull()).select("source", "text"))
+        return validate.file_summary(files, found, self.validate(found, schema))
+
     def batch_validate(self, path: str, schema: Schema | None = None) -> Batch:
         """Files under a path: outcome of each, messages of accepted ones, entries for the others."""
         files = edifact.read(self.spark, path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewire.functions.transforms import Value, number
@@ -99,3 +101,46 @@ def string_utils() -> Extension:
 
 def math_utils() -> Extension:
     return Extension("math_utils", "1.0.0", {"add": lambda x: _two(x, lambda a, b: a + b), "multiply": lambda x: _two(x, lambda a, b: a * b)})
+
+
+# --- stages over serialized text ---------------------------------------------------------------------------------------
+
+
+def mapped_text(df: DataFrame, column: str, stage: Callable[[str], str], out: str = "mapped") -> DataFrame:
+    """A user's mapper from a document's text to another, by Arrow batches. Adds out, and error where it raised."""
+    kept = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, errors = [], []
+            for text in b.column(column).to_pylist():
+                try:
+                    made.append(None if text is None else stage(text))
+                    errors.append(None)
+                except Exception as e:  # whatever a user's stage raises is the error of its row
+                    made.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string()), pa.array(errors, pa.string())], names=[*kept, out, "error"])
+
+    return df.mapInArrow(run, df.select(*[f"`{c}`" for c in kept], F.lit("").alias(out), F.lit("").alias("error")).schema)
+
+
+def validated_text(df: DataFrame, column: str, stage: Callable[[str], list[tuple[str, str, str]]]) -> DataFrame:
+    """A user's validator from a document's text to (severity, code, message) findings; adds issues, and error where it raised."""
+    kind = pa.list_(pa.struct([("severity", pa.string()), ("code", pa.string()), ("message", pa.string())]))
+    kept = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, errors = [], []
+            for text in b.column(column).to_pylist():
+                try:
+                    found.append([] if text is None else [dict(zip(("severity", "code", "message"), x, strict=True)) for x in stage(text)])
+                    errors.append(None)
+                except Exception as e:  # as above
+                    found.append([])
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind), pa.array(errors, pa.string())], names=[*kept, "issues", "error"])
+
+    schema = df.select(*[f"`{c}`" for c in kept], F.array().cast("array<struct<severity:string,code:string,message:string>>").alias("issues"), F.lit("").alias("error")).schema
+    return df.mapInArrow(run, schema)

@@ -58,9 +58,9 @@ def escape_csv(c: Column) -> Column:
 
 
 def xml_name(c: Column) -> Column:
-    """Characters outside names become `_`; a name that starts otherwise, or with xml, gets one in front."""
-    clean = F.regexp_replace(c, "[^A-Za-z0-9_.-]", "_")
-    return F.when(clean == "", F.lit("_")).when(clean.rlike("^[^A-Za-z_]") | F.lower(clean).startswith("xml"), F.concat(F.lit("_"), clean)).otherwise(clean)
+    """Characters that a name cannot have at their place become `_`; one that starts with xml gets one in front; a blank one is `item`."""
+    clean = F.regexp_replace(F.regexp_replace(F.trim(c), "[^A-Za-z0-9_.-]", "_"), "^[^A-Za-z_]", "_")
+    return F.when(clean == "", F.lit("item")).when(F.lower(clean).startswith("xml"), F.concat(F.lit("_"), clean)).otherwise(clean)
 
 
 def sql_identifier(name: str) -> str:

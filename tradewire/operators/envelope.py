@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from tradewire.functions.plan import fixed
 from tradewire.functions.syntax import first_segment, value
 
-# What headers may name.
+# What headers may name. A message type or agency that is not listed is an issue, so the lists must be these.
 SYNTAXES = ("UNOA", "UNOB", "UNOC", "UNOD", "UNOE", "UNOF", "UNOG", "UNOH", "UNOI", "UNOJ", "UNOK")
 AGENCIES = ("UN", "EAN", "EDIFICE", "ODETTE", "VDA", "AIAG", "CEFIC", "ECR")
-MESSAGE_TYPES = tuple(
-    """APERAK BANSTA CONDRA CONITT CONQVY CONTRL COPARN COPINO COPRAR COREOR COSHI COSMAT COSTCO COSTOR CUSCAR CUSDEC
-    CUSEXP CUSRES DEBADV DEBMUL DELFOR DELJIT DESADV DGRECA DOCADV DOCAMA DOCAMI DOCAMR DOCAPP FINPAY FINSTA GENRAL
-    HANMOV HSTAT ICASRP ICSOLI IFCSUM IFTCCA IFTDGN IFTFCC IFTMAN IFTMBC IFTMBF IFTMBP IFTMCA IFTMCS IFTMDG IFTMED
-    IFTMFS IFTMMB IFTMRC IFTMRD IFTMVG IFTSAI IFTSTA INSDES INSREQ INVOIC INVRPT IPPOAD IPPOMO ITRRPT JAPRES JINFDE
-    JOBAPP JOBCON JOBMOD JOBOFF MEDPID MEDREQ MEDRPT MEQPOS MOVINS ORDCHG ORDERS ORDRSP OSTENQ OSTRPT PARTIN PASREQ
-    PASRPT PAXLST PAYEXT PAYMUL PAYORD PRICAT PRODAT PRODEX PROINQ PROSRV QALITY QUOTES RDRMES REBORD RECADV RECALC
-    RECECO RECLAM REMADV REQDOC REQOTE RESETT RESMSG RESRSP SANCRT SLSPRT SLSRPT SOCADE SSIMOD STATAC SUPCOT SUPMAN
-    SUPRES TANSTA TAXCON TIQREQ TIQRPT VATDEC VESDEP WASDIS WKGRDC""".split()
+MESSAGE_TYPES = (
+    "ORDERS", "ORDRSP", "DESADV", "INVOIC", "SLSRPT", "PRICAT", "RECADV", "REMADV", "INVRPT", "GENRAL", "CONTRL",
+    "APERAK", "BANSTA", "HSTAT", "OSTENQ", "OSTRPT", "PARTIN", "PRODAT", "PROINQ", "QALITY", "QUOTES", "REQOTE",
+    "SANCRT", "CONITT", "CONDRA", "CONQVY", "COPARN", "COPINO", "COPRAR", "COREOR", "COSHI", "COSMAT", "COSTCO",
+    "COSTOR", "CUSCAR", "CUSDEC", "CUSEXP", "CUSRES", "DEBADV", "DEBMUL", "DELFOR", "DELJIT", "DGRECA", "DOCADV",
+    "DOCAMA", "DOCAMI", "DOCAMR", "DOCAPP", "FINPAY", "FINSTA", "HANMOV", "ICASRP", "ICSOLI", "IFCSUM", "IFTCCA",
+    "IFTDGN", "IFTFCC", "IFTMAN", "IFTMBC", "IFTMBF", "IFTMBP", "IFTMCA", "IFTMCS", "IFTMDG", "IFTMED", "IFTMFS",
+    "IFTMMB", "IFTMRC", "IFTMRD", "IFTMVG", "IFTSAI", "IFTSTA", "INSDES", "INSREQ", "IPPOAD", "IPPOMO", "ITRRPT",
+    "JAPRES", "JINFDE", "JOBAPP", "JOBCON", "JOBMOD", "JOBOFF", "MEDPID", "MEDREQ", "MEDRPT", "MEQPOS", "MOVINS",
+    "ORDCHG", "PASREQ", "PASRPT", "PAXLST", "PAYEXT", "PAYMUL", "PAYORD", "PRODEX", "PROSRV", "RDRMES", "REBORD",
+    "RECALC", "RECECO", "RECLAM", "REQDOC", "RESETT", "RESMSG", "RESRSP", "SLSPRT", "SOCADE", "SSIMOD", "STATAC",
+    "SUPCOT", "SUPMAN", "SUPRES", "TANSTA", "TAXCON", "TIQREQ", "TIQRPT", "VATDEC", "VESDEP", "WASDIS", "WKGRDC",
 )
 
 
@@ -57,6 +60,22 @@ def interchange_error(h: Column, messages: Column) -> Column:
     )
 
 
+def orphans(cut: DataFrame) -> DataFrame:
+    """(source, error, count): messages outside an interchange, in files that have one, and segments outside a message."""
+    start = F.struct(F.lit(False).alias("file"), F.lit(False).alias("message"), F.lit(0).alias("messages"), F.lit(0).alias("segments"))
+
+    def step(a: Column, s: Column) -> Column:
+        tag = s["tag"]
+        file = F.when(tag == "UNB", True).when(tag == "UNZ", False).otherwise(a["file"])
+        message = F.when(tag == "UNH", True).when(tag.isin("UNT", "UNZ"), False).otherwise(a["message"])
+        lost = ~a["message"] & ~tag.isin("UNB", "UNZ", "UNG", "UNE", "UNH")
+        return F.struct(file.alias("file"), message.alias("message"), (a["messages"] + ((tag == "UNH") & ~a["file"]).cast("int")).alias("messages"), (a["segments"] + lost.cast("int")).alias("segments"))
+
+    rows = fixed(cut, n=F.aggregate("segs", start, step), enclosed=F.exists("segs", lambda s: s["tag"] == "UNB"))
+    kinds = F.array(F.struct(F.lit("OrphanedMessage").alias("error"), F.when(F.col("enclosed"), F.col("n.messages")).otherwise(0).alias("count")), F.struct(F.lit("OrphanedSegment").alias("error"), F.col("n.segments").alias("count")))
+    return rows.select("source", F.inline(F.filter(kinds, lambda r: r["count"] > 0)))
+
+
 def message_error(h: Column) -> Column:
     return F.coalesce(
         F.when(~h["has_unt"], "MissingTrailer"),

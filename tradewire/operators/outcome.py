@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +49,12 @@ def until_first_failure(rows: DataFrame, order: list[str], by: list[str]) -> Dat
     return rows.withColumn("before", before).filter("before = 0").drop("before")
 
 
+def batch_report(files: DataFrame, quarantined_: DataFrame, outputs: DataFrame) -> DataFrame:
+    """batch_summary and the counts of quarantined entries and of outputs."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return batch_summary(files).crossJoin(n(quarantined_, "quarantined")).crossJoin(n(outputs, "outputs"))  # one row each
+
+
 def batch_summary(files: DataFrame) -> DataFrame:
     """One row: processed, succeeded, warned, failed, success_rate (100 for nothing)."""
     n, ok = F.count(F.lit(1)), F.count_if(F.col("outcome") == "ok")
@@ -115,6 +122,18 @@ def newest(entries: DataFrame, most: int = 1000) -> DataFrame:
     return entries.orderBy("at", "id").limit(most)
 
 
+def listed(entries: DataFrame) -> DataFrame:
+    """By id, with the start of the payload."""
+    return entries.select("id", "source", "reason", "retry_count", "permanent", "at", snippet(F.col("payload")).alias("snippet")).orderBy("id")
+
+
+def quarantine_totals(before: DataFrame, after: DataFrame, cleaned_: DataFrame | None = None) -> DataFrame:
+    """One row: total (ever, of these), current, retried (entries with a retry), failed (permanent), cleaned."""
+    lost = F.lit(0).cast("long") if cleaned_ is None else F.lit(before.join(cleaned_.select("id"), "id", "left_anti").count())
+    total = before.count()
+    return after.agg(F.lit(total).cast("long").alias("total"), F.count(F.lit(1)).alias("current"), F.count_if(F.col("retry_count") > 0).alias("retried"), F.count_if("permanent").alias("failed"), lost.cast("long").alias("cleaned"))
+
+
 def quarantine_stats(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count(F.lit(1)).alias("current"), F.coalesce(F.sum("retry_count"), F.lit(0)).cast("long").alias("retries"), F.count_if("permanent").alias("permanent"))
 
@@ -132,6 +151,20 @@ def batches(rows: DataFrame, size: int, order: list[str], by: list[str] | None =
     return rows.withColumn("batch", F.floor(n / size).cast("long"))
 
 
+def with_retries(items: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], most: int = 3) -> DataFrame:
+    """Items with what attempt(items, number) adds, error among it, and attempts: what fails is tried `most` times more."""
+    done, left = None, items
+    for n in range(1, most + 2):
+        tried = attempt(left, n).withColumn("attempts", F.lit(n))
+        out = tried if n == most + 1 else tried.filter(F.col("error").isNull())
+        done = out if done is None else done.unionByName(out)
+        if n <= most:
+            left = tried.filter(F.col("error").isNotNull()).select(*items.columns)
+            if left.isEmpty():
+                break
+    return done
+
+
 def item_results(items: DataFrame, most_retries: int) -> DataFrame:
     """Status to result: success, retry or failed. What was never processed has failed."""
     s = F.col("status")

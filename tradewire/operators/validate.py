@@ -179,18 +179,45 @@ def conditional_violation(nodes: Column, rules: list[Conditional]) -> Column:
     return F.coalesce(*said)
 
 
-def issues(found: DataFrame, schema: Schema, config: Config = Config(), codes: Codes | None = None, occurs: list[Occurs] | None = None, conditionals: list[Conditional] | None = None) -> DataFrame:
+#: Codes of checks that go over each segment.
+PER_SEGMENT = ("UNKNOWN_SEGMENT", "MANDATORY_SEGMENT_EMPTY", "ELEMENT_ID_MISMATCH", "MANDATORY_ELEMENT_EMPTY", "MIN_LENGTH_VIOLATION", "MAX_LENGTH_VIOLATION", "DATA_TYPE_VIOLATION", "CODELIST_VIOLATION", "EXTRA_ELEMENT", "MISSING_MANDATORY_ELEMENT")
+
+
+def named_values(segs: Column) -> Column:
+    """What conditional rules look at: `TAG` without a value, `TAG/eN` and `TAG/eN/cN` with theirs, in order."""
+    item = lambda n, v: F.struct(n.alias("name"), v.cast("string").alias("value"))
+    at = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    number = lambda i: (i + 1).cast("string")
+
+    def element(s: Column, e: Column, i: Column) -> Column:
+        here = at(s["tag"], "/e", number(i))
+        parts = F.transform(e["c"], lambda c, j: item(at(here, "/c", number(j)), c))
+        return F.concat(F.array(item(here, e["v"])), F.coalesce(parts, F.array().cast("array<struct<name:string,value:string>>")))
+
+    return F.flatten(F.transform(segs, lambda s: F.concat(F.array(item(s["tag"], F.lit(None))), F.flatten(F.transform(s["el"], lambda e, i: element(s, e, i))))))
+
+
+def issues(found: DataFrame, schema: Schema, config: Config = Config(), codes: Codes | None = None, occurs: list[Occurs] | None = None, conditionals: list[Conditional] | None = None, only: set[str] | None = None) -> DataFrame:
     """Issue rows of grouped messages (segs, items): source, msg_idx, message_ref, no, and the fields of an issue.
 
-    Order: occurrence rules, segments, line items, missing segments, conditional rules.
+    Order: occurrence rules, segments, line items, missing segments, conditional rules. `only`: no others than these codes
+    are looked for; where none of them is about single segments, these are not gone over.
     """
+    rows = _issues(found, schema, config, codes, occurs, conditionals, only)
+    return rows if only is None else rows.filter(F.col("code").isin(*only))
+
+
+def _issues(found: DataFrame, schema: Schema, config: Config, codes: Codes | None, occurs: list[Occurs] | None, conditionals: list[Conditional] | None, only: set[str] | None) -> DataFrame:
+    if only is not None and (config.max_errors or not config.continue_on_error):
+        raise ValueError("what stops at a number of errors cannot leave checks out")
     codes = codes if config.validate_codelists else None
     nothing = F.array().cast(f"array<{ISSUE}>")
     parts = []
     if occurs:
         said = occurrence_violation(F.col("segs"), occurs)
         parts.append(F.when(said.isNotNull(), F.array(_issue(0, None, 0, "error", "SEGMENT_ORDER_VIOLATION", F.lit(""), said))).otherwise(nothing))
-    parts.append(F.flatten(F.transform("segs", lambda s: segment_issues(s, schema, codes))))
+    if only is None or only & set(PER_SEGMENT):
+        parts.append(F.flatten(F.transform("segs", lambda s: segment_issues(s, schema, codes))))
     tags = line_item_tags(schema)
     if tags and "items" in found.columns:
         lacking = F.transform("items", lambda g, i: F.filter(F.array(*[F.when(~F.exists(g, lambda s: s["tag"] == t), _issue(2, i, k, "error", "MISSING_MANDATORY_SEGMENT", F.concat(F.lit("LINE_ITEM["), i.cast("string"), F.lit("]")), F.lit(f"Mandatory segment '{t}' is missing from segment group 'LINE_ITEM'"))) for k, t in enumerate(tags)]), lambda x: x.isNotNull()))  # noqa: B023
@@ -200,10 +227,10 @@ def issues(found: DataFrame, schema: Schema, config: Config = Config(), codes: C
         have = F.transform("segs", lambda s: s["tag"])
         parts.append(F.filter(F.array(*[F.when(~F.array_contains(have, t), _issue(3, None, k, "error", "MISSING_MANDATORY_SEGMENT", F.lit(""), F.lit(f"Mandatory segment '{t}' is missing from document"))) for k, t in enumerate(need)]), lambda x: x.isNotNull()))
     if conditionals and config.validate_conditionals:
-        nodes = F.transform("segs", lambda s: F.struct(s["tag"].alias("name"), F.lit(None).cast("string").alias("value")))
-        said = conditional_violation(nodes, conditionals)
+        found = fixed(found, named=named_values(F.col("segs")))
+        said = conditional_violation(F.col("named"), conditionals)
         parts.append(F.when(said.isNotNull(), F.array(_issue(4, None, 0, "error", "CONDITIONAL_RULE_VIOLATION", F.lit(""), said))).otherwise(nothing))
-    return emitted(found, F.concat(*parts), config)
+    return emitted(found, F.concat(*parts) if parts else nothing, config)
 
 
 def schemaless_issues(found: DataFrame, config: Config = Config()) -> DataFrame:
@@ -226,6 +253,15 @@ def emitted(found: DataFrame, all_: Column, config: Config) -> DataFrame:
     return rows.select("source", "msg_idx", "message_ref", F.posexplode("all").alias("no", "x")).select("source", "msg_idx", "message_ref", "no", *[f"x.{f}" for f in FIELDS])
 
 
+def of_first_message(warnings: DataFrame, found: DataFrame) -> DataFrame:
+    """Warnings whose reference no message of their source has go to its first message."""
+    refs = found.select("source", "message_ref").distinct().withColumn("known", F.lit(True))
+    first = found.groupBy("source").agg(F.min(F.struct("msg_idx", "message_ref")).alias("first"))
+    matched = warnings.join(refs, warnings["source"].eqNullSafe(refs["source"]) & warnings["message_ref"].eqNullSafe(refs["message_ref"]), "left").select(*[warnings[c] for c in warnings.columns], "known")
+    own = F.col("known").isNotNull() | F.col("first").isNull()
+    return matched.join(first, "source", "left").select("source", F.when(own, F.col("msg_idx")).otherwise(F.col("first.msg_idx")).alias("msg_idx"), F.when(own, F.col("message_ref")).otherwise(F.col("first.message_ref")).alias("message_ref"), "message")
+
+
 def with_parse_warnings(rows: DataFrame, warnings: DataFrame) -> DataFrame:
     """Adds PARSE_WARNING rows for partial messages."""
     null = F.lit(None)
@@ -233,6 +269,16 @@ def with_parse_warnings(rows: DataFrame, warnings: DataFrame) -> DataFrame:
     return rows.unionByName(more)
 
 
+def file_summary(files: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per file: messages, errors, warnings, is_valid; a file without messages is an error, `empty document`."""
+    n = rows.groupBy("source").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    m = found.groupBy("source").agg(F.count(F.lit(1)).alias("messages"))
+    zero = F.lit(0).cast("long")
+    wide = files.select("source").join(m, "source", "left").join(n, "source", "left")
+    empty = F.col("messages").isNull()
+    return wide.select("source", F.coalesce("messages", zero).alias("messages"), F.when(empty, F.lit(1).cast("long")).otherwise(F.coalesce("errors", zero)).alias("errors"), F.coalesce("warnings", zero).alias("warnings"), (~empty & (F.coalesce("errors", zero) == 0)).alias("is_valid"), F.when(empty, "empty document").alias("error"))
+
+
 def summary(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Per message: counts of errors, warnings, and is_valid. Issues are counted before they meet the messages."""
     n = rows.groupBy("source", "msg_idx").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))

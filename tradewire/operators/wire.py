@@ -154,6 +154,31 @@ def unt(count: Column, reference: Column, sep: Separators = DEFAULT) -> Column:
     return _elements("UNT", [count.cast("string"), reference], sep)
 
 
+def interchange_text(bodies: Column, header: Column, trailer: Column, sep: Separators = DEFAULT, between: str = "\n", service: bool = False) -> Column:
+    """One text from an interchange's header, message texts and trailer; `service`: with the service string in front."""
+    return F.concat(F.lit(sep.una() if service else ""), F.concat_ws(between, F.array(header), bodies, F.array(trailer)))
+
+
+def documents(messages: DataFrame, interchange: str, order: str, sender: Column, receiver: Column, date: Column, time: Column, kind: Column, body: str = "body", first_interchange: int = 1, sep: Separators = DEFAULT, between: str = "\n", syntax: str = "UNOA") -> DataFrame:
+    """(interchange, interchange_ref, messages, text): numbered messages within their envelopes, a document for each interchange.
+
+    body: a message's segments without header and trailer, each ended by a terminator. sender ... kind: expressions, the
+    first four the same for all messages of an interchange. A document is put together in one task.
+    """
+    numbered = control_numbers(messages, interchange, order, first_interchange)
+    # Released terminators do not end a segment.
+    ends = F.size(F.regexp_extract_all(F.regexp_replace(F.col(body), f"\\{sep.release}[\\s\\S]", ""), F.lit(f"\\{sep.segment}"), F.lit(0)))
+    message = F.concat_ws(between, unh(F.col("message_ref"), kind, sep=sep), F.when(F.col(body) != "", F.col(body)), unt(ends + 2, F.col("message_ref"), sep))
+    rows = numbered.select(F.col(interchange), "interchange_ref", "message_ref", message.alias("text"), sender.alias("sender"), receiver.alias("receiver"), date.alias("date"), time.alias("time"))
+    each = rows.groupBy(interchange, "interchange_ref").agg(F.sort_array(F.collect_list(F.struct("message_ref", "text"))).alias("m"), *[F.first(c).alias(c) for c in ("sender", "receiver", "date", "time")])
+    head = unb(F.col("sender"), F.col("receiver"), F.col("date"), F.col("time"), F.col("interchange_ref"), syntax, sep=sep)
+    return each.select(interchange, "interchange_ref", F.size("m").alias("messages"), interchange_text(F.transform("m", lambda x: x["text"]), head, unz(F.size("m"), F.col("interchange_ref"), sep), sep, between).alias("text"))
+
+
+#: Ranges that interchanges are numbered in.
+RANGES = 64
+
+
 def control_numbers(rows: DataFrame, interchange: str, order: str, first_interchange: int = 1) -> DataFrame:
     """Adds interchange_ref (14 digits, by the interchange key's order) and message_ref (6 digits, from 1 in each).
 
@@ -161,10 +186,14 @@ def control_numbers(rows: DataFrame, interchange: str, order: str, first_interch
     task holds all messages; messages of one interchange are numbered in one task, as gaps are not allowed.
     """
     keys = rows.select(interchange).distinct()
-    parts = keys.repartitionByRange(interchange).sortWithinPartitions(interchange).withColumn("_p", F.spark_partition_id())
+    # Ranges are cut at keys of a small sample, which are written into the plan: a key's range does not depend on how the
+    # plan runs. Ranges only have to be small enough for one task each.
+    sample = [r[0] for r in keys.filter(F.col(interchange).isNotNull()).orderBy(F.xxhash64(interchange)).limit(RANGES).collect()]
+    bounds = F.array(*map(F.lit, sorted(sample))).cast(f"array<{keys.schema[0].dataType.simpleString()}>")
+    parts = keys.withColumn("_p", F.when(F.col(interchange).isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(interchange)))))
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    numbered = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(interchange))).join(F.broadcast(starts), "_p")
+    numbered = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(interchange))).join(F.broadcast(starts), "_p")  # RANGES rows
     refs = numbered.select(interchange, F.lpad((F.coalesce("_before", F.lit(0)) + F.col("_r") + first_interchange - 1).cast("string"), 14, "0").alias("interchange_ref"))
     message = F.row_number().over(Window.partitionBy(interchange).orderBy(order))
     return rows.withColumn("message_ref", F.lpad(message.cast("string"), 6, "0")).join(refs, interchange)
@@ -193,9 +222,9 @@ def xml_record(root: str, columns: list[tuple[str, Column]]) -> Column:
 
 
 def target_format(target_type: str) -> str:
-    """The output that a target type names: json, csv, then edifact."""
+    """The output that a target type names: json, csv, xml, then edifact."""
     tokens_ = re.split(r"[^A-Za-z0-9]+", target_type.upper())
-    for kind, names in (("json", ("JSON",)), ("csv", ("CSV",)), ("edifact", ("EDI", "EDIFACT", "EANCOM"))):
+    for kind, names in (("json", ("JSON",)), ("csv", ("CSV",)), ("xml", ("XML",)), ("edifact", ("EDI", "EDIFACT", "EANCOM"))):
         if any(t in names for t in tokens_):
             return kind
     raise WireError(f"no output format in target type {target_type}")

@@ -134,11 +134,11 @@ def matches(v: Column, pattern: str) -> Column:
         return v.contains(pattern)
     inner = pattern[1:-1]
     if inner == "[0-9]+":
-        return v.rlike("^[0-9]*$")
+        return v.rlike(r"^[0-9]*\z")
     if inner.startswith("ORD") and "[0-9]" in inner:
         after = inner[3:]
         count = after.removeprefix("[0-9]{").split("}")[0] if after.startswith("[0-9]{") and "}" in after else ""
-        return v.rlike(f"^ORD[0-9]{{{count}}}$" if count.isdigit() and int(count) > 0 else "^ORD$(?!^)" if count.isdigit() else "^ORD[0-9]+$")
+        return v.rlike(f"^ORD[0-9]{{{count}}}\\z" if count.isdigit() and int(count) > 0 else "^ORD\\z(?!^)" if count.isdigit() else "^ORD[0-9]+\\z")
     return v == inner
 
 
@@ -351,13 +351,14 @@ def rows(found: DataFrame, mapping: Mapping, keep: tuple[str, ...] = (), extensi
     return wide.select(*keep, *([F.col("_place").alias(number)] if number else []), *[n for n, _ in outer], *[c.alias(n) for n, c in inner], (F.coalesce(*errors) if errors else null()).alias("error"))
 
 
-def looked_up(df: DataFrame, table: DataFrame, key: str, target: str, default: str | None = None, broadcast_rows: int = 100_000) -> DataFrame:
+def looked_up(df: DataFrame, table: DataFrame, key: str, target: str, default: str | None = None, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """The look-up as a join, for tables too large for a literal. table: (key, value). Adds target and lookup_error.
 
-    The table is broadcast only if it has at most `broadcast_rows` rows; otherwise the join shuffles.
+    The table is broadcast only if its keys and values have at most `broadcast_bytes` bytes; otherwise the join shuffles.
     """
     side = table.select(F.col("key").alias("_key"), F.col("value").alias("_value")).dropDuplicates(["_key"])
-    if side.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    size = side.agg(F.sum(F.coalesce(F.octet_length(F.col("_key").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("_value").cast("string")), F.lit(0)) + 32)).first()[0]
+    if (size or 0) <= broadcast_bytes:
         side = F.broadcast(side)
     out = df.join(side, F.col(key) == F.col("_key"), "left")
     value = F.col("_value") if default is None else F.when(F.col(key).isNotNull(), F.coalesce("_value", F.lit(default)))

@@ -135,37 +135,101 @@ def trace(found: DataFrame, mapping: Mapping, keep: tuple[str, ...] = ("source",
     return found.select(*keep, F.inline(F.array(*events)))
 
 
-# --- reports: over issues that were collected with a bound ---------------------------------------------------------------
+# --- reports: counts of all issues, and a listing that is cut and says so -------------------------------------------------
 
+SEVERITIES = ("error", "warning", "info")
 
-def collected(issues: DataFrame, most: int = 10_000) -> list[dict]:
-    return [r.asDict() for r in issues.orderBy("source", "msg_idx", "no").limit(most).collect()]
+
+def of_severity(issues: DataFrame, *severities: str) -> DataFrame:
+    return issues.filter(F.col("severity").isin(*severities))
+
+
+def summary(issues: DataFrame) -> DataFrame:
+    """(severity, code, n): counts of all issues."""
+    return issues.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+class Issues(list):
+    """Listed issues, with the counts of all there are."""
+
+    def __init__(self, listed: list[dict], counts: dict[tuple[str, str], int] | None = None) -> None:
+        super().__init__(listed)
+        if counts is None:
+            counts = {}
+            for i in listed:
+                counts[i["severity"], i["code"]] = counts.get((i["severity"], i["code"]), 0) + 1
+        self.by_code = counts
+        self.total = sum(counts.values())
+
+    @property
+    def counts(self) -> dict[str, int]:
+        return {s: sum(n for (severity, _), n in self.by_code.items() if severity == s) for s in SEVERITIES}
+
+    @property
+    def unlisted(self) -> int:
+        return self.total - len(self)
+
+
+def collected(issues: DataFrame, most: int = 10_000) -> Issues:
+    """Counts of all issues (a row for each code), and the first `most`, errors first."""
+    counts = {(r["severity"], r["code"]): r["n"] for r in summary(issues).collect()}
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    return Issues([r.asDict() for r in issues.orderBy(rank, "source", "msg_idx", "no").limit(most).collect()], counts)
+
+
+def _issues(issues: list[dict]) -> Issues:
+    return issues if isinstance(issues, Issues) else Issues(issues)
+
+
+def console(i: dict) -> str:
+    """An issue as one line."""
+    return f"{i['severity'].upper()} {i['source']} message {i['message_ref']}: [{i['code']}]{' ' + i['path'] if i['path'] else ''}: {i['message']}"
 
 
 def text_report(issues: list[dict]) -> str:
-    out = []
-    for severity in ("error", "warning", "info"):
-        some = [i for i in issues if i["severity"] == severity]
-        if some:
-            out.append(f"{severity}s: {len(some)}")
-            out += [f"  {i['source']} message {i['message_ref']}: [{i['code']}] {i['path']}: {i['message']}" for i in some]
-    return "\n".join([*out, f"total: {len(issues)}"])
+    issues, out = _issues(issues), []
+    for severity, n in issues.counts.items():
+        if n:
+            out.append(f"{severity}s: {n}")
+            out += [f"  {i['source']} message {i['message_ref']}: [{i['code']}] {i['path']}: {i['message']}" for i in issues if i["severity"] == severity]
+    out += [f"not listed: {issues.unlisted}"] if issues.unlisted else []
+    return "\n".join([*out, f"total: {issues.total}"])
 
 
 def json_report(issues: list[dict]) -> str:
-    counts = {s: sum(i["severity"] == s for i in issues) for s in ("error", "warning", "info")}
-    return json.dumps({"counts": counts, "is_valid": counts["error"] == 0, "issues": issues}, indent=2, default=str)
+    issues = _issues(issues)
+    return json.dumps({"counts": issues.counts, "total": issues.total, "unlisted": issues.unlisted, "is_valid": issues.counts["error"] == 0, "issues": list(issues)}, indent=2, default=str)
 
 
 def html_report(issues: list[dict]) -> str:
     cells = "".join("<tr>" + "".join(f"<td>{html.escape(str(i[k]))}</td>" for k in ("source", "message_ref", "severity", "code", "path", "message")) + "</tr>" for i in issues)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Validation report</title></head><body><h1>{len(issues)} issues</h1><table>{cells}</table></body></html>"
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Validation report</title></head><body><h1>{_issues(issues).total} issues</h1>{f'<p>not listed: {_issues(issues).unlisted}</p>' if _issues(issues).unlisted else ''}<table>{cells}</table></body></html>"
+
+
+def snippets(issues: DataFrame, found: DataFrame, size: int = 240) -> DataFrame:
+    """Adds snippet: the segment an issue is about, as wire text, up to `size` characters; null where it names none."""
+    from tradewire.operators import wire
+    from tradewire.operators.outcome import snippet
+
+    texts = found.select("source", "msg_idx", F.transform("segs", wire.segment_text).alias("texts"))
+    cut = issues.join(texts, ["source", "msg_idx"], "left")
+    return cut.withColumn("snippet", snippet(F.get("texts", F.col("seg_idx")), size)).select(*issues.columns, "snippet")
 
 
 def sarif_report(issues: list[dict], tool: str = "tradewire") -> str:
-    results = [{"ruleId": i["code"], "level": {"error": "error", "warning": "warning"}.get(i["severity"], "note"), "message": {"text": i["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": i["source"]}}, "logicalLocations": [{"fullyQualifiedName": i["path"]}]}]} for i in issues]
-    run = {"tool": {"driver": {"name": tool, "rules": [{"id": c} for c in sorted({i["code"] for i in issues})]}}, "results": results}
+    issues = _issues(issues)
+
+    def place(i: dict) -> dict:
+        at = {"artifactLocation": {"uri": i["source"]}}
+        if i.get("snippet"):
+            at["region"] = {"snippet": {"text": i["snippet"]}}
+        return {"physicalLocation": at, "logicalLocations": [{"fullyQualifiedName": i["path"]}]}
+
+    results = [{"ruleId": i["code"], "level": {"error": "error", "warning": "warning"}.get(i["severity"], "note"), "message": {"text": i["message"]}, "locations": [place(i)]} for i in issues]
+    run = {"tool": {"driver": {"name": tool, "rules": [{"id": c} for c in sorted({c for _, c in issues.by_code})]}}, "results": results}
+    if issues.unlisted:
+        run["properties"] = {"total": issues.total, "unlisted": issues.unlisted}
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2)
 
 
-__all__ = ["Node", "Scope", "closest", "collected", "edit_distance", "explain", "html_report", "json_report", "lint", "paths", "sarif_report", "text_report", "trace"]
+__all__ = ["Issues", "Node", "Scope", "closest", "collected", "console", "edit_distance", "explain", "html_report", "json_report", "lint", "paths", "of_severity", "sarif_report", "snippets", "summary", "text_report", "trace"]

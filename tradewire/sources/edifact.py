@@ -6,6 +6,10 @@ row, so files are what is spread; very large ones are better delivered in parts.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +20,18 @@ from tradewire.functions.plan import fixed
 GROUPED = ("ORDERS", "SLSRPT", "ORDRSP")
 ENDS = ("UNS", "CNT", "UNT")
 LARGEST = 100 << 20
+BREAK = re.compile(r"\r\n|\r|\n")
+
 
+def read(spark: SparkSession, path: str, glob: str = "*.edi", largest: int = LARGEST, ordered: bool = False) -> DataFrame:
+    """(source, text, size) of the files under a folder, at any depth, or of one file; larger ones have no text but an error.
 
-def read(spark: SparkSession, path: str, glob: str = "*.edi", largest: int = LARGEST) -> DataFrame:
-    """(source, text, size) of the files under a folder, at any depth, or of one file; larger ones have no text but an error."""
+    `ordered`: by source.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     raw = raw.load(path) if path.endswith(glob.lstrip("*")) else raw.option("pathGlobFilter", glob).load(path)
     over = F.col("length") > largest
+    raw = raw.orderBy("path") if ordered else raw
     return raw.select(F.col("path").alias("source"), F.when(~over, F.decode("content", "UTF-8")).alias("text"), F.col("length").alias("size"), F.when(over, F.concat(F.lit("file of "), F.col("length").cast("string"), F.lit(f" bytes is over {largest}"))).alias("error"))
 
 
@@ -125,15 +134,67 @@ def exploded(found: DataFrame) -> DataFrame:
     return found.select("source", "msg_idx", "message_ref", F.inline("segs")).withColumnRenamed("idx", "seg_idx")
 
 
-def positions(texts: DataFrame) -> DataFrame:
-    """(source, seg_idx, tag, offset, line, column) after each tag; LF, CR and CRLF each end a line. Offsets are characters."""
+def readable(files: DataFrame) -> DataFrame:
+    """The files, if there are any and all of them have a text; raises otherwise. Looks at names and sizes only."""
+    names = files.select("source", "error")
+    if names.isEmpty():
+        raise FileNotFoundError("no input files found")
+    bad = names.filter(F.col("error").isNotNull()).orderBy("source").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['source']}: {r['error']}" for r in bad))
+    return files
+
+
+PLACES = "source string, seg_idx int, tag string, offset int, line int, column int"
+
+
+def positions(texts: DataFrame, at_start: bool = False) -> DataFrame:
+    """(source, seg_idx, tag, offset, line, column) after each tag, or before it with `at_start`.
+
+    LF, CR and CRLF each end a line. Offsets are characters. A file's tokens are walked once, in its row: running sums
+    need no shuffle this way.
+    """
     sep = syntax.una_struct(F.col("text"))
     start = F.when(syntax.has_una(F.col("text")), F.lit(9)).otherwise(F.lit(0))
-    parts = texts.select("source", "text", start.alias("start"), F.posexplode(syntax.tokens(syntax.without_una(F.col("text")), sep["segment"], sep["release"])).alias("k", "token"))
-    before = F.sum(F.length("token") + 1).over(Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-    rows = parts.withColumn("offset", (F.col("start") + F.coalesce(before, F.lit(0)) + F.length(F.regexp_extract("token", r"^[ \r\n\t]*", 0)) + 3).cast("int"))
-    rows = rows.filter(F.col("token").rlike(r"[^ \r\n\t]"))
-    head = F.substring(F.col("text"), F.lit(1), F.col("offset"))
-    ends = F.regexp_extract_all(head, F.lit(r"(\r\n|\r|\n)"), F.lit(1))
-    column = F.length(F.regexp_extract(head, r"([^\r\n]*)$", 1)) + 1
-    return rows.select("source", F.row_number().over(Window.partitionBy("source").orderBy("k")).alias("seg_idx"), F.substring(F.regexp_replace("token", r"^[ \r\n\t]+", ""), 1, 3).alias("tag"), "offset", (F.size(ends) + 1).alias("line"), column.alias("column")).withColumn("seg_idx", F.col("seg_idx") - 1)
+    cut = texts.select("source", start.alias("start"), F.substring("text", F.lit(1), start).alias("head"), syntax.tokens(syntax.without_una(F.col("text")), sep["segment"], sep["release"]).alias("tokens"), sep["segment"].alias("end"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for source, at, head, tokens, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows = list(_places(source, at, head, tokens or [], end, at_start))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)) if rows else [[]] * 6, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=[x.split()[0] for x in PLACES.split(", ")])
+
+    return cut.filter(F.col("tokens").isNotNull()).mapInArrow(run, PLACES)
+
+
+def _places(source: str, at: int, head: str, tokens: list[str], end: str, at_start: bool) -> Iterator[tuple]:
+    line, begin, past, n = 1, 0, "", 0
+
+    def step(text: str, offset: int) -> None:
+        nonlocal line, begin, past
+        if text[:1] == "\n" and past == "\r":
+            begin = offset + 1  # the second half of a line end
+            text, offset = text[1:], offset + 1
+            past = "\n"
+        for m in BREAK.finditer(text):
+            line, begin = line + 1, offset + m.end()
+        past = text[-1:] or past
+
+    step(head, 0)
+    for token in tokens:
+        own = token.lstrip(" \r\n\t")
+        lead = len(token) - len(own)
+        cut = lead + (0 if at_start else min(3, len(own)))
+        step(token[:cut], at)
+        if own:
+            yield source, n, own[:3], at + cut, line, at + cut - begin + 1
+            n += 1
+        step(token[cut:] + end, at + cut)
+        at += len(token) + 1
+
+
+def parse_errors(texts: DataFrame, custom: bool = True) -> DataFrame:
+    """(source, seg_idx, error, line, column) of the files that do not parse: where the segment without a proper tag starts."""
+    bad = failures(texts, custom).withColumn("seg_idx", F.regexp_extract("error", "^segment ([0-9]+)", 1).cast("int"))
+    found = positions(texts.join(bad.select("source"), "source", "left_semi"), at_start=True)
+    return bad.join(found, ["source", "seg_idx"]).select("source", "seg_idx", F.regexp_replace("error", "^segment [0-9]+: ", "").alias("error"), "line", "column")

@@ -99,13 +99,18 @@ def typed(df: DataFrame, table: TableDef) -> DataFrame:
 
 
 def row_error(df: DataFrame, table: TableDef, partial: bool = False) -> Column:
-    """Missing and unknown columns are errors of the plan; nulls in columns that forbid them are errors of a row."""
+    """Missing and unknown columns are errors of the plan; nulls in columns that forbid them, then values of another type, are errors of a row."""
     names = {c.name for c in table.columns}
     unknown = [c for c in df.columns if c not in names]
     missing = [c.name for c in table.columns if c.name not in df.columns and not c.nullable]
     if unknown or (missing and not partial):
         raise TableError(f"unknown columns {unknown}, missing columns {[] if partial else missing}")
     said = [F.when(F.col(f"`{c.name}`").isNull(), F.lit(f"{c.name} must not be null")) for c in table.columns if not c.nullable and c.name in df.columns]
+    for c in table.columns:
+        if c.name in df.columns:
+            text = F.col(f"`{c.name}`").cast("string")
+            fits = text.rlike(r"^\s*[+-]?\d+\s*$") if c.kind == "integer" else F.lit(True) if c.kind == "string" else text.try_cast(SPARK[c.kind]).isNotNull()
+            said.append(F.when(text.isNotNull() & ~fits, F.lit(f"{c.name} is not {c.kind}")))
     return F.coalesce(*said, F.lit(None).cast("string"))
 
 
@@ -121,10 +126,15 @@ def update(target: DataFrame, filters: dict[str, object], values: dict[str, obje
     return target.select(*[F.when(hit, F.lit(values[c]).cast(kinds[c])).otherwise(F.col(f"`{c}`")).alias(c) if c in values else F.col(f"`{c}`") for c in target.columns])
 
 
-def upsert(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Incoming rows replace those of their key; a repeated key among them keeps one. Keys that are null never match."""
-    incoming = rows.select(*target.columns)
-    return target.join(incoming.select(key).distinct(), key, "left_anti").select(*target.columns).unionByName(incoming)
+def upsert(target: DataFrame, rows: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Incoming rows replace those of their key. Of a repeated key the last by `order` stays, with ties, or without an
+    order, the largest by the other columns. Keys that are null never match, and rows with them all stay.
+    """
+    names = [f"`{c}`" for c in target.columns]
+    last = F.max(F.struct(*[F.col(f"`{c}`").alias(f"order {i}") for i, c in enumerate(order or [])], F.struct(*names).alias("row"))).alias("last")
+    known = rows.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("of key")).agg(last).select("last.row.*")
+    incoming = known.unionByName(rows.filter(F.col(f"`{key}`").isNull()).select(*names))
+    return target.join(known.select(key), key, "left_anti").select(*names).unionByName(incoming)
 
 
 def commit(df: DataFrame, path: str, batches: int | None = None) -> None:

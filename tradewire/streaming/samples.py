@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,11 @@ from tradewire.streaming import stream
 def folder(spark: SparkSession) -> str:
     """Below the cluster's shared folder; a temporary one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="tradewire-stream-")
+    if named:
+        return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tradewire-stream-")
 
 
 def batch_file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
