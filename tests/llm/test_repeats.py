@@ -164,3 +164,13 @@ def test_neighbours_ties_and_few_in_a_list(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     out = neighbours.search(df, F.col("id") % 50 == 0, lists=60, probes=1).groupBy("query_id").count().collect()
     assert sorted(map(tuple, out)) == [(0, 5), (50, 5)]
+
+
+@pytest.mark.parametrize("n", [1, 7, 211])
+def test_units_have_tasks_of_their_own(spark, n):
+    from pyspark.sql import functions as F
+
+    from tradewire.llm.common import key_of_partition
+
+    df = spark.range(n).select(F.col("id"), key_of_partition(F.col("id")).alias("k"))
+    assert not df.filter(F.pmod(F.hash("k"), F.lit(n)) != F.col("id")).count() and df.select("k").distinct().count() == n

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = np.iinfo(np.int64).max
@@ -141,14 +141,52 @@ def partitions(df: DataFrame, each: int = 12 << 20, text_col: str = "text") -> i
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df, text_col) // each))
 
 
+def _times(x: Column, by: int) -> Column:
+    """x * by in 32 bits, for x of 32 bits in a long, without overflow on the way."""
+    low = x.bitwiseAND(F.lit(0xFFFF)) * F.lit(by)
+    high = F.shiftleft((F.shiftright(x, 16) * F.lit(by)).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (low + high).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _turned(x: Column, by: int) -> Column:
+    """32 bits rotated to the right."""
+    return F.shiftright(x, by).bitwiseOR(F.shiftleft(x, 32 - by)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def key_of_partition(p: Column) -> Column:
+    """The int that hash partitioning deals to partition p, a number from 0 up to that of the partitions.
+
+    Spark's hash of an int (Murmur3, public) can be undone step by step, and p is its own remainder. With these keys each
+    work unit has a task of its own; with 0, 1, 2 ... some tasks would get five units and others none.
+    """
+    inverse = lambda m: pow(m, -1, 1 << 32)
+    steps = [
+        lambda x: x.bitwiseXOR(F.shiftright(x, 16)),
+        lambda x: _times(x, inverse(0xC2B2AE35)),
+        lambda x: x.bitwiseXOR(F.shiftright(x, 13)).bitwiseXOR(F.shiftright(x, 26)),
+        lambda x: _times(x, inverse(0x85EBCA6B)),
+        lambda x: (x.bitwiseXOR(F.shiftright(x, 16)).bitwiseXOR(F.lit(4)) + F.lit((1 << 32) - 0xE6546B64)).bitwiseAND(F.lit(0xFFFFFFFF)),
+        lambda x: _times(x, inverse(5)),
+        lambda x: _turned(x, 13).bitwiseXOR(F.lit(42)),
+        lambda x: _times(x, inverse(0x1B873593)),
+        lambda x: _turned(x, 15),
+        lambda x: _times(x, inverse(0xCC9E2D51)),
+        lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x),
+    ]
+    x = p.cast("long")
+    for step in steps:  # each within a lambda, as a step reads its argument several times
+        x = F.get(F.transform(F.array(x), step), F.lit(0))
+    return x.cast("int")
+
+
 def bucketed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (bucket, id, k2, text): the work units of the operators that go over the texts more than once.
 
-    Rows of one document always share a bucket, and a null or hot id is spread by its text.
+    Buckets are keys that hash partitioning into n deals one to a task. Rows of one document always share a bucket, and a null or hot id is spread by its text.
     """
     h = F.xxhash64(F.col(text_col))
     return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), h), F.lit(n)).cast("int").alias("bucket"),
+        key_of_partition(F.pmod(F.xxhash64(F.col(id_col), h), F.lit(n))).alias("bucket"),
         F.col(id_col).cast("long").alias("id"),
         h.alias("k2"),
         F.col(text_col).alias("text"),
