@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewire.llm.common import bucketed, doc_order, documents, input_bytes, mix, pack, partitions, raw_texts, sliding_min, unpack
+from tradewire.llm.common import bucketed, doc_order, documents, input_bytes, mix, pack, partitions, runs, sliding_min, unpack
 from tradewire.llm.groups import MOVED, Group, firsts_of, table
 
 WIDTH = 20
@@ -64,19 +64,12 @@ class Powers:
         return cls.up, cls.down
 
 
-def spread(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The words joined by one space; where each starts and ends."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    return b" ".join(words), ends - size, ends
-
-
 def window_hashes(line: bytes, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each window, by differences of prefix sums; long texts piece by piece."""
     n = len(starts) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    first, last = starts[:n], ends[width - 1 :]
+    first, last = starts[:n], ends[width - 1 :]  # also windows over two documents, which nobody asks for
     out, at = [], 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(last, first[at] + PIECE, side="right")))
@@ -98,42 +91,59 @@ def minimizer_places(h: np.ndarray, windows: int, width: int, gram: int) -> np.n
     return np.concatenate(out)
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
 class Unit:
-    """The documents of a bucket in their order, and the windows of all of them one after another."""
+    """The documents of a bucket in their order: all words one after another, each followed by one space, and the windows."""
 
     def __init__(self, table: pa.Table, width: int) -> None:
         table = table.combine_chunks()
         order, self.ids, self.k2, self.seq = doc_order(table.column("id").combine_chunks(), table.column("k2").combine_chunks())
         self.null = table.column("id").is_null().combine_chunks().to_numpy(zero_copy_only=False)[order]
-        self.texts = pa.array(table.column("text").combine_chunks().take(pa.array(order)))
         self.width, self.gram = width, max(min(GRAM, width), width - 62)  # a mask has 64 bits
-        self.size = np.zeros(len(order), np.int64)
-        hashes = [np.zeros(0, np.uint64)]
-        for d, words in enumerate(self.words()):
-            self.size[d] = len(words)
-            if len(words) >= width:
-                hashes.append(window_hashes(*spread(words), width))
-        self.hashes = np.concatenate(hashes)
+        texts = table.column("text").combine_chunks().fill_null("").take(pa.array(order)).cast(pa.large_string()).cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+        at = at - at[0]
+        word = ~SPACE[raw]
+        new = np.zeros(len(raw) + 1, bool)
+        new[at] = True  # a document's end ends a word
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1] | new[1:-1]
+        last[:-1] &= ~word[1:] | new[1:-1]
+        begin = np.flatnonzero(first)
+        size = np.flatnonzero(last) + 1 - begin
+        self.ends = np.cumsum(size + 1) - 1
+        self.starts = self.ends - size
+        line = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        own = np.ones(len(line), bool)
+        own[self.ends] = False
+        line[own] = raw[word]
+        self.line = line.tobytes()
+        cut = np.searchsorted(begin, at)
+        self.words, self.size = cut[:-1], np.diff(cut)  # of each document: its first word, and how many
         self.windows = np.maximum(self.size - width + 1, 0)
         self.first = np.cumsum(self.windows) - self.windows
-
-    def words(self) -> Iterator[list[bytes]]:
-        for at in range(0, len(self.texts), 64):
-            for raw in raw_texts(self.texts.slice(at, 64)):
-                yield raw.split() if raw else []
-
-    def segments(self, wanted: np.ndarray | None = None) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each document: number, words as one line, their starts and ends, and of its segments of wanted windows: minimizer, first window, windows."""
-        for d, words in enumerate(self.words()):
-            n = int(self.windows[d])
-            own = np.arange(n) if wanted is None else np.flatnonzero(wanted[self.first[d] : self.first[d] + n])
-            if not len(own):
-                continue
-            line, starts, ends = spread(words)
-            h = window_hashes(line, starts, ends, self.gram)
-            place = minimizer_places(h, n, self.width, self.gram)[own]
-            lead = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1] + 1)]))
-            yield d, line, starts, ends, h[place[lead]], own[lead], np.diff(np.concatenate([lead, [len(own)]]))
+        #: Of each window its first word, and its hash.
+        self.word = runs(self.words, self.windows)
+        self.hashes = self.of_all(width)[self.word]
+
+    def of_all(self, width: int) -> np.ndarray:
+        return window_hashes(self.line, self.starts, self.ends, width)
+
+    def segments(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of wanted windows, as runs with one minimizer: the minimizer, the first window, how many."""
+        own = np.arange(len(self.word)) if wanted is None else np.flatnonzero(wanted)
+        if not len(own):
+            return np.zeros(0, np.uint64), own, own
+        h = self.of_all(self.gram)
+        word = self.word[own]
+        place = minimizer_places(h, len(self.starts) - self.width + 1, self.width, self.gram)[word]
+        lead = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (word[1:] != word[:-1] + 1)]))
+        return h[place[lead]], own[lead], np.diff(np.concatenate([lead, [len(own)]]))
 
     def cells(self, row: int, width: int) -> np.ndarray:
         """The sketch cell of each window; the rows of the sketch stand one after another."""
@@ -155,10 +165,10 @@ def from_planes(blob: bytes) -> np.ndarray:
     return np.cumsum(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(8))
 
 
-def added(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Merged sketches: distinct cells, sorted, and their summed counts."""
+def added(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Merged sketches: distinct cells, sorted, their summed counts, and the place of each given cell among them."""
     every, which = np.unique(np.concatenate(cells), return_inverse=True)
-    return every, np.minimum(np.bincount(which, np.concatenate(counts)), (1 << 32) - 1).astype(np.uint32)
+    return every, np.minimum(np.bincount(which, np.concatenate(counts)), (1 << 32) - 1).astype(np.uint32), np.split(which, np.cumsum([len(c) for c in cells])[:-1])
 
 
 def cut(values: np.ndarray, each: int) -> Iterator[tuple[int, slice]]:
@@ -177,32 +187,32 @@ def estimates(units: DataFrame, n: int, width: int, cells: int, hot: int) -> Dat
 
     def sketch(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
-        found, counts = touched(Unit(t, width), cells)
+        found, counts, _ = touched(Unit(t, width), cells)
         out = [(bucket % root, r, bucket, planes(found[own]), pack(counts[own])) for r, own in cut(found, wide)]
         return table(list(map(list, zip(*out, strict=True))), SKETCH)
 
     def merge(t: pa.Table) -> pa.Table:
-        found, counts = added([from_planes(x) for x in t.column("cells").to_pylist()], [unpack(x)[0] for x in t.column("counts").to_pylist()])
+        found, counts, _ = added([from_planes(x) for x in t.column("cells").to_pylist()], [unpack(x)[0] for x in t.column("counts").to_pylist()])
         grp, rng = t.column("grp")[0].as_py(), t.column("rng")[0].as_py()
         out = [(rng, p, grp, planes(found[own]), pack(counts[own])) for p, own in cut(found, narrow)]
         return table(list(map(list, zip(*out, strict=True))), MERGED)
 
     def over(t: pa.Table) -> pa.Table:
-        each = [from_planes(x) for x in t.column("cells").to_pylist()]
-        found, counts = added(each, [unpack(x)[0] for x in t.column("counts").to_pylist()])
+        found, counts, places = added([from_planes(x) for x in t.column("cells").to_pylist()], [unpack(x)[0] for x in t.column("counts").to_pylist()])
         often = counts > np.where(found < np.uint64(DEPTH * cells), 1, hot)
-        out = [(t.column("rng")[0].as_py(), t.column("part")[0].as_py(), g, pack(np.packbits(often[np.searchsorted(found, own)]))) for g, own in zip(t.column("grp").to_pylist(), each, strict=True)]
+        out = [(t.column("rng")[0].as_py(), t.column("part")[0].as_py(), g, pack(np.packbits(often[p]))) for g, p in zip(t.column("grp").to_pylist(), places, strict=True)]
         return table(list(map(list, zip(*out, strict=True))), OVER)
 
     def back(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return table([], BITS)
         each = [from_planes(x) for x in t.column("cells").to_pylist()]
-        found = np.unique(np.concatenate(each))
+        found, which = np.unique(np.concatenate(each), return_inverse=True)
         bits = {r["part"]: unpack(r["bits"])[0] for r in answers.select(["part", "bits"]).to_pylist()}
         often = np.concatenate([np.unpackbits(bits[p], count=own.stop - own.start) for p, own in cut(found, narrow)])
         rng = t.column("rng")[0].as_py()
-        out = [(b, rng, pack(np.packbits(often[np.searchsorted(found, own)]), np.array([len(own)]))) for b, own in zip(t.column("bucket").to_pylist(), each, strict=True)]
+        parts = np.split(often[which], np.cumsum([len(x) for x in each])[:-1])
+        out = [(b, rng, pack(np.packbits(x), np.array([len(x)]))) for b, x in zip(t.column("bucket").to_pylist(), parts, strict=True)]
         return table(list(map(list, zip(*out, strict=True))), BITS)
 
     sent = units.groupBy("bucket").applyInArrow(sketch, SKETCH).repartition(n, "grp", "rng")
@@ -211,12 +221,17 @@ def estimates(units: DataFrame, n: int, width: int, cells: int, hot: int) -> Dat
     return sent.groupBy("grp", "rng").cogroup(answers.groupBy("to", "of")).applyInArrow(back, BITS)
 
 
-def touched(unit: Unit, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of a unit's windows (counts up to two, no more is asked) and, behind them, of its segments' minimizers."""
-    parts = [np.unique(unit.cells(row, cells), return_counts=True) for row in range(DEPTH)]
-    h = np.concatenate([np.zeros(0, np.uint64), *(x[4] for x in unit.segments())])
-    found, counts = np.unique(cells_of(h, DEPTH, cells), return_counts=True)
-    return np.concatenate([*(f for f, _ in parts), found]), np.concatenate([*(np.minimum(c, 2) for _, c in parts), counts]).astype(np.uint32)
+def touched(unit: Unit, cells: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The cells of a unit's windows (counts up to two, no more is asked) and, behind them, of its segments' minimizers; and for each row of the sketch the place of each window's cell among them."""
+    found, counts, places, past = [], [], [], 0
+    for row in range(DEPTH):
+        own, which, n = np.unique(unit.cells(row, cells), return_inverse=True, return_counts=True)
+        found.append(own)
+        counts.append(np.minimum(n, 2))
+        places.append(which + past)
+        past += len(own)
+    own, n = np.unique(cells_of(unit.segments()[0], DEPTH, cells), return_counts=True)
+    return np.concatenate([*found, own]), np.concatenate([*counts, n]).astype(np.uint32), places
 
 
 def windows_of(text: bytes, width: int = WIDTH) -> int:
@@ -229,15 +244,23 @@ def first_windows(group: Group, width: int) -> np.ndarray:
     mask = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
     shared = group.shared()  # a segment has no window twice, as equal windows have their minimizer at the same place
     h, _, _, pos, *_ = group.columns
+    order = shared[np.lexsort((pos[shared], group.ranks()[shared], h[shared]))]
+    whole: set[bytes] = set()
     seen: set[bytes] = set()
     last = None
-    for i in shared[np.lexsort((pos[shared], group.ranks()[shared], h[shared]))].tolist():
-        if h[i] != last:
-            seen, last = set(), h[i]
-        line, starts, ends = spread(group.text[i].split(b" "))
+    for i, key in zip(order.tolist(), h[order].tolist(), strict=True):
+        if key != last:
+            whole, seen, last = set(), set(), key
+        text = group.text[i]
+        if text in whole:
+            mask[i] = 0
+            continue
+        whole.add(text)
+        words = text.split(b" ")
         mine = 0
-        for k, (s, e) in enumerate(zip(starts.tolist(), ends[width - 1 :].tolist(), strict=False)):
-            if (one := line[s:e]) not in seen:
+        for k in range(len(words) - width + 1):
+            one = b" ".join(words[k : k + width])
+            if one not in seen:
                 seen.add(one)
                 mine |= 1 << k
         mask[i] = mine
@@ -256,24 +279,26 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
         if not t.num_rows:
             return table([], MOVED)
         unit = Unit(t, width)
-        found, _ = touched(unit, cells)
+        found, _, places = touched(unit, cells)
         answers = answers.sort_by("rng")
         over = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(bits, count=int(size[0])) for bits, size in map(unpack, answers.column("bits").to_pylist()))]).astype(bool)
-        ask = lambda c: over[np.searchsorted(found, c)]
         wanted = np.ones(len(unit.hashes), bool)
-        for row in range(DEPTH):
-            wanted &= ask(unit.cells(row, cells))
+        for place in places:
+            wanted &= over[place]
+        h, at, many = unit.segments(wanted)
+        often = over[np.searchsorted(found, cells_of(h, DEPTH, cells))]
+        doc = np.searchsorted(unit.first + unit.windows, at, side="right")
+        pos, word = at - unit.first[doc], unit.word[at]
+        begin, end = unit.starts[word], unit.ends[word + many + width - 2]
         first: dict[bytes, tuple[int, int, int]] = {}  # in the order of documents: the first occurrence stays
-        for d, line, starts, ends, h, at, many in unit.segments(wanted):
-            often = ask(cells_of(h, DEPTH, cells)).tolist()
-            for key, p, w, alone in zip(h.tolist(), at.tolist(), many.tolist(), often, strict=True):
-                if alone:
-                    for i in range(p, p + w):
-                        one = line[starts[i] : ends[i + width - 1]]
-                        if one not in first:
-                            first[one] = (xxhash.xxh3_64_intdigest(one), d, i)
-                else:
-                    first.setdefault(line[starts[p] : ends[p + w + width - 2]], (key, d, p))
+        for key, d, p, w, k, s, e, alone in zip(h.tolist(), doc.tolist(), pos.tolist(), word.tolist(), many.tolist(), begin.tolist(), end.tolist(), often.tolist(), strict=True):
+            if alone:
+                for i in range(k):
+                    one = unit.line[unit.starts[w + i] : unit.ends[w + i + width - 1]]
+                    if one not in first:
+                        first[one] = (xxhash.xxh3_64_intdigest(one), d, p + i)
+            else:
+                first.setdefault(unit.line[s:e], (key, d, p))
         if not first:
             return table([], MOVED)
         key, doc, pos = (np.array(x, k) for x, k in zip(zip(*first.values(), strict=True), (np.uint64, np.int64, np.int64), strict=True))
@@ -290,19 +315,18 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
         gone = np.isin(unit.hashes, sent)
         for i in range(int(many.max(initial=0))):
             gone[start[(mask >> np.uint64(i)) & np.uint64(1) == 1] + i] = False
-        removed, kept = [], []
-        for d, words in enumerate(unit.words()):
-            at = np.flatnonzero(gone[unit.first[d] : unit.first[d] + unit.windows[d]])
-            if len(at):
-                step = np.zeros(len(words) + 1, np.int32)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + width, -1)
-                cover = np.cumsum(step[:-1]) > 0
-                removed.append(int(cover.sum()))
-                words = [w for w, c in zip(words, cover.tolist(), strict=True) if not c]
-            else:
-                removed.append(0)
-            kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        step = np.zeros(len(unit.starts) + 1, np.int32)
+        step[unit.word[gone]] += 1
+        step[unit.word[gone] + width] -= 1
+        cover = np.cumsum(step[:-1]) > 0
+        before = np.concatenate([[0], np.cumsum(cover)])
+        removed = before[unit.words + unit.size] - before[unit.words]
+        kept = []
+        for a, n, lost in zip(unit.words.tolist(), unit.size.tolist(), removed.tolist(), strict=True):
+            # Runs of kept words; the line has one space between words.
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], cover[a : a + n], [True]]))).tolist() if lost else [0, n] if n else []
+            own = [unit.line[unit.starts[a + x] : unit.ends[a + y - 1]] for x, y in zip(edge[::2], edge[1::2], strict=True)]
+            kept.append(hashlib.sha256(b" ".join(own)).hexdigest())
         return pa.table([pa.array(unit.ids, pa.int64(), mask=unit.null), pa.array(unit.size), pa.array(removed, pa.int64()), pa.array(kept)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     bits = estimates(units, n, width, cells, hot).withColumnRenamed("bucket", "unit").repartition(n, "unit")
