@@ -17,27 +17,28 @@ from tradewire.llm.common import documents, shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or like none of the languages, go."""
+    """Documents without a letter (null and empty texts too), or like none of the languages, go. Equal rows go or stay together."""
     return language.keep_known(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays, null last, and of equal rows one; texts without words are copies of each other."""
     return nearcopies.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten consecutive words of a benchmark item go."""
+    """Documents with ten consecutive words of a benchmark item go, whether it has an id or not; null and empty texts stay, equal texts go or stay together."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become marks; n_chars follows the text where it is there. No document goes."""
+    """Secrets become marks; n_chars follows the text where it is there. No document goes; a null text stays null."""
     out = secrets.mask(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids: a row for each document; a null text has no ids."""
     return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -54,9 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages on documents, each written and read again; what a stage has read is deleted when it is done."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(before)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        before = path
     return docs
