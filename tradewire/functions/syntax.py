@@ -49,6 +49,11 @@ def una_struct(text: Column) -> Column:
     return F.struct(*[F.when(own, F.substring(text, at, 1)).otherwise(F.lit(d)).alias(n) for n, d, at in parts])
 
 
+def una_text(sep: Column) -> Column:
+    """The service string of a struct of separators."""
+    return F.concat(F.lit("UNA"), *[sep[n] for n in ("component", "element", "decimal", "release", "reserved", "segment")])
+
+
 def without_una(text: Column) -> Column:
     return F.when(has_una(text), F.substring(text, F.lit(10), F.length(text))).otherwise(text)
 

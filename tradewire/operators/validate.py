@@ -157,6 +157,15 @@ def line_item_tags(schema: Schema) -> list[str]:
     return tags
 
 
+def code_union(*lists: tuple[DataFrame, str]) -> DataFrame:
+    """(code): the distinct codes of columns of tables."""
+    out = None
+    for df, c in lists:
+        one = df.select(F.col(f"`{c}`").alias("code"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
 def occurrence_violation(segs: Column, rules: list[Occurs]) -> Column:
     """The message of the first rule that is broken."""
     said = []

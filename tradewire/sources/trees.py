@@ -88,6 +88,18 @@ def json_nodes(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return texts.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, SCHEMA)
 
 
+def properties(texts: DataFrame, text_col: str, columns: dict[str, str]) -> DataFrame:
+    """Adds columns for paths of JSON texts, without a shape given beforehand; null where a path or type is not there.
+
+    columns: name -> Spark type, for the name's own path, or path and type, as "$.a.b bigint". All on the JVM.
+    """
+    out = texts.withColumn("json variant", F.try_parse_json(F.col(text_col)))
+    for name, kind in columns.items():
+        path, _, own = kind.rpartition(" ")
+        out = out.withColumn(name, F.try_variant_get("json variant", path or f"$.{name}", own))
+    return out.drop("json variant")
+
+
 def segment_nodes(found: DataFrame) -> DataFrame:
     """The tree of parsed messages in pre-order: message, segments, elements `eN`, components `cN`. All on the JVM."""
     base = found.select("source", "msg_idx", F.explode("segs").alias("s"))

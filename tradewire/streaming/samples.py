@@ -44,8 +44,20 @@ def control_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{here}/out").groupBy("key").agg(F.max("number").alias("last"), F.countDistinct("number").alias("n"))
 
 
-QUERIES = {"st_batch_file_stream": batch_file_stream, "st_control_state": control_state}
+def csv_header_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders streamed to CSV lines in several micro-batches; a second start adds no second header."""
+    here = folder(spark)
+    samples.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").repartition(4).write.mode("overwrite").parquet(f"{here}/in")
+    for _ in range(2):
+        rows = spark.readStream.schema("o_orderkey long, o_orderpriority string").option("maxFilesPerTrigger", 2).parquet(f"{here}/in")
+        stream.write_csv(rows, f"{here}/out", f"{here}/state", ["o_orderkey", "o_orderpriority"]).awaitTermination()
+    lines = spark.read.text(f"{here}/out/batch=*")
+    return lines.groupBy((F.col("value") == "o_orderkey,o_orderpriority").alias("is_header")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("different"))
+
+
+QUERIES = {"st_csv_header_once": csv_header_once, "st_batch_file_stream": batch_file_stream, "st_control_state": control_state}
 SQL = {
+    "st_csv_header_once": "SELECT true AS is_header, 1::BIGINT AS n, 1::BIGINT AS different UNION ALL SELECT false, count(*), count(DISTINCT o_orderkey || o_orderpriority) FROM orders",
     "st_batch_file_stream": "SELECT o_custkey::VARCHAR AS source, count(*) AS messages FROM orders GROUP BY 1",
     "st_control_state": "SELECT event_type AS key, count(*) AS last, count(*) AS n FROM events GROUP BY 1",
 }
