@@ -147,7 +147,7 @@ def test_unread_files(spark, tmp_path):
 def test_places(spark):
     texts = spark.createDataFrame([("a", "UNA:+.? '\r\nUNH+1'\r\nBGM+x\ny'\rDTM+1'\n\n"), ("b", "UNH+1'\nbad'")], "source string, text string")
     got = [tuple(r)[1:] for r in edifact.positions(texts.filter("source = 'a'")).orderBy("seg_idx").collect()]
-    assert got == [(0, "UNH", 14, 2, 4), (1, "BGM", 22, 3, 4), (2, "DTM", 30, 5, 4)]
+    assert got == [(0, "UNH", 14, 2, 4), (1, "BGM", 22, 3, 4), (2, "DTM", 31, 5, 4)]
     assert [tuple(r) for r in edifact.parse_errors(texts).collect()] == [("b", 1, "expected segment tag (3 characters)", 2, 1)]
 
 

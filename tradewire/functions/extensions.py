@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tradewire.functions.transforms import Value, number
 
@@ -122,7 +123,7 @@ def mapped_text(df: DataFrame, column: str, stage: Callable[[str], str], out: st
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string()), pa.array(errors, pa.string())], names=[*kept, out, "error"])
 
-    return df.mapInArrow(run, df.select(*[f"`{c}`" for c in kept], F.lit("").alias(out), F.lit("").alias("error")).schema)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType()), StructField("error", StringType())]))
 
 
 def validated_text(df: DataFrame, column: str, stage: Callable[[str], list[tuple[str, str, str]]]) -> DataFrame:
@@ -142,5 +143,5 @@ def validated_text(df: DataFrame, column: str, stage: Callable[[str], list[tuple
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind), pa.array(errors, pa.string())], names=[*kept, "issues", "error"])
 
-    schema = df.select(*[f"`{c}`" for c in kept], F.array().cast("array<struct<severity:string,code:string,message:string>>").alias("issues"), F.lit("").alias("error")).schema
-    return df.mapInArrow(run, schema)
+    finding = StructType([StructField(n, StringType()) for n in ("severity", "code", "message")])
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("issues", ArrayType(finding)), StructField("error", StringType())]))
