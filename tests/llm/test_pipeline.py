@@ -7,6 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from cases import frame, rows, sf
+from pyspark.sql import functions as F
 
 from tradewire.llm import bpe, decontaminate, language, nearcopies, secrets, urls
 
@@ -71,7 +72,7 @@ def test_chunks_keep_first_members(spark, monkeypatch):
 
 def test_other_stages_on_cases(spark):
     df = frame(spark)
-    spoken = language.keep_known(df, 0.0)
+    spoken = language.keep_known(df, ((0, 0.0),))
     assert spoken.columns == df.columns and {x["text"] for x in spoken.collect()} == {r[1] for r in rows() if any(c.isalpha() for c in r[1] or "")}
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs along")], "item_id long, text string")
     clean = decontaminate.keep_clean(df, bench)
@@ -158,3 +159,17 @@ def test_copies_near_to_the_original_only(spark):
         if jaccard(" ".join(w), texts[0]) >= 0.8:
             texts.append(" ".join(w))
     assert kept_of(spark, texts) == {0}
+
+
+def test_languages_that_were_not_learned_go(spark):
+    docs = spark.read.parquet(sf("sf0.01") + "/documents.parquet").select("doc_id", "text", "lang").filter("lang is not null")
+    long_ = docs.filter("size(split(text, ' ')) >= 200")
+    r = random.Random(4)
+    noise = spark.createDataFrame([(10**6 + i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(300)), None) for i in range(40)], docs.schema)
+    known = docs.filter("lang <> 'es'").withColumn("lang", F.when(F.col("lang") != "es", F.col("lang")))
+    kept = language.keep_known(known.unionByName(long_.filter("lang = 'es'").withColumn("lang", F.lit(None).cast("string"))).unionByName(noise))
+    out = {x["doc_id"] for x in kept.collect()}
+    assert not {i for i in out if i >= 10**6}
+    mine = {x["doc_id"]: x["lang"] for x in long_.collect()}
+    own, other = [i for i, x in mine.items() if x != "es"], [i for i, x in mine.items() if x == "es"]
+    assert set(own) <= out and sum(i in out for i in other) <= 0.6 * len(other)
