@@ -93,29 +93,31 @@ def raw_segments(text: Column, sep: Separators | Column = DEFAULT) -> Column:
     return bound(all_, lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a))
 
 
-def elements_of(raw: Column, sep: Separators | Column = DEFAULT) -> Column:
+def elements_of(raw: Column, sep: Separators | Column = DEFAULT, plain: bool = False) -> Column:
     """The elements of a segment text: one component makes a simple element (v), several a composite (c).
 
-    An element that starts with a component separator gives an empty simple element first, as the format's readers do.
+    `plain`: there is no release character in the text, so nothing has to be looked at for one. An element that starts with a component separator gives an empty simple element first, as the format's readers do.
     `TAG+` and `TAG` have none.
     """
     e, c, r = (sep.element, sep.component, sep.release) if isinstance(sep, Separators) else (sep["element"], sep["component"], sep["release"])
     element = F.lit(e) if isinstance(e, str) else e
     rest = F.substring(raw, F.lit(4), F.length(raw))
     none = F.lit(None).cast("string")
-    simple = lambda x: F.struct(released(x, r).alias("v"), F.lit(None).cast("array<string>").alias("c"))
+    undone = (lambda x: x) if plain else (lambda x: released(x, r))
+    parted = (lambda x, s: F.split(x, "\\" + s if not s.isalnum() else s, -1)) if plain and isinstance(e, str) else (lambda x, s: tokens(x, s, r))
+    simple = lambda x: F.struct(undone(x).alias("v"), F.lit(None).cast("array<string>").alias("c"))
     comp = F.lit(c) if isinstance(c, str) else c
 
     empty = F.struct(F.lit("").alias("v"), F.lit(None).cast("array<string>").alias("c"))
 
     def several(x: Column, parts: Column) -> Column:
-        whole = F.struct(none.alias("v"), F.transform(parts, lambda p: released(p, r)).alias("c"))
+        whole = F.struct(none.alias("v"), (parts if plain else F.transform(parts, undone)).alias("c"))
         return F.when(F.size(parts) == 1, F.array(simple(x))).when(x.startswith(comp), F.array(empty, whole)).otherwise(F.array(whole))
 
     def one(x: Column) -> Column:
-        return F.when(F.contains(x, comp), bound(tokens(x, c, r), lambda parts: several(x, parts))).otherwise(F.array(simple(x)))
+        return F.when(F.contains(x, comp), bound(parted(x, c), lambda parts: several(x, parts))).otherwise(F.array(simple(x)))
 
-    pieces = F.flatten(F.transform(tokens(F.substring(rest, F.lit(2), F.length(rest)), e, r), one))
+    pieces = F.flatten(F.transform(parted(F.substring(rest, F.lit(2), F.length(rest)), e), one))
     return F.when((rest == "") | (rest == element), F.array().cast(f"array<{ELEMENT}>")).otherwise(pieces)
 
 

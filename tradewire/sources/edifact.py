@@ -46,18 +46,23 @@ def tokenized(texts: DataFrame, custom: bool = True, separators: syntax.Separato
         sep = F.col("sep")
     else:
         kept = [c for c in texts.columns if c not in ("raw", "segs", "error")]
-    raw = fixed(texts, raw=F.filter(syntax.raw_segments(F.col("text"), sep), lambda x: x.isNotNull()))
+    release = F.lit(sep.release) if isinstance(sep, syntax.Separators) else sep["release"]
+    raw = fixed(texts, raw=F.filter(syntax.raw_segments(F.col("text"), sep), lambda x: x.isNotNull()), _plain=~F.contains("text", release))
     bad = F.filter(F.transform("raw", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~syntax.is_tagged(s["x"], sep))
     first = F.when(F.exists("raw", lambda x: ~syntax.is_tagged(x, sep)), F.get(bad, F.lit(0)))
     cut = fixed(raw, bad=first)
     error = F.when(F.col("bad").isNotNull(), F.concat(F.lit("segment "), F.col("bad.i").cast("string"), F.lit(": "), F.when(F.col("bad.x").rlike("^[A-Z]{3}"), "expected element separator or segment terminator after segment tag").otherwise("expected segment tag (3 characters)")))
     none = F.array().cast(f"array<{syntax.ELEMENT}>")
 
-    def elements(x: Column) -> Column:
-        all_ = syntax.elements_of(x, sep)
-        return all_ if tags is None else F.when(F.substring(x, 1, 3).isin("UNH", *sorted(tags - {"UNH"})), all_).otherwise(none)
+    def segments(plain: bool) -> Column:
+        def elements(x: Column) -> Column:
+            all_ = syntax.elements_of(x, sep, plain)
+            return all_ if tags is None else F.when(F.substring(x, 1, 3).isin("UNH", *sorted(tags - {"UNH"})), all_).otherwise(none)
 
-    segs = F.transform("raw", lambda x, i: F.struct(i.alias("idx"), F.substring(x, 1, 3).alias("tag"), elements(x).alias("el")))
+        return F.transform("raw", lambda x, i: F.struct(i.alias("idx"), F.substring(x, 1, 3).alias("tag"), elements(x).alias("el")))
+
+    # Most texts release nothing: for these the plainer expression does.
+    segs = F.when(F.col("_plain"), segments(True)).otherwise(segments(False)) if isinstance(sep, syntax.Separators) else segments(False)
     return fixed(cut, segs=F.when(F.col("bad").isNull(), segs), error=error).select(*kept, "raw", "segs", "error")
 
 
@@ -80,14 +85,15 @@ def messages(texts: DataFrame, custom: bool = True, separators: syntax.Separator
     kept = [c for c in cut.columns if c not in ("text", "raw", "segs", "error")]
     each = fixed(base, spans=F.filter(placed, lambda s: s["u"] >= s["a"]))
     rows = each.select(*kept, "segs", F.posexplode("spans").alias("msg_idx", "span"))
-    own = F.transform(F.slice("file", F.col("span.u") + 1, F.col("span.z") - F.col("span.u") + 1), lambda s, i: F.struct(i.alias("idx"), s["tag"].alias("tag"), s["el"].alias("el")))
+    part = F.transform(F.slice("file", F.col("span.u") + 1, F.col("span.z") - F.col("span.u") + 1), lambda s, i: F.struct(i.alias("idx"), s["tag"].alias("tag"), s["el"].alias("el")))
+    own = F.when((F.col("span.u") == 0) & (F.col("span.z") == F.size("file") - 1), F.col("file")).otherwise(part)
     rows = fixed(rows.withColumnRenamed("segs", "file"), partial=F.col("span.partial"), segs=own).select(*kept, "msg_idx", "partial", "segs")
     return with_info(rows)
 
 
 def with_info(rows: DataFrame) -> DataFrame:
     """Adds message_ref (simple first element of UNH), doc_type and version (from its composite second one)."""
-    rows = fixed(rows, unh=syntax.first_segment(F.col("segs"), "UNH"))
+    rows = fixed(rows, unh=F.get("segs", F.lit(0)))  # a message starts with it
     unh = F.col("unh")
     kind, version, release = (syntax.value(unh, 2, n) for n in (1, 2, 3))
     return rows.withColumn("message_ref", syntax.value(unh, 1)).withColumn("doc_type", kind).withColumn("version", F.when(release.isNull(), version).otherwise(F.concat_ws("_", version, release))).drop("unh")
