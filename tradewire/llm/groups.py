@@ -1,7 +1,8 @@
 """Segments of documents that meet by a key, of which each task finds the windows that occur first.
 
-A unit (a bucket of documents) sends segments, runs of consecutive windows, as rows (h, bucket, doc, pos, id, k2, seq,
-text): h is a function of every window in the segment, so equal windows meet. Rows come to a task sorted by h. They are
+A unit (a bucket of documents) sends segments, runs of consecutive windows, as rows (h, bucket, doc, pos, id, k2, text): h
+is a function of every window in the segment, so equal windows meet. Documents are ordered by (id, k2); where these are
+equal they are of one unit, and doc, their number in it, decides. Rows come to a task sorted by h. They are
 taken in collections that end between keys. A key that goes on beyond `largest` rows is worked off in parts: of a part
 only segments that are first with some window stay for the next part, as what is first of all is first in its part.
 """
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MOVED = "h long, bucket int, doc int, pos long, id long, k2 long, seq int, text binary"
+MOVED = "h long, bucket int, doc int, pos long, id long, k2 long, text binary"
 ANSWER = "unit int, doc int, pos long, windows int, mask long"
 
 
@@ -28,12 +29,12 @@ def table(columns: list, names: str) -> pa.Table:
 class Group:
     """Sent segments, sorted by key, as columns."""
 
-    def __init__(self, h, bucket, doc, pos, id_, k2, seq, text: list[bytes]) -> None:
-        self.columns, self.text = (h, bucket, doc, pos, id_, k2, seq), text
+    def __init__(self, h, bucket, doc, pos, id_, k2, text: list[bytes]) -> None:
+        self.columns, self.text = (h, bucket, doc, pos, id_, k2), text
 
     @staticmethod
     def of(b: pa.RecordBatch) -> Group:
-        return Group(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(7)), b.column(7).to_pylist())
+        return Group(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(6)), b.column(6).to_pylist())
 
     @staticmethod
     def joined(parts: list[Group]) -> Group:
@@ -52,10 +53,10 @@ class Group:
 
     def ranks(self) -> np.ndarray:
         """Numbers that order the segments' documents."""
-        *_, id_, k2, seq = self.columns
-        order = np.lexsort((seq, k2, id_))
+        _, _, doc, _, id_, k2 = self.columns
+        order = np.lexsort((doc, k2, id_))
         new = np.zeros(len(order), np.uint64)
-        new[1:] = (id_[order][1:] != id_[order][:-1]) | (k2[order][1:] != k2[order][:-1]) | (seq[order][1:] != seq[order][:-1])
+        new[1:] = (id_[order][1:] != id_[order][:-1]) | (k2[order][1:] != k2[order][:-1]) | (doc[order][1:] != doc[order][:-1])
         out = np.empty(len(order), np.uint64)
         out[order] = np.cumsum(new)
         return out

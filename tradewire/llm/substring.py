@@ -33,7 +33,7 @@ from tradewire.llm.common import bucketed, doc_order, documents, input_bytes, mi
 from tradewire.llm.groups import MOVED, Group, firsts_of, table
 
 WIDTH = 20
-GRAM = 7
+GRAM = 4
 DEPTH = 2
 #: Cells in a row of the sketch for each byte of compressed input: about 16 for each window. A window that is estimated
 #: repeated and is not costs a text of 20 words, cells that are not touched cost next to nothing.
@@ -303,7 +303,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
         if not first:
             return table([], MOVED)
         key, doc, pos = (np.array(x, k) for x, k in zip(zip(*first.values(), strict=True), (np.uint64, np.int64, np.int64), strict=True))
-        return table([key.view(np.int64), np.full(len(key), t.column("bucket")[0].as_py()), doc, pos, unit.ids[doc], unit.k2[doc], unit.seq[doc], list(first)], MOVED)
+        return table([key.view(np.int64), np.full(len(key), t.column("bucket")[0].as_py()), doc, pos, unit.ids[doc], unit.k2[doc], list(first)], MOVED)
 
     def remove(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:

@@ -341,7 +341,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
                 else:
                     first.setdefault(data[s : s + w + WIDTH - 1], (key, d, p))
         key, doc, pos = (np.array(x, k) for x, k in zip(zip(*first.values(), strict=True), (np.uint64, np.int64, np.int64), strict=True))
-        return table([key.view(np.int64), np.full(len(key), t.column("bucket")[0].as_py()), doc, pos, unit.ids[doc], unit.k2[doc], unit.seq[doc], list(first)], MOVED)
+        return table([key.view(np.int64), np.full(len(key), t.column("bucket")[0].as_py()), doc, pos, unit.ids[doc], unit.k2[doc], list(first)], MOVED)
 
     def remove(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
