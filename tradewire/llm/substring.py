@@ -28,8 +28,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradewire.llm.common import bucketed, doc_order, documents, input_bytes, mix, pack, partitions, runs, sliding_min, unpack
+from tradewire.llm.common import bucketed, doc_order, documents, input_bytes, key_of_partition, mix, pack, partitions, runs, sliding_min, unpack
 from tradewire.llm.groups import MOVED, Group, firsts_of, table
 
 WIDTH = 20
@@ -42,6 +43,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 PIECE = 1 << 20
 LOW = np.uint64((1 << 20) - 1)
 BATCH = 4096
+#: Bytes of input in a unit, whose windows take some thirty times that in memory.
+UNIT = 9 << 20
 HOT = LARGEST = 1 << 16
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 #: (group, range) of the first step, (range, part) of the second.
@@ -216,10 +219,14 @@ def estimates(units: DataFrame, n: int, width: int, cells: int, hot: int) -> Dat
         out = [(b, rng, pack(np.packbits(x), np.array([len(x)]))) for b, x in zip(t.column("bucket").to_pylist(), parts, strict=True)]
         return table(list(map(list, zip(*out, strict=True))), BITS)
 
-    sent = units.groupBy("bucket").applyInArrow(sketch, SKETCH).repartition(n, "grp", "rng")
-    merged = sent.groupBy("grp", "rng").applyInArrow(merge, MERGED).repartition(n, "rng", "part")
-    answers = merged.groupBy("rng", "part").applyInArrow(over, OVER).withColumnsRenamed({"grp": "to", "rng": "of"}).repartition(n, "to", "of")
-    return sent.groupBy("grp", "rng").cogroup(answers.groupBy("to", "of")).applyInArrow(back, BITS)
+    def dealt(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
+        """By two numbers under `root`, evenly."""
+        return df.withColumn(key, key_of_partition(F.col(a) * root + F.col(b))).repartition(n, key)
+
+    sent = dealt(units.groupBy("bucket").applyInArrow(sketch, SKETCH), "grp", "rng", "key")
+    merged = dealt(sent.groupBy("key").applyInArrow(merge, MERGED), "rng", "part", "key")
+    answers = dealt(merged.groupBy("key").applyInArrow(over, OVER).withColumnsRenamed({"grp": "to", "rng": "of"}), "to", "of", "answer")
+    return sent.groupBy("key").cogroup(answers.groupBy("answer")).applyInArrow(back, BITS)
 
 
 def touched(unit: Unit, cells: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -229,7 +236,7 @@ def touched(unit: Unit, cells: int) -> tuple[np.ndarray, np.ndarray, list[np.nda
         own, which, n = np.unique(unit.cells(row, cells), return_inverse=True, return_counts=True)
         found.append(own)
         counts.append(np.minimum(n, 2))
-        places.append(which + past)
+        places.append((which + past).astype(np.int32))
         past += len(own)
     own, n = np.unique(cells_of(unit.segments()[0], DEPTH, cells), return_counts=True)
     return np.concatenate([*found, own]), np.concatenate([*counts, n]).astype(np.uint32), places
@@ -270,7 +277,7 @@ def first_windows(group: Group, width: int) -> np.ndarray:
 
 def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", cells_a_byte: float = CELLS_A_BYTE, hot: int = HOT, batch: int = BATCH, largest: int = LARGEST) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256."""
-    n = partitions(docs, text_col=text_col)
+    n = partitions(docs, UNIT, text_col)
     cells = max(1 << 12, int(input_bytes(docs, text_col) * cells_a_byte))
     units = bucketed(docs, n, id_col, text_col).repartition(n, "bucket")
 
