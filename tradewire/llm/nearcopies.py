@@ -44,8 +44,6 @@ FAR = 160
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 200_000
 CELLS = 1 << 20
 PAIRS = 1 << 18
-#: For each byte value its eight bits, one in each byte of a long.
-LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def shingle_hashes(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -63,22 +61,22 @@ def shingle_hashes(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def bit_counts(h: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each of the 64 bits, a byte of every hash at a time."""
-    out = np.zeros(64, np.int64)
-    columns = h.view(np.uint8).reshape(-1, 8)
+    """How many of the hashes, or rows of several each, have each of their bits. Sums of 255 rows fit into bytes."""
+    columns = np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1)
+    out = np.zeros(8 * columns.shape[1], np.int64)
     for at in range(0, len(h), 255):
-        part = columns[at : at + 255]
-        for b in range(8):
-            out[8 * b : 8 * b + 8] += np.add.reduce(LANES[part[:, b]]).reshape(1).view(np.uint8)
+        out += np.add.reduce(np.unpackbits(columns[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return out
 
 
-def wide_sketch(h: np.ndarray, bits: int = WIDE) -> np.ndarray:
-    out = []
-    for k in range(bits // 64):
-        own = mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
-        out.append(np.packbits(bit_counts(own) * 2 > len(h), bitorder="little").view(np.uint64)[0] if len(h) else np.uint64(0))
-    return np.array(out, np.uint64)
+SPREAD = np.array([0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(WIDE // 64)], np.uint64)
+
+
+def wide_sketch(h: np.ndarray) -> np.ndarray:
+    """A SimHash of WIDE bits: each word of it from the hashes mixed another way."""
+    if not len(h):
+        return np.zeros(WIDE // 64, np.uint64)
+    return np.packbits(bit_counts(mix(h[:, None] + SPREAD)) * 2 > len(h), bitorder="little").view(np.uint64)
 
 
 def section_fingerprints(h: np.ndarray, length: int = SECTION, most: int = SECTIONS) -> np.ndarray:
