@@ -107,8 +107,8 @@ def url_log(spark, data):
 
 
 def test_urls(spark):
-    log = url_log(spark, [("a.com", "2024-01-05", "block", 1), ("a.com", "2024-02-01", "remove", 1), ("b.a.com", "2024-01-10", "allow", 1), ("a.com/x", "2024-01-01", "allow", 1), (None, "2024-01-01", "block", 1), ("a.com", None, "block", 1), ("c.org", "2024-01-05", "allow", 1), ("c.org", "2024-01-05", "block", 1)])
-    captures = [(1, "http://a.com/", "2024-01-04", "none"), (2, "http://a.com/", "2024-01-05", "block"), (3, "https://U@A.com.:80?q", "2024-01-31", "block"), (4, "http://a.com", "2024-02-01", "none"), (5, "http://b.a.com/x/y", "2024-01-09", "block"), (6, "http://b.a.com/x/y", "2024-01-10", "allow"), (7, "http://a.com/x?z", "2024-01-20", "allow"), (8, None, "2024-01-20", "none"), (9, "", "2024-01-20", "none"), (10, "/rel", "2024-01-20", "none"), (11, "http://a.com/", None, "none"), (12, "http://c.org/", "2024-01-06", "block"), (12, "http://c.org/", "2024-01-06", "block")]
+    log = url_log(spark, [("a.com", "2024-01-05", "block", 1), ("a.com", "2024-02-01", "remove", 1), ("b.a.com", "2024-01-10", "allow", 1), ("a.com/x", "2024-01-01", "allow", 1), (None, "2024-01-01", "block", 1), ("a.com", None, "block", 1), ("c.org", "2024-01-05", "allow", 1), ("c.org", "2024-01-05", "block", 1), ("c.org/deep/er", "2024-01-06", "allow", 1), ("nobody.invalid", "2024-01-01", "block", 1)])
+    captures = [(1, "http://a.com/", "2024-01-04", "none"), (2, "http://a.com/", "2024-01-05", "block"), (3, "https://U@A.com.:80?q", "2024-01-31", "block"), (4, "http://a.com", "2024-02-01", "none"), (5, "http://b.a.com/x/y", "2024-01-09", "block"), (6, "http://b.a.com/x/y", "2024-01-10", "allow"), (7, "http://a.com/x?z", "2024-01-20", "allow"), (8, None, "2024-01-20", "none"), (9, "", "2024-01-20", "none"), (10, "/rel", "2024-01-20", "none"), (11, "http://a.com/", None, "none"), (12, "http://c.org/", "2024-01-06", "block"), (12, "http://c.org/", "2024-01-06", "block"), (13, "http://b.a.com//x//y" + "/z" * 200000, "2024-01-10", "allow"), (14, "http://" + "h." * 100000 + "a.com/x", "2024-01-20", "block"), (15, "http://c.org/deep/er", "2024-01-20", "allow")]
     df = spark.createDataFrame([(*c, "k") for c in captures], "page_id int, url string, at string, want string, key string")
     got = sorted((x["id"], x["verdict"]) for x in urls.evaluate(df, log, "page_id", "url", "at").collect())
     assert got == sorted((c[0], c[3]) for c in captures)

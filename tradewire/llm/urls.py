@@ -60,13 +60,17 @@ def salted(asked: DataFrame, spans: DataFrame, total: int, share: int = 1000) ->
 
 def evaluate(captures: DataFrame, log: DataFrame, id_col: str, url_col: str, date_col: str) -> DataFrame:
     """Per capture: id, host, fetched_on, verdict (block, allow, none), matched key, valid_from."""
+    log = log.filter(F.col("key").isNotNull())
     rows = captures.select(
         F.col(id_col).alias("id"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(F.array_join(segments_of(F.col(url_col)), "/"), F.lit("")).alias("path"), F.col(date_col).cast("date").alias("fetched_on")
     ).withColumn("look", F.concat_ws("|", F.coalesce(F.col("fetched_on").cast("string"), F.lit("")), "host", "path"))
     counts = stored(rows.groupBy("look").agg(F.count(F.lit(1)).alias("n"), F.first("host").alias("host"), F.first("path").alias("path"), F.first("fetched_on").alias("fetched_on")))
     labels, segments = F.split("host", r"\."), F.split("path", "/")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"), (F.size(labels) - i).alias("depth")))
-    paths = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda j: F.struct(F.concat_ws("/", "host", F.array_join(F.slice(segments, F.lit(1), j), "/")).alias("key"), (j + (1 << 20)).alias("depth")))
+    # Keys of more labels or segments than any in the list are not asked for, so a very long URL has few keys.
+    in_key = F.split("key", "/")
+    most_labels, most_segments = (x or 0 for x in log.select(F.size(F.split(in_key[0], r"\.")).alias("l"), (F.size(in_key) - 1).alias("s")).agg(F.max("l"), F.max("s")).first())
+    parents = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - max(1, most_labels) + 1), F.size(labels)), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"), (F.size(labels) - i).alias("depth")))
+    paths = F.transform(F.sequence(F.lit(1), F.least(F.size(segments), F.lit(max(1, most_segments)))), lambda j: F.struct(F.concat_ws("/", "host", F.array_join(F.slice(segments, F.lit(1), j), "/")).alias("key"), (j + (1 << 20)).alias("depth")))
     keys = F.when(F.col("path") != "", F.concat(paths, parents)).otherwise(parents)
     asked = counts.filter((F.col("host") != "") & F.col("fetched_on").isNotNull()).select("look", "fetched_on", F.inline(keys))
     left, right = salted(asked, intervals(log), counts.count())
