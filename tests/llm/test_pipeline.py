@@ -163,13 +163,13 @@ def test_copies_near_to_the_original_only(spark):
 
 def test_languages_that_were_not_learned_go(spark):
     docs = spark.read.parquet(sf("sf0.01") + "/documents.parquet").select("doc_id", "text", "lang").filter("lang is not null")
-    long_ = docs.filter("size(split(text, ' ')) >= 200")
+    long_ = docs.filter("size(array_distinct(split(text, ' '))) >= 100")
     r = random.Random(4)
     noise = spark.createDataFrame([(10**6 + i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(300)), None) for i in range(40)], docs.schema)
-    known = docs.filter("lang <> 'es'").withColumn("lang", F.when(F.col("lang") != "es", F.col("lang")))
-    kept = language.keep_known(known.unionByName(long_.filter("lang = 'es'").withColumn("lang", F.lit(None).cast("string"))).unionByName(noise))
+    known = docs.filter("lang <> 'fr'").withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))
+    kept = language.keep_known(known.unionByName(long_.filter("lang = 'fr'").withColumn("lang", F.lit(None).cast("string"))).unionByName(noise))
     out = {x["doc_id"] for x in kept.collect()}
     assert not {i for i in out if i >= 10**6}
     mine = {x["doc_id"]: x["lang"] for x in long_.collect()}
-    own, other = [i for i, x in mine.items() if x != "es"], [i for i, x in mine.items() if x == "es"]
-    assert set(own) <= out and sum(i in out for i in other) <= 0.6 * len(other)
+    own, other = [i for i, x in mine.items() if x != "fr"], [i for i, x in mine.items() if x == "fr"]
+    assert set(own) <= out and sum(i in out for i in other) <= 0.3 * len(other)
