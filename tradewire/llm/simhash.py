@@ -146,9 +146,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def with_least(stars: DataFrame) -> DataFrame:
-    """Adds the least root of each node."""
+    """Adds the least root of each node. Only where a node has very many rows do the joins take it apart."""
     least = stars.groupBy("node").agg(F.min("root").alias("least"), F.count(F.lit(1)).alias("n"))
-    return hot_join(stars, least.drop("n"), "node", least.drop("least"), stars.count(), "inner")
+    total, most = least.agg(F.sum("n"), F.max("n")).first()
+    if (most or 0) <= max(1000, (total or 0) // 1000):
+        return stars.join(least.drop("n"), "node")
+    return hot_join(stars, least.drop("n"), "node", least.drop("least"), total, "inner")
 
 
 def components(edges: DataFrame) -> DataFrame:
