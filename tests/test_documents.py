@@ -176,3 +176,17 @@ def test_retries(spark):
     df = spark.createDataFrame([(i,) for i in range(4)], "k int")
     out = {r["k"]: (r["error"], r["attempts"]) for r in outcome.with_retries(df, lambda d, n: d.withColumn("error", F.when(F.col("k") >= n, "no")), 1).collect()}
     assert out == {0: (None, 1), 1: (None, 2), 2: ("no", 2), 3: ("no", 2)}
+
+
+def test_rows_read_a_tree_once(spark):
+    texts = ['[{"a": 1, "b": 2}, {"b": null}, 5, {}]', '{"x": {"a": 3}}', '{"x": {"a": 4}, "y": 6}', "{", "7", '{"rows": []}']
+    out = documents.rows(nodes(spark, *texts), {"a": "int", "b": "int"})
+    assert [tuple(r) for r in out.orderBy("doc_id", "record").collect()] == [(0, 0, 1, 2), (0, 1, None, None), (0, 2, None, None), (0, 3, None, None), (1, 0, None, None), (2, 0, 4, None), (2, 1, None, None), (4, 0, None, None), (5, 0, None, None)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_batches_of_nodes(spark, monkeypatch):
+    monkeypatch.setattr(trees, "NODES", 3)
+    got = trees.json_nodes(spark.createDataFrame([(1, "[1, 2, 3]"), (2, None), (3, "{"), (4, "[4]")], "doc_id long, text string").coalesce(1)).collect()
+    assert [(r["doc_id"], r["node_id"], r["value"]) for r in got if r["value"]] == [(1, 2, "1"), (1, 3, "2"), (1, 4, "3"), (3, 0, "{"), (4, 2, "4")]

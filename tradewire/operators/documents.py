@@ -22,26 +22,25 @@ class HeaderError(ValueError):
 # --- records ---------------------------------------------------------------------------------------------------------
 
 
+def _placed(nodes: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, node_id, ordinal, is_record, and more): records, and their children under the node_id of the record.
+
+    The tree is read once and dealt out once, by document: where a node stands is told by its depth.
+    """
+    depth = F.col("depth")
+    near = nodes.filter(depth.between(1, 3)).select("doc_id", "node_id", "parent_id", "ordinal", "depth", (F.col("node_type") == "SegmentGroup").alias("group"), *more)
+    own = Window.partitionBy("doc_id")
+    groups = (F.count_if(depth == 1).over(own) == 1) & (F.count_if((depth == 1) & F.col("group")).over(own) == 1) & (F.count_if(depth == 2).over(own) > 0)
+    at = near.withColumn("is_record", depth == F.when(groups, 2).otherwise(1)).withColumn("is_child", depth == F.when(groups, 3).otherwise(2))
+    return at.filter("is_record or is_child").select("doc_id", F.when(F.col("is_record"), F.col("node_id")).otherwise(F.col("parent_id")).alias("node_id"), "ordinal", "is_record", *more)
+
+
 def records(nodes: DataFrame) -> DataFrame:
     """(doc_id, record, node_id): what stands for a record of each document, numbered from 0 in its order.
 
     These are the children of the root's only child if that is a group with children, else the root's children.
     """
-    root = nodes.filter(F.col("parent_id").isNull()).select("doc_id", F.col("node_id").alias("root_id"))
-    below = nodes.select("doc_id", "node_id", F.col("parent_id").alias("root_id"), "ordinal", "node_type")
-    first = below.join(root, ["doc_id", "root_id"]).drop("root_id")
-    inner = nodes.select("doc_id", F.col("node_id").alias("inner_id"), F.col("parent_id").alias("node_id"), F.col("ordinal").alias("inner_ordinal"))
-    alone = F.count(F.lit(1)).over(Window.partitionBy("doc_id")) == 1
-    groups = first.withColumn("alone", alone).filter(F.col("alone") & (F.col("node_type") == "SegmentGroup")).join(inner, ["doc_id", "node_id"]).select("doc_id", F.col("inner_id").alias("node_id"), F.col("inner_ordinal").alias("ordinal"))
-    rest = first.join(groups.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "node_id", "ordinal")
-    return groups.unionByName(rest).select("doc_id", F.col("ordinal").alias("record"), "node_id")
-
-
-def fields(nodes: DataFrame) -> DataFrame:
-    """(doc_id, record, place, name, value): the children of records; of a repeated name the first one."""
-    kids = nodes.select("doc_id", F.col("parent_id").alias("node_id"), F.col("ordinal").alias("place"), "name", "value")
-    own = records(nodes).join(kids, ["doc_id", "node_id"])
-    return own.groupBy("doc_id", "record", "name").agg(F.min("place").alias("place"), F.min_by("value", "place").alias("value"))
+    return _placed(nodes).filter("is_record").select("doc_id", F.col("ordinal").alias("record"), "node_id")
 
 
 def headers(nodes: DataFrame) -> list[str]:
@@ -53,11 +52,14 @@ def headers(nodes: DataFrame) -> list[str]:
 
 
 def rows(nodes: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """(doc_id, record, and the columns): records as rows of a table, absent fields null. columns: name -> Spark type."""
-    cells = fields(nodes).filter(F.col("name").isin(*columns))
-    wide = cells.groupBy("doc_id", "record").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
-    all_ = records(nodes).select("doc_id", "record").join(wide, ["doc_id", "record"], "left")
-    return all_.select("doc_id", "record", *[F.try_element_at("m", F.lit(c)).try_cast(k).alias(c) for c, k in columns.items()])
+    """(doc_id, record, and the columns): records as rows of a table, absent fields null. columns: name -> Spark type.
+
+    Of a repeated name the first field counts.
+    """
+    cell = F.when(~F.col("is_record") & F.col("name").isin(*columns), F.struct("ordinal", "name", "value"))
+    wide = _placed(nodes, "name", "value").groupBy("doc_id", "node_id").agg(F.max(F.when(F.col("is_record"), F.col("ordinal"))).alias("record"), F.sort_array(F.collect_list(cell)).alias("cells"))
+    first = lambda c: F.get(F.filter("cells", lambda x: x["name"] == c), F.lit(0))["value"]
+    return wide.select("doc_id", "record", *[first(c).try_cast(k).alias(c) for c, k in columns.items()])
 
 
 def csv(nodes: DataFrame, names: list[str] | None = None, header: bool = True, delimiter: str = ",", null: str = "") -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, node_id int, parent_id int, ordinal int, depth int, path string, name string, node_type string, vtype string, value string"
+#: Nodes, and characters of texts, after which a batch of nodes is handed on.
+NODES, CHARACTERS = 8192, 1 << 22
 _ARROW = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 5]
 
 
@@ -71,19 +73,33 @@ def walk(data: Any) -> Iterator[tuple]:
 def json_nodes(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts that are no JSON give one node of type Error with the text; null texts give nothing."""
 
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ARROW, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if t is None:
                     continue
                 try:
-                    data = json.loads(t)
+                    found = walk(json.loads(t))
                 except ValueError:
-                    found = [(0, None, 0, 0, "/", "document", "Error", "string", t)]
-                else:
-                    found = list(walk(data))
-                columns = [[i] * len(found), *map(list, zip(*found, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _ARROW, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                    found = iter([(0, None, 0, 0, "/", "document", "Error", "string", t)])
+                held += len(t)
+                for n in found:
+                    rows.append((i, *n))
+                    if len(rows) >= NODES:
+                        yield made(rows)
+                        rows, held = [], 0
+                if held >= CHARACTERS and rows:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
 
     return texts.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, SCHEMA)
 
