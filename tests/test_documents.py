@@ -178,6 +178,14 @@ def test_retries(spark):
     assert out == {0: (None, 1), 1: (None, 2), 2: ("no", 2), 3: ("no", 2)}
 
 
+def test_nodes_know_their_segment(spark):
+    texts = spark.createDataFrame([("a", "UNH+1+ORDERS:D'QTY+21:2'QTY+59:5'UNT+4+1'")], "source string, text string")
+    found = trees.segment_nodes(edifact.messages(texts)).filter("tag = 'QTY' and name = 'c2'")
+    assert [(r["seg_idx"], r["value"]) for r in found.orderBy("seg_idx").collect()] == [(1, "2"), (2, "5")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_rows_read_a_tree_once(spark):
     texts = ['[{"a": 1, "b": 2}, {"b": null}, 5, {}]', '{"x": {"a": 3}}', '{"x": {"a": 4}, "y": 6}', "{", "7", '{"rows": []}']
     out = documents.rows(nodes(spark, *texts), {"a": "int", "b": "int"})

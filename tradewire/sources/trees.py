@@ -117,14 +117,17 @@ def properties(texts: DataFrame, text_col: str, columns: dict[str, str]) -> Data
 
 
 def segment_nodes(found: DataFrame) -> DataFrame:
-    """The tree of parsed messages in pre-order: message, segments, elements `eN`, components `cN`. All on the JVM."""
+    """The tree of parsed messages in pre-order: message, segments, elements `eN`, components `cN`. All on the JVM.
+
+    Each node has the tag of its segment, so that a choice of segments needs no shuffle and comes before their trees.
+    """
     base = found.select("source", "msg_idx", F.explode("segs").alias("s"))
     struct = lambda depth, name, kind, value, order: F.struct(F.lit(depth).alias("depth"), name.alias("name"), F.lit(kind).alias("node_type"), value.alias("value"), order.alias("order"))
     null, zero = F.lit(None).cast("string"), F.lit(-1)
     num = lambda letter, i: F.concat(F.lit(letter), (i + 1).cast("string"))
     elements = F.transform("s.el", lambda e, i: F.concat(F.array(struct(2, num("e", i), "Element", e["v"], F.array(i, zero))), F.coalesce(F.transform(e["c"], lambda c, j: struct(3, num("c", j), "Component", c, F.array(i, j))), F.array().cast("array<struct<depth:int,name:string,node_type:string,value:string,order:array<int>>>"))))
     rows = F.concat(F.array(struct(1, F.col("s.tag"), "Segment", null, F.array(zero, zero))), F.flatten(elements))
-    return base.select("source", "msg_idx", F.col("s.idx").alias("seg_idx"), F.posexplode(rows).alias("pos", "n")).select("source", "msg_idx", "seg_idx", "pos", "n.depth", "n.name", "n.node_type", "n.value")
+    return base.select("source", "msg_idx", F.col("s.idx").alias("seg_idx"), F.col("s.tag").alias("tag"), F.posexplode(rows).alias("pos", "n")).select("source", "msg_idx", "seg_idx", "tag", "pos", "n.depth", "n.name", "n.node_type", "n.value")
 
 
 def descend(nodes: DataFrame, name: str | None = None, index: int | None = None) -> DataFrame:
