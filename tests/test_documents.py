@@ -10,6 +10,7 @@ from tradewire import engine
 from tradewire.functions import extensions
 from tradewire.operators import documents, envelope, outcome, quarantine, validate, wire
 from tradewire.plans import compiler, diagnostics
+from tradewire.plans import schema as schemas
 from tradewire.sources import database, edifact, tables, trees
 
 
@@ -198,3 +199,14 @@ def test_batches_of_nodes(spark, monkeypatch):
     monkeypatch.setattr(trees, "NODES", 3)
     got = trees.json_nodes(spark.createDataFrame([(1, "[1, 2, 3]"), (2, None), (3, "{"), (4, "[4]")], "doc_id long, text string").coalesce(1)).collect()
     assert [(r["doc_id"], r["node_id"], r["value"]) for r in got if r["value"]] == [(1, 2, "1"), (1, 3, "2"), (1, 4, "3"), (3, 0, "{"), (4, 2, "4")]
+
+
+def test_strictness_of_one_check(spark):
+    found = edifact.grouped(edifact.messages(spark.createDataFrame([("a", "UNH+1+ORDERS:D'XYZ+1'UNT+3+1'")], "source string, text string")))
+    known = schemas.Schema("S", "1", (schemas.Segment("UNH", (), True), schemas.Segment("BGM", (), True), schemas.Segment("UNT", (), True)))
+    wanted = {"UNKNOWN_SEGMENT", "MISSING_MANDATORY_SEGMENT"}
+    one = validate.issues(found, known, only=wanted)
+    assert "MISSING_MANDATORY_ELEMENT" not in one._jdf.queryExecution().optimizedPlan().toString() and "EXTRA_ELEMENT" not in one._jdf.queryExecution().optimizedPlan().toString()
+    for level in ("strict", "standard", "lenient"):
+        all_ = validate.issues(found, known, validate.Config(level)).filter(F.col("code").isin(*wanted))
+        assert sorted(map(tuple, one.select("code", validate.severity_at(level, F.col("severity"))).collect())) == sorted(map(tuple, all_.select("code", "severity").collect()))
