@@ -173,3 +173,13 @@ def test_languages_that_were_not_learned_go(spark):
     mine = {x["doc_id"]: x["lang"] for x in long_.collect()}
     own, other = [i for i, x in mine.items() if x != "fr"], [i for i, x in mine.items() if x == "fr"]
     assert set(own) <= out and sum(i in out for i in other) <= 0.3 * len(other)
+
+
+def test_sets_are_compared_on_the_jvm(spark, monkeypatch):
+    """Exactly at the similarity too; texts are gone over in small parts."""
+    df = spark.createDataFrame([([1, 2, 3, 4], [1, 2, 3, 4, 5]), ([1, 2, 3, 4], [1, 2, 3, 5]), ([], [1])], "x array<long>, y array<long>")
+    assert [r[0] for r in df.select(nearcopies.similar(F.col("x"), F.col("y"), 0.8)).collect()] == [True, False, False]
+    monkeypatch.setattr(nearcopies, "HELD", 100)
+    words = [f"w{i}" for i in range(40)]
+    data = [(i, " ".join([*words, f"x{i}"])) for i in range(6)] + [(6, None), (7, ""), (8, "another text altogether")]
+    assert sorted(x["doc_id"] for x in nearcopies.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()) == [0, 6, 8]

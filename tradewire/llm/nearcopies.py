@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewire.llm import simhash
-from tradewire.llm.common import ASCII_LOWER, mix, partitions, raw_texts, stored
+from tradewire.llm.common import ASCII_LOWER, mix, partitions, raw_texts, slices, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -43,6 +43,8 @@ FAR = 160
 #: Shingles in this many texts of a sample (one text in SAMPLE) are frequent; at most MOST_FREQUENT are known.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 200_000
 CELLS = 1 << 20
+#: Bytes of texts whose shingles a worker holds at once.
+HELD = 2 << 20
 PAIRS = 1 << 18
 
 
@@ -114,10 +116,10 @@ def among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
-def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    """Exactly, for sorted sets."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+def similar(x: Column, y: Column, similarity: float) -> Column:
+    """Exactly, for arrays without repeats."""
+    both = F.size(F.array_intersect(x, y))
+    return both >= similarity * (F.size(x) + F.size(y) - both) - 1e-9
 
 
 def trees(sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +162,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
+        for b in (part for b in batches for part in slices(b, "text", HELD)):
             node, size, wide, sections, fps, keys = [], [], [], [], [], []
             for raw in raw_texts(b.column(2)):
                 h = shingle_hashes(raw)
@@ -237,31 +239,28 @@ def _close(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
 
 
 def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """The pairs at `similarity` or more. Sets are made again from the texts of the pairs' nodes, one text for each."""
+    """The pairs at `similarity` or more. Sets are made again from the texts of the pairs' nodes, one text for each.
+
+    Pairs of sets are compared on the JVM: batches of them for Python would be the largest of all.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
-            own = [np.unique(shingle_hashes(raw)).tobytes() for raw in raw_texts(b.column("text"))]
-            node = np.array([xxhash.xxh64_intdigest(x, simhash.SEED) for x in own], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own, pa.binary())], names=["node", "own"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = zip(b.column("oa").to_pylist(), b.column("ob").to_pylist(), strict=True)
-            keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in both], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+        for b in (part for b in batches for part in slices(b, "text", HELD)):
+            own = [np.unique(shingle_hashes(raw)) for raw in raw_texts(b.column("text"))]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), simhash.SEED) for x in own], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["node", "own"])
 
     pairs = stored(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     cells = ends.join(nodes.select("node", "k2"), "node").select(F.pmod("k2", F.lit(CELLS)).alias("cell")).distinct()
     texts = docs.select(F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(cells), F.pmod("k2", F.lit(CELLS)) == F.col("cell"), "left_semi").dropDuplicates(["k2"])
-    known = stored(texts.select("text").mapInArrow(sets, "node long, own binary").dropDuplicates(["node"]))
+    known = stored(texts.select("text").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]))
     for c in "ab":
         pairs = pairs.join(known.select(F.col("node").alias(c), F.col("own").alias(f"o{c}")), c)
-    return stored(pairs.select("a", "b", "oa", "ob").mapInArrow(run, "a long, b long"))
+    return stored(pairs.filter(similar(F.col("oa"), F.col("ob"), similarity)).select("a", "b"))
 
 
 def _met(rows: DataFrame, by: list[str], most: int, roots: bool) -> DataFrame:
