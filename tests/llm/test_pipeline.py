@@ -1,6 +1,8 @@
 """The pipeline's stages, each against a plain version of its decision."""
 
+import os
 import random
+import time
 
 import brute
 import corpus_pipeline
@@ -10,6 +12,7 @@ from cases import frame, rows, sf
 from pyspark.sql import functions as F
 
 from tradewire.llm import bpe, decontaminate, language, nearcopies, secrets, urls
+from tradewire.llm.common import shared_folder
 
 
 def shingles(text, n=5):
@@ -183,3 +186,29 @@ def test_sets_are_compared_on_the_jvm(spark, monkeypatch):
     words = [f"w{i}" for i in range(40)]
     data = [(i, " ".join([*words, f"x{i}"])) for i in range(6)] + [(6, None), (7, ""), (8, "another text altogether")]
     assert sorted(x["doc_id"] for x in nearcopies.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()) == [0, 6, 8]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_near_copies_leave_no_files(spark):
+    """Of shuffles and stored tables only the groups stay, which the result is read from; texts are dealt once."""
+    name, threshold = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.autoBroadcastJoinThreshold"
+    before, tables, limit = shuffle_files(spark), set(os.listdir(shared_folder(spark))), spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        df = spark.createDataFrame([(i // 2, f"{' '.join(f'w{j}' for j in range(40))} x{i % 3}") for i in range(30)] + [(None, "alone")] * 2, "doc_id long, text string")
+        kept = nearcopies.keep_one(df)
+        end = time.time() + 20  # files go shortly after the job
+        while shuffle_files(spark) - before and time.time() < end:
+            time.sleep(0.2)
+        assert not shuffle_files(spark) - before
+        assert len([x for x in set(os.listdir(shared_folder(spark))) - tables if x.startswith("tradewire-")]) == 1
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(near copy key") == 2  # of the texts, and of the kept keys
+        assert sorted((x["doc_id"] is None, x["doc_id"]) for x in kept.collect()) == [(False, 0), (True, None)]
+        assert spark.conf.get(name) == "false"
+    finally:
+        spark.conf.set(threshold, limit)

@@ -10,6 +10,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -241,6 +242,21 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled by a job that runs within goes when that job ends, not when the driver collects its garbage.
+
+    For operators that store many tables one after another. Spark computes again what is asked for a second time.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str | list[str], counts: DataFrame, total: int, how: str = "left") -> DataFrame:
     """left join right on `key`, where right has one row per key and some keys hold a large share of left.
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewire.llm import simhash
-from tradewire.llm.common import ASCII_LOWER, mix, partitions, raw_texts, slices, stored
+from tradewire.llm.common import ASCII_LOWER, dropped, mix, partitions, raw_texts, shuffles_freed, slices, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -258,9 +258,13 @@ def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, s
     texts = docs.select(F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(cells), F.pmod("k2", F.lit(CELLS)) == F.col("cell"), "left_semi").dropDuplicates(["k2"])
     known = stored(texts.select("text").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]))
+    both = pairs
     for c in "ab":
-        pairs = pairs.join(known.select(F.col("node").alias(c), F.col("own").alias(f"o{c}")), c)
-    return stored(pairs.filter(similar(F.col("oa"), F.col("ob"), similarity)).select("a", "b"))
+        both = both.join(known.select(F.col("node").alias(c), F.col("own").alias(f"o{c}")), c)
+    out = stored(both.filter(similar(F.col("oa"), F.col("ob"), similarity)).select("a", "b"))
+    for t in (pairs, known):
+        dropped(t)
+    return out
 
 
 def _met(rows: DataFrame, by: list[str], most: int, roots: bool) -> DataFrame:
@@ -307,7 +311,12 @@ def _met(rows: DataFrame, by: list[str], most: int, roots: bool) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Per distinct (id, k2): id, k2, root: rows with one root are near copies, directly or through others."""
+    """Per row: id, k2 (the text's hash), root: rows with one root are near copies, directly or through others."""
+    with shuffles_freed(docs.sparkSession):
+        return _groups(docs, id_col, text_col, similarity)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     most = limit(similarity)
     rows = stored(_sketched(docs, id_col, text_col, similarity))
     # A node is a distinct shingle set; its number comes from the set.
@@ -324,21 +333,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     whole = links.join(one.select(F.col("fp").alias("a"), F.col("node").alias("na"), F.col("wide").alias("wa")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("nb"), F.col("wide").alias("wb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     met = near.unionByName(_close(whole, nodes, most)).filter("a <> b").distinct()
     first = _exact(met, nodes, docs, text_col, similarity)
+    dropped(parts)
     part = simhash.components(first)
     # What the first index has not joined, completely.
     placed = nodes.select("node", "size", "keys").join(part, "node", "left").select("node", "size", F.coalesce("root", "node").alias("part"), F.explode("keys").alias("key"))
     rest = _exact(_close(_pairs(placed, similarity, partitions(nodes)), nodes, FAR), nodes, docs, text_col, similarity)
     root = simhash.components(first.unionByName(rest))
-    return rows.select("id", "k2", "node").join(root, "node", "left").select("id", "k2", F.coalesce("root", "node").alias("root"))
+    out = stored(rows.select("id", "k2", "node").join(root, "node", "left").select("id", "k2", F.coalesce("root", "node").alias("root")))
+    for t in (rows, nodes, first, part, rest, root):
+        dropped(t)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without copies: of each group the smallest id stays (null last), of equal rows one."""
     found = groups(docs, id_col, text_col, similarity)
-    order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("k2"))
-    kept = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.id").alias("near copy id"), F.col("x.k2").alias("near copy k2"))
-    keyed = docs.withColumn("near copy of", F.xxhash64(text_col))
-    same = keyed[id_col].cast("long").eqNullSafe(F.col("near copy id")) & (F.col("near copy of") == F.col("near copy k2"))
-    alone = keyed.join(kept.distinct(), same, "left_semi")
-    number = F.row_number().over(Window.partitionBy(F.col(id_col), "near copy of").orderBy(F.lit(0)))
+    # One key without nulls for the join and the window, so that texts are dealt once for both.
+    key = lambda id_, k2: F.struct(id_.isNull().alias("null"), F.coalesce(id_, F.lit(0)).alias("id"), F.coalesce(k2, F.lit(0)).alias("k2"))
+    kept = found.groupBy("root").agg(F.min(key(F.col("id"), F.col("k2"))).alias("near copy key")).select("near copy key").distinct()
+    alone = docs.withColumn("near copy key", key(docs[id_col].cast("long"), F.xxhash64(text_col))).join(kept, "near copy key", "left_semi")
+    number = F.row_number().over(Window.partitionBy("near copy key").orderBy(F.lit(0)))
     return alone.withColumn("near copy n", number).filter(F.col("near copy n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
