@@ -1,9 +1,11 @@
 """Byte and word repeats, and nearest neighbours, against plain versions."""
 
 import random
+import tracemalloc
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import frame, rows, sf
 
@@ -174,3 +176,34 @@ def test_units_have_tasks_of_their_own(spark, n):
 
     df = spark.range(n).select(F.col("id"), key_of_partition(F.col("id")).alias("k"))
     assert not df.filter(F.pmod(F.hash("k"), F.lit(n)) != F.col("id")).count() and df.select("k").distinct().count() == n
+
+
+def test_pieces_of_sorted_cells(monkeypatch):
+    r = np.random.default_rng(2)
+    for each, sizes in ((1 << 18, [5, 0, 9]), (7, [40, 0, 1, 60]), (3, [0, 0]), (4, [30])):
+        cells = [np.unique(r.integers(0, 90, n).astype(np.uint64)) for n in sizes]
+        counts = [r.integers(1, 9, len(c)).astype(np.uint32) for c in cells]
+        want: dict[int, int] = {}
+        for c, n in zip(cells, counts, strict=True):
+            for x, k in zip(c.tolist(), n.tolist(), strict=True):
+                want[x] = want.get(x, 0) + k
+        found, back = [], [np.zeros(len(c), np.uint64) for c in cells]
+        for every, which, own in substring.pieces(cells, each):
+            found += zip(every.tolist(), substring.summed(which, counts, own).tolist(), strict=True)
+            substring.put(back, own, every[which])
+        assert found == sorted(want.items()) and all((a == b).all() for a, b in zip(back, cells, strict=True))
+
+
+def test_memory_of_a_unit():
+    """The windows of a text take seventeen times its bytes at most while a unit is made and counted."""
+    r = random.Random(6)
+    texts = [" ".join(f"{r.getrandbits(22):x}" for _ in range(9000)) for _ in range(100)]
+    t = pa.table({"bucket": pa.array([1] * 100, pa.int32()), "id": list(range(100)), "k2": list(range(100)), "text": texts})
+    substring.touched(substring.Unit(t.slice(0, 1), 20), 1 << 26)  # tables of powers are made once
+    tracemalloc.start()
+    try:
+        found = substring.touched(substring.Unit(t, 20), 1 << 26)[0]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) > 1_500_000 and most < 17 * sum(map(len, texts))

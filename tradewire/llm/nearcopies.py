@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewire.llm import simhash
-from tradewire.llm.common import ASCII_LOWER, dropped, mix, partitions, raw_texts, shuffles_freed, slices, stored
+from tradewire.llm.common import ASCII_LOWER, among, dropped, mix, partitions, raw_texts, shuffles_freed, slices, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -109,13 +109,6 @@ def key_count(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    """Which values of x are in a sorted array that is much longer."""
-    if not len(sorted_):
-        return np.zeros(len(x), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
-
-
 def similar(x: Column, y: Column, similarity: float) -> Column:
     """Exactly, for arrays without repeats."""
     both = F.size(F.array_intersect(x, y))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import bucketed, doc_order, documents, input_bytes, key_of_partition, mix, pack, partitions, runs, sliding_min, unpack
+from tradewire.llm.common import among, bucketed, doc_order, documents, input_bytes, key_of_partition, mix, pack, partitions, runs, sliding_min, unpack
 from tradewire.llm.groups import MOVED, Group, firsts_of, table
 
 WIDTH = 20
@@ -43,7 +43,9 @@ BASE = 0x9E3779B97F4A7C15 | 1
 PIECE = 1 << 20
 LOW = np.uint64((1 << 20) - 1)
 BATCH = 4096
-#: Bytes of input in a unit, whose windows take some thirty times that in memory.
+#: Cells that are merged at once.
+EACH = 1 << 18
+#: Bytes of input in a unit, whose windows take some twenty-five times that in memory (its texts are stored compressed).
 UNIT = 9 << 20
 HOT = LARGEST = 1 << 16
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -74,16 +76,16 @@ def window_hashes(line: bytes, starts: np.ndarray, ends: np.ndarray, width: int)
     if n <= 0:
         return np.zeros(0, np.uint64)
     first, last = starts[:n], ends[width - 1 :]  # also windows over two documents, which nobody asks for
-    out, at = [], 0
+    out, at = np.empty(n, np.uint64), 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(last, first[at] + PIECE, side="right")))
+        to = max(at + 1, int(np.searchsorted(last, int(first[at]) + PIECE, side="right")))
         a, z = int(first[at]), int(last[to - 1])
         up, down = Powers.to(z - a + 1)
         sums = np.zeros(z - a + 1, np.uint64)
         np.cumsum(np.frombuffer(line, np.uint8, z - a, a).astype(np.uint64) * up[: z - a], out=sums[1:])
-        out.append(mix((sums[last[at:to] - a] - sums[first[at:to] - a]) * down[first[at:to] - a]))
+        out[at:to] = mix((sums[last[at:to] - a] - sums[first[at:to] - a]) * down[first[at:to] - a])
         at = to
-    return np.concatenate(out)
+    return out
 
 
 def minimizer_places(h: np.ndarray, windows: int, width: int, gram: int) -> np.ndarray:
@@ -112,27 +114,33 @@ class Unit:
         at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
         at = at - at[0]
+        kind = np.int32 if len(raw) < 1 << 29 else np.int64  # places in the line, which is at most twice as long
         word = ~SPACE[raw]
         new = np.zeros(len(raw) + 1, bool)
         new[at] = True  # a document's end ends a word
-        first, last = word.copy(), word.copy()
-        first[1:] &= ~word[:-1] | new[1:-1]
-        last[:-1] &= ~word[1:] | new[1:-1]
-        begin = np.flatnonzero(first)
-        size = np.flatnonzero(last) + 1 - begin
-        self.ends = np.cumsum(size + 1) - 1
+        edge = word.copy()
+        edge[1:] &= ~word[:-1] | new[1:-1]
+        begin = np.flatnonzero(edge).astype(kind)
+        edge[:] = word
+        edge[:-1] &= ~word[1:] | new[1:-1]
+        size = np.flatnonzero(edge).astype(kind) + kind(1) - begin
+        del edge, new
+        cut = np.searchsorted(begin, at.astype(kind))
+        del begin
+        self.ends = np.cumsum(size + kind(1), dtype=kind) - kind(1)
         self.starts = self.ends - size
         line = np.full(int(size.sum()) + len(size), 32, np.uint8)
         own = np.ones(len(line), bool)
         own[self.ends] = False
         line[own] = raw[word]
+        del own, word, raw, texts, data, size
         self.line = line.tobytes()
-        cut = np.searchsorted(begin, at)
+        del line
         self.words, self.size = cut[:-1], np.diff(cut)  # of each document: its first word, and how many
         self.windows = np.maximum(self.size - width + 1, 0)
         self.first = np.cumsum(self.windows) - self.windows
         #: Of each window its first word, and its hash.
-        self.word = runs(self.words, self.windows)
+        self.word = runs(self.words, self.windows).astype(kind)
         self.hashes = self.of_all(width)[self.word]
 
     def of_all(self, width: int) -> np.ndarray:
@@ -169,10 +177,30 @@ def from_planes(blob: bytes) -> np.ndarray:
     return np.cumsum(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(8))
 
 
-def added(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Merged sketches: distinct cells, sorted, their summed counts, and the place of each given cell among them."""
-    every, which = np.unique(np.concatenate(cells), return_inverse=True)
-    return every, np.minimum(np.bincount(which, np.concatenate(counts)), (1 << 32) - 1).astype(np.uint32), np.split(which, np.cumsum([len(c) for c in cells])[:-1])
+def pieces(cells: list[np.ndarray], each: int = EACH) -> Iterator[tuple[np.ndarray, np.ndarray, list[slice]]]:
+    """Sorted arrays merged, about `each` values at a time: the distinct values, the place of each given one among them, and which are given."""
+    n = max(1, sum(map(len, cells)) // each)
+    low, high = min((int(c[0]) for c in cells if len(c)), default=0), max((int(c[-1]) for c in cells if len(c)), default=0)
+    edges = np.array([low + (high - low) * i // n for i in range(1, n)], np.uint64)
+    ends = [[0, *np.searchsorted(c, edges).tolist(), len(c)] for c in cells]
+    for i in range(n):
+        own = [slice(e[i], e[i + 1]) for e in ends]
+        every, which = np.unique(np.concatenate([c[o] for c, o in zip(cells, own, strict=True)]), return_inverse=True)
+        if len(every):
+            yield every, which, own
+
+
+def summed(which: np.ndarray, counts: list[np.ndarray], own: list[slice]) -> np.ndarray:
+    """The counts of a piece's distinct values."""
+    return np.minimum(np.bincount(which, np.concatenate([c[o] for c, o in zip(counts, own, strict=True)])), (1 << 32) - 1).astype(np.uint32)
+
+
+def put(out: list[np.ndarray], own: list[slice], values: np.ndarray) -> None:
+    """Hands a piece's values out to where its given ones stand."""
+    at = 0
+    for o, where in zip(out, own, strict=True):
+        o[where] = values[at : at + where.stop - where.start]
+        at += where.stop - where.start
 
 
 def cut(values: np.ndarray, each: int) -> Iterator[tuple[int, slice]]:
@@ -191,31 +219,40 @@ def estimates(units: DataFrame, n: int, width: int, cells: int, hot: int) -> Dat
 
     def sketch(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
-        found, counts, _ = touched(Unit(t, width), cells)
+        found, counts = touched(Unit(t, width), cells)
         out = [(bucket % root, r, bucket, planes(found[own]), pack(counts[own])) for r, own in cut(found, wide)]
         return table(list(map(list, zip(*out, strict=True))), SKETCH)
 
     def merge(t: pa.Table) -> pa.Table:
-        found, counts, _ = added([from_planes(x) for x in t.column("cells").to_pylist()], [unpack(x)[0] for x in t.column("counts").to_pylist()])
+        given, each = [from_planes(x) for x in t.column("cells").to_pylist()], [unpack(x)[0] for x in t.column("counts").to_pylist()]
+        parts = [(every, summed(which, each, own)) for every, which, own in pieces(given)]
+        del given, each
+        found, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         grp, rng = t.column("grp")[0].as_py(), t.column("rng")[0].as_py()
         out = [(rng, p, grp, planes(found[own]), pack(counts[own])) for p, own in cut(found, narrow)]
         return table(list(map(list, zip(*out, strict=True))), MERGED)
 
     def over(t: pa.Table) -> pa.Table:
-        found, counts, places = added([from_planes(x) for x in t.column("cells").to_pylist()], [unpack(x)[0] for x in t.column("counts").to_pylist()])
-        often = counts > np.where(found < np.uint64(DEPTH * cells), 1, hot)
-        out = [(t.column("rng")[0].as_py(), t.column("part")[0].as_py(), g, pack(np.packbits(often[p]))) for g, p in zip(t.column("grp").to_pylist(), places, strict=True)]
+        given, each = [from_planes(x) for x in t.column("cells").to_pylist()], [unpack(x)[0] for x in t.column("counts").to_pylist()]
+        often = [np.empty(len(x), bool) for x in given]
+        for every, which, own in pieces(given):
+            put(often, own, (summed(which, each, own) > np.where(every < np.uint64(DEPTH * cells), 1, hot))[which])
+        out = [(t.column("rng")[0].as_py(), t.column("part")[0].as_py(), g, pack(np.packbits(x))) for g, x in zip(t.column("grp").to_pylist(), often, strict=True)]
         return table(list(map(list, zip(*out, strict=True))), OVER)
 
     def back(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return table([], BITS)
         each = [from_planes(x) for x in t.column("cells").to_pylist()]
-        found, which = np.unique(np.concatenate(each), return_inverse=True)
-        bits = {r["part"]: unpack(r["bits"])[0] for r in answers.select(["part", "bits"]).to_pylist()}
-        often = np.concatenate([np.unpackbits(bits[p], count=own.stop - own.start) for p, own in cut(found, narrow)])
+        parts = [np.empty(len(x), np.uint8) for x in each]
+        bits = {r["part"]: np.unpackbits(unpack(r["bits"])[0]) for r in answers.select(["part", "bits"]).to_pylist()}
+        for every, which, own in pieces(each):
+            often = np.empty(len(every), np.uint8)
+            for p, run in cut(every, narrow):
+                often[run], bits[p] = bits[p][: run.stop - run.start], bits[p][run.stop - run.start :]
+            put(parts, own, often[which])
         rng = t.column("rng")[0].as_py()
-        parts = np.split(often[which], np.cumsum([len(x) for x in each])[:-1])
         out = [(b, rng, pack(np.packbits(x), np.array([len(x)]))) for b, x in zip(t.column("bucket").to_pylist(), parts, strict=True)]
         return table(list(map(list, zip(*out, strict=True))), BITS)
 
@@ -229,17 +266,37 @@ def estimates(units: DataFrame, n: int, width: int, cells: int, hot: int) -> Dat
     return sent.groupBy("key").cogroup(answers.groupBy("answer")).applyInArrow(back, BITS)
 
 
-def touched(unit: Unit, cells: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The cells of a unit's windows (counts up to two, no more is asked) and, behind them, of its segments' minimizers; and for each row of the sketch the place of each window's cell among them."""
-    found, counts, places, past = [], [], [], 0
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the values in place: the distinct ones, and how often each stands there."""
+    values.sort()
+    lead = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[lead], np.diff(lead, append=len(values)).astype(np.uint32)
+
+
+def touched(unit: Unit, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a unit's windows (counts up to two, no more is asked) and, behind them, of its segments' minimizers."""
+    found, counts = [], []
     for row in range(DEPTH):
-        own, which, n = np.unique(unit.cells(row, cells), return_inverse=True, return_counts=True)
+        own, n = distinct(unit.cells(row, cells))
         found.append(own)
         counts.append(np.minimum(n, 2))
-        places.append((which + past).astype(np.int32))
-        past += len(own)
-    own, n = np.unique(cells_of(unit.segments()[0], DEPTH, cells), return_counts=True)
-    return np.concatenate([*found, own]), np.concatenate([*counts, n]).astype(np.uint32), places
+    own, n = distinct(cells_of(unit.segments()[0], DEPTH, cells))
+    return np.concatenate([*found, own]), np.concatenate([*counts, n])
+
+
+def estimated(unit: Unit, cells: int, over: np.ndarray) -> tuple[np.ndarray, int]:
+    """From the answers for touched(): which windows are estimated repeated, and where the minimizers' answers begin."""
+    wanted, past = np.ones(len(unit.hashes), bool), 0
+    for row in range(DEPTH if len(wanted) else 0):
+        own = unit.cells(row, cells)
+        order = np.argsort(own)
+        own = own[order]
+        place = np.cumsum(np.concatenate([[False], own[1:] != own[:-1]]), dtype=np.int32 if len(own) < 1 << 31 else np.int64)
+        del own
+        place += past
+        past = int(place[-1]) + 1
+        wanted[order] &= over[place]
+    return wanted, past
 
 
 def windows_of(text: bytes, width: int = WIDTH) -> int:
@@ -287,14 +344,13 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
         if not t.num_rows:
             return table([], MOVED)
         unit = Unit(t, width)
-        found, _, places = touched(unit, cells)
         answers = answers.sort_by("rng")
         over = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(bits, count=int(size[0])) for bits, size in map(unpack, answers.column("bits").to_pylist()))]).astype(bool)
-        wanted = np.ones(len(unit.hashes), bool)
-        for place in places:
-            wanted &= over[place]
+        wanted, past = estimated(unit, cells, over)
+        minimizers = distinct(cells_of(unit.segments()[0], DEPTH, cells))[0]
         h, at, many = unit.segments(wanted)
-        often = over[np.searchsorted(found, cells_of(h, DEPTH, cells))]
+        often = over[past:][np.searchsorted(minimizers, cells_of(h, DEPTH, cells))]
+        del minimizers, wanted
         doc = np.searchsorted(unit.first + unit.windows, at, side="right")
         pos, word = at - unit.first[doc], unit.word[at]
         begin, end = unit.starts[word], unit.ends[word + many + width - 2]
@@ -320,7 +376,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
         start, mask = unit.first[doc] + pos, mask.view(np.uint64)
         # The estimate is one of a window's hash: what equals a window that was sent was estimated too.
         sent = np.concatenate([np.zeros(0, np.uint64), *(unit.hashes[start[many > i] + i] for i in range(int(many.max(initial=0))))])
-        gone = np.isin(unit.hashes, sent)
+        sent = distinct(sent)[0]
+        gone = np.concatenate([np.zeros(0, bool), *(among(unit.hashes[i : i + EACH], sent) for i in range(0, len(unit.hashes), EACH))])
         for i in range(int(many.max(initial=0))):
             gone[start[(mask >> np.uint64(i)) & np.uint64(1) == 1] + i] = False
         step = np.zeros(len(unit.starts) + 1, np.int32)
