@@ -1,17 +1,20 @@
 """The pipeline's stages, each against a plain version of its decision."""
 
+import gc
 import os
 import random
 import time
+import tracemalloc
 
 import brute
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import frame, rows, sf
 from pyspark.sql import functions as F
 
-from tradewire.llm import bpe, decontaminate, language, nearcopies, secrets, urls
+from tradewire.llm import bpe, common, decontaminate, language, nearcopies, secrets, urls
 from tradewire.llm.common import shared_folder
 
 
@@ -212,3 +215,36 @@ def test_near_copies_leave_no_files(spark):
         assert spark.conf.get(name) == "false"
     finally:
         spark.conf.set(threshold, limit)
+
+
+def test_parts_leave_nothing_behind():
+    """A part of the index is made in little memory, and no words stay until the garbage collector happens to run."""
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(60000)}" for _ in range(500)).encode() for _ in range(400)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        made = decontaminate.postings(0, ids, texts, 15)
+        kept, peak = tracemalloc.get_traced_memory()
+        assert not gc.collect()
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert made.num_rows > 50000 and kept < 3 * made.nbytes and peak < 100 * 500 * len(texts)
+
+
+def test_workers_give_back(spark, monkeypatch):
+    """At the end of a task; whole texts are encoded a few at a time."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and calls == [1]
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    df = spark.createDataFrame([(1, "one text"), (None, None), (2, ""), (1, "another text"), (3, "x" * 500)], "doc_id long, text string")
+    want = sorted(map(str, bpe.tokenize(df, path, pattern).collect()))
+    monkeypatch.setattr(bpe, "SLICE", 10)
+    got = bpe.tokenize(df, path, pattern)
+    assert len(want) == 5 and sorted(map(str, got.collect())) == want

@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import documents, partitions
+from tradewire.llm.common import documents, partitions, slices, tidy
 
 #: Chunks in place, and chunks that are dealt to tasks, with their overlaps.
 CHUNK, OVERLAP = 1 << 11, 1 << 6
 SPREAD, SPREAD_OVERLAP = 1 << 15, 1 << 8
+#: Bytes of whole texts that are encoded at once.
+SLICE = 1 << 21
 #: A match of the public pattern depends on so many characters beyond its start, and fewer beyond its end.
 AHEAD = 4
 
@@ -147,7 +149,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     long_ = F.coalesce(F.length("text"), F.lit(0)) > spread
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "text", SLICE)):
             yield finish(b.column(0), [encode(t or "", path, pattern, ahead) for t in b.column(1).to_pylist()], path, pattern)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +203,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     met = dealt.groupBy("id", "k2", "k", "parts").agg(*(F.max(c).alias(c) for c in ("text", "head", "tail", "before", "after")), F.sum("one").alias("copies"))
     coded = met.select("id", "k2", "k", "parts", "text", "head", "tail", "before", "after", "copies").mapInArrow(encode_chunks, "id long, k2 long, k int, copies long, ids binary, text string")
     rest = coded.groupBy("id", "k2").agg(F.sort_array(F.collect_list(F.struct("k", "ids", "text"))).alias("parts"), F.max("copies").alias("copies")).select("id", "parts", "copies").mapInArrow(assemble, schema)
-    return own.filter(~long_).mapInArrow(whole, schema).unionByName(rest)
+    return own.filter(~long_).mapInArrow(tidy(whole), schema).unionByName(rest)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

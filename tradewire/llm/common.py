@@ -6,10 +6,11 @@ never an error. Where an operator needs an order of documents it is: ids ascendi
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -45,6 +46,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         done, at = int(ends[to - 1]), to
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; a worker gives back what it has freed, as the tasks of all later stages use it again."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def _lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 

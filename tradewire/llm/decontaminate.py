@@ -23,18 +23,21 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import LOWER, UPPER, documents, dropped, partitions, raw_texts, runs, slices, stored
+from tradewire.llm.common import LOWER, UPPER, documents, dropped, give_back, partitions, raw_texts, runs, slices, stored
 
 WINDOW = 10
 SLOP = 4
 SEGMENT_BYTES = 8 << 20
 BLOCK_BYTES = 16 << 20
+#: Numbers that are packed at once.
+RUN = 1 << 16
 #: Keys beyond this many are not broadcast.
 FEW = 500_000
 #: Bytes that are a word: digits, letters and everything beyond ASCII; A-Z become a-z, the rest a space.
@@ -51,13 +54,18 @@ def words(raw: bytes) -> list[bytes]:
 
 def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers under 2**35, seven bits in a byte, the last byte of each under 128; and the number of bytes of each."""
+    parts = [_packed(values[at : at + RUN]) for at in range(0, max(1, len(values)), RUN)]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+
+def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = 1 + sum((values >> (7 * k) > 0).astype(np.int64) for k in range(1, 5))
     ends = np.cumsum(size)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(int(size.max(initial=0))):
         some = size > k
         out[(ends - size)[some] + k] = (values[some] >> (7 * k) & 127) | np.where(size[some] > k + 1, 128, 0)
-    return out, size
+    return out, size.astype(np.uint8)
 
 
 def unpacked(data: np.ndarray) -> np.ndarray:
@@ -80,29 +88,32 @@ POSTINGS = "part long, term binary, n long, body binary, ids array<long>, sizes
 
 def postings(part: int, ids: pa.Array, texts: list[bytes | None], gap: int) -> pa.RecordBatch:
     """The rows of one part."""
-    number: dict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    own = [[number[w] for w in words(raw)] if raw else [] for raw in texts]
+    # A factory that held the dictionary would keep all words of the part until the garbage collector runs.
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    own = [np.array([number[w] for w in words(raw)] if raw else [], np.int32) for raw in texts]
     size = np.fromiter(map(len, own), np.int64, len(own))
     first = np.cumsum(size + gap) - size - gap
-    term = np.fromiter((x for o in own for x in o), np.int32, int(size.sum()))
+    term = np.concatenate([np.zeros(0, np.int32), *own])
+    del own
     place = runs(first, size)
     order = np.argsort(term, kind="stable")
     term, place = term[order], place[order]
+    del order
     lead = np.ones(len(term), bool)
     lead[1:] = term[1:] != term[:-1]
-    step = place.copy()
-    step[1:][~lead[1:]] -= place[:-1][~lead[1:]]
+    step = np.diff(place, prepend=0)
+    step[lead] = place[lead]
     begins = np.flatnonzero(lead)
-    data, width = packed(np.concatenate([np.diff(first, prepend=0), step]))
     n = np.diff(np.concatenate([begins, [len(term)]]))
+    del place, term
+    data, width = packed(np.concatenate([np.diff(first, prepend=0), step]))
     cuts = np.concatenate([[0], len(first) + begins]).astype(np.int64)
     rows = len(n) + 1
     lists = lambda x: pa.ListArray.from_arrays(pa.array([0] + [len(x)] * rows, pa.int32()), x)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(rows, part)), pa.array([DOCUMENTS, *number], pa.binary()), pa.array(np.concatenate([[len(first)], n]).astype(np.int64)),
-            binaries(data, np.add.reduceat(width, cuts) if len(width) else np.zeros(rows, np.int64)), lists(ids.cast(pa.int64())), lists(pa.array(size)),
+            binaries(data, np.add.reduceat(width, cuts, dtype=np.int64) if len(width) else np.zeros(rows, np.int64)), lists(ids.cast(pa.int64())), lists(pa.array(size)),
         ],
         names=[x.split()[0] for x in POSTINGS.split(", ")],
     )
@@ -118,6 +129,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap:
         for batch in batches:
             for b in slices(batch, "text", segment_bytes):
                 yield postings(part, b.column(0), raw_texts(b.column(1)), gap)
+                give_back()
                 part += 1
 
     return stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, POSTINGS))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewire.llm.common import documents, slices
+from tradewire.llm.common import documents, slices, tidy
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["lang", "total"])
 
     own = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    parts = own.mapInArrow(sums, "lang string, total array<double>")
+    parts = own.mapInArrow(tidy(sums), "lang string, total array<double>")
     each = parts.select("lang", F.posexplode("total").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"))
     rows = each.select("lang", F.col("v.x").alias("x")).limit(most_labels + 1).collect()
     if len(rows) > most_labels:
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[
 
     kept = docs.select(*columns, *([F.col(text_col).alias("text to read")] if at == many else []))
     schema = docs.select(*columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

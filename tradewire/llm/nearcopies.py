@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewire.llm import simhash
-from tradewire.llm.common import ASCII_LOWER, among, dropped, mix, partitions, raw_texts, shuffles_freed, slices, stored
+from tradewire.llm.common import ASCII_LOWER, among, dropped, mix, partitions, raw_texts, shuffles_freed, slices, stored, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -144,7 +144,7 @@ def _frequent(docs: DataFrame, text_col: str) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(raw)).view(np.int64))], names=["h"])
 
     sample = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(F.col(text_col).alias("text"))
-    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    counts = sample.mapInArrow(tidy(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
     found = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toArrow().column("h").to_numpy()
     return np.sort(found.view(np.uint64))
 
@@ -172,7 +172,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
             yield pa.RecordBatch.from_arrays(made, names=["id", "k2", "node", "size", "wide", "sections", "fp", "keys"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "id long, k2 long, node long, size int, wide binary, sections array<long>, fp long, keys array<long>")
+    return own.mapInArrow(tidy(run), "id long, k2 long, node long, size int, wide binary, sections array<long>, fp long, keys array<long>")
 
 
 def _pairs(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
@@ -214,7 +214,7 @@ def _pairs(rows: DataFrame, similarity: float, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     dealt = rows.select("key", "size", "node", "part").repartition(parts, "key").sortWithinPartitions("key", "size")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -228,7 +228,7 @@ def _close(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
 
     for c in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("wide").alias(f"w{c}")), c)
-    return pairs.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "wa", "wb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
@@ -250,7 +250,7 @@ def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, s
     cells = ends.join(nodes.select("node", "k2"), "node").select(F.pmod("k2", F.lit(CELLS)).alias("cell")).distinct()
     texts = docs.select(F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(cells), F.pmod("k2", F.lit(CELLS)) == F.col("cell"), "left_semi").dropDuplicates(["k2"])
-    known = stored(texts.select("text").mapInArrow(sets, "node long, own array<long>").dropDuplicates(["node"]))
+    known = stored(texts.select("text").mapInArrow(tidy(sets), "node long, own array<long>").dropDuplicates(["node"]))
     both = pairs
     for c in "ab":
         both = both.join(known.select(F.col("node").alias(c), F.col("own").alias(f"o{c}")), c)
@@ -300,7 +300,7 @@ def _met(rows: DataFrame, by: list[str], most: int, roots: bool) -> DataFrame:
             names=["a", "b", "key", "wide"],
         )
 
-    return rows.select("key", "salt", "node", "wide").repartition(partitions(rows), *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long, key long, wide binary")
+    return rows.select("key", "salt", "node", "wide").repartition(partitions(rows), *by).sortWithinPartitions(*by).mapInArrow(tidy(run), "a long, b long, key long, wide binary")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

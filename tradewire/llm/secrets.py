@@ -22,7 +22,7 @@ from itertools import product
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewire.llm.common import documents, raw_texts, slices
+from tradewire.llm.common import documents, raw_texts, slices, tidy
 
 # Kinds in the order of the contract, key words, patterns.
 KINDS = ("assign", "access", "hex", "ghp", "npm")
@@ -145,7 +145,7 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = pa.array([None if raw is None else redact(raw).decode("utf-8", "replace") for raw in raw_texts(b.column(at))], pa.string())
             yield b.set_column(at, text_col, texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
