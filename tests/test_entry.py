@@ -42,3 +42,9 @@ def test_library_that_is_missing(tmp_path):
     (tmp_path / "xxhash.py").write_text("raise ImportError('not here')")
     code = "import sys; sys.path.insert(0, %r); sys.path.insert(1, %r); " % (str(tmp_path), str(ROOT)) + SAY
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[0]) > 100
+
+
+def test_pipeline_of_another_copy_is_not_taken(tmp_path, monkeypatch):
+    monkeypatch.setenv("PYTHONPATH", str(ROOT))
+    test_core_without_corpus_operators(tmp_path, ("corpus_pipeline.py",))
+    assert "pipeline" in said(ROOT)
